@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesselite.llm import neighbours
+from tesselite.llm import leakage, neighbours, reading
 from tesselite.session import table
 
 
@@ -22,5 +22,40 @@ r AS (SELECT x, y, cos, row_number() OVER (PARTITION BY x ORDER BY round(cos, 9)
 SELECT DISTINCT least(x, y) AS id_a, greatest(x, y) AS id_b FROM r WHERE k <= 10
 """
 
-QUERIES = {"p7_found": p7_found}
-SQL = {"p7_found": P7_SQL}
+
+def p9_overlaps(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.overlaps(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return p9_overlaps(spark, d).where(F.col("run") >= 13).select("doc_id", "item_id").distinct()
+
+
+def p9_leaked(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaked_items(p9_overlaps(spark, d).where(F.col("run") >= 13))
+
+
+_GRAMS = """
+WITH dw AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') w FROM documents WHERE text IS NOT NULL),
+iw AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') w FROM eval_items WHERE text IS NOT NULL),
+dg AS (SELECT doc_id, p, array_to_string(w[p:p + 12], ' ') g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) p FROM dw)),
+ig AS (SELECT item_id, n, q, array_to_string(w[q:q + 12], ' ') g FROM (SELECT item_id, w, len(w) n, unnest(range(1, len(w) - 11)) q FROM iw)),
+h AS (SELECT DISTINCT doc_id, item_id, n, p, q FROM dg JOIN ig USING (g))
+"""
+P9_SQL = _GRAMS + "SELECT DISTINCT doc_id, item_id FROM h"
+# a run of r words holds r - 12 grams on one diagonal, one after the other
+P9_LEAKED_SQL = (
+    _GRAMS
+    + """, i AS (SELECT doc_id, item_id, n, p - q d, q - row_number() OVER (PARTITION BY doc_id, item_id, p - q ORDER BY q) isle FROM h),
+r AS (SELECT doc_id, item_id, n, count(*) + 12 run FROM i GROUP BY doc_id, item_id, n, d, isle)
+SELECT item_id, count(DISTINCT doc_id) AS n_documents, max(run) AS longest_run, round(max(run / n), 6) AS share FROM r GROUP BY item_id
+"""
+)
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return reading.reading_bands(table(spark, d, "documents"), table(spark, d, "graded_passages"))
+
+
+QUERIES = {"p7_found": p7_found, "p9_found": p9_found, "p9_overlaps": p9_overlaps, "p9_leaked": p9_leaked, "p10_found": p10_found}
+SQL = {"p7_found": P7_SQL, "p9_found": P9_SQL, "p9_leaked": P9_LEAKED_SQL}
