@@ -5,10 +5,45 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesselite.llm import leakage, neighbours, reading
+from tesselite.llm import ideal_rank, leakage, neighbours, reading
 from tesselite.session import table
 
 
+HIT_SCORES = {"bm25": 1, "cosine": 1, "caller_count": 1, "age_days": -1}
+
+
+def p3_ranking(spark: SparkSession, d: str) -> DataFrame:
+    closed = ideal_rank.closeness(table(spark, d, "hit_scores"), group="query_id", item="entry_id", better=HIT_SCORES)
+    return ideal_rank.ranked(closed, group="query_id", item="entry_id")
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    closed = ideal_rank.closeness(table(spark, d, "hit_scores"), group="query_id", item="entry_id", better=HIT_SCORES)
+    return ideal_rank.ranked(closed, group="query_id", item="entry_id", top=5).select("query_id", "entry_id")
+
+
+def _p3_sql() -> str:
+    """Ideal-point closeness in SQL."""
+    names = list(HIT_SCORES)
+
+    def each(form: str, sep: str = ", ") -> str:
+        return sep.join(form.format(n=n, s=HIT_SCORES[n]) for n in names)
+
+    return f"""
+WITH r AS (SELECT query_id, entry_id, {each("max(CAST({n} AS DOUBLE) * {s}) {n}")} FROM hit_scores WHERE query_id IS NOT NULL AND entry_id IS NOT NULL GROUP BY 1, 2),
+l AS (SELECT query_id, {each("quantile_disc({n}, 0.2) lo_{n}, quantile_disc({n}, 0.8) hi_{n}")} FROM r GROUP BY 1),
+c AS (SELECT query_id, entry_id, {each("CASE WHEN {n} IS NOT NULL THEN greatest(least({n}, hi_{n}), lo_{n}) END {n}")} FROM r JOIN l USING (query_id)),
+m AS (SELECT query_id, {each("sqrt(sum({n} * {n})) n_{n}, min({n}) w_{n}, max({n}) b_{n}")} FROM c GROUP BY 1),
+v AS (SELECT query_id, entry_id, {each("CASE WHEN b_{n} > w_{n} THEN (coalesce({n}, w_{n}) / n_{n} - w_{n} / n_{n}) / (b_{n} / n_{n} - w_{n} / n_{n}) END {n}")} FROM c JOIN m USING (query_id)),
+d AS (SELECT query_id, entry_id, sqrt({each("coalesce((1 - {n}) ** 2, 0)", " + ")}) p, sqrt({each("coalesce({n} ** 2, 0)", " + ")}) q FROM v),
+k AS (SELECT query_id, entry_id, round(CASE WHEN p + q > 0 THEN q / (p + q) ELSE 0 END, 9) closeness FROM d),
+f AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY closeness DESC, entry_id) AS rank FROM k)
+"""
+
+
+P3_SQL = _p3_sql()
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     near = neighbours.nearest(table(spark, d, "vectors"), min_cosine=0.9)
     return near.select(F.least("id", "neighbour").alias("id_a"), F.greatest("id", "neighbour").alias("id_b")).distinct()
@@ -57,5 +92,5 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return reading.reading_bands(table(spark, d, "documents"), table(spark, d, "graded_passages"))
 
 
-QUERIES = {"p7_found": p7_found, "p9_found": p9_found, "p9_overlaps": p9_overlaps, "p9_leaked": p9_leaked, "p10_found": p10_found}
-SQL = {"p7_found": P7_SQL, "p9_found": P9_SQL, "p9_leaked": P9_LEAKED_SQL}
+QUERIES = {"p3_found": p3_found, "p3_ranking": p3_ranking, "p7_found": p7_found, "p9_found": p9_found, "p9_overlaps": p9_overlaps, "p9_leaked": p9_leaked, "p10_found": p10_found}
+SQL = {"p3_found": P3_SQL + "SELECT query_id, entry_id FROM f WHERE rank <= 5", "p3_ranking": P3_SQL + "SELECT query_id, entry_id, closeness, rank FROM f", "p7_found": P7_SQL, "p9_found": P9_SQL, "p9_leaked": P9_LEAKED_SQL}
