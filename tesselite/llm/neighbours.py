@@ -167,7 +167,10 @@ def _leaf(dim: int, k: int, floor: float):
             c.append(np.einsum("pd,pd->p", qx[s + i].astype("f8"), rx[j].astype("f8")))
         a, b, c = (np.concatenate(v) if v else np.zeros(0, t) for v, t in ((a, "i8"), (b, "i8"), (c, "f8")))
         keep = (a != b) & (c >= floor)
-        return pa.table({"ka": pa.array(a[keep], pa.int64()), "kb": pa.array(b[keep], pa.int64()), "cosine": pa.array(c[keep], pa.float64())})
+        a, b, c = a[keep], b[keep], c[keep]
+        # similarity holds in both directions, so each end learns of the other
+        ends = [np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([c, c])]
+        return pa.table([pa.array(v) for v in ends], names=["ka", "kb", "cosine"])
 
     return run
 
@@ -211,8 +214,7 @@ def nearest(
 
     routed = rows.select("key", "v").mapInArrow(_route(forest, dim, visits), "leaf long, n_own long, keys binary, x binary")
     found = routed.groupBy("leaf").applyInArrow(_leaf(dim, k, min_cosine), "ka long, kb long, cosine double")
-    both = found.unionByName(found.select(F.col("kb").alias("ka"), F.col("ka").alias("kb"), "cosine"))
-    pairs = both.groupBy("ka", "kb").agg(F.max("cosine").alias("cosine"))
+    pairs = found.groupBy("ka", "kb").agg(F.max("cosine").alias("cosine"))
 
     members = rows.select("key", "id").distinct()
     # of a class of copies at most the k + 1 smallest ids can be among anybody's k nearest
