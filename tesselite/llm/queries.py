@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesselite.llm import ideal_rank, leakage, neighbours, reading
+from tesselite.llm import ideal_rank, leakage, neighbours, reading, secrets
 from tesselite.session import table
 
 
@@ -44,6 +44,18 @@ f AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY closeness DESC
 P3_SQL = _p3_sql()
 
 
+def _code(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "entries").where(F.col("entry_type") == "code")
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return secrets.find(_code(spark, d)).select("id", "line_no").distinct()
+
+
+def p5_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return secrets.find(_code(spark, d), redacted=True)
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     near = neighbours.nearest(table(spark, d, "vectors"), min_cosine=0.9)
     return near.select(F.least("id", "neighbour").alias("id_a"), F.greatest("id", "neighbour").alias("id_b")).distinct()
@@ -92,5 +104,5 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return reading.reading_bands(table(spark, d, "documents"), table(spark, d, "graded_passages"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_ranking": p3_ranking, "p7_found": p7_found, "p9_found": p9_found, "p9_overlaps": p9_overlaps, "p9_leaked": p9_leaked, "p10_found": p10_found}
+QUERIES = {"p3_found": p3_found, "p3_ranking": p3_ranking, "p5_found": p5_found, "p5_redacted": p5_redacted, "p7_found": p7_found, "p9_found": p9_found, "p9_overlaps": p9_overlaps, "p9_leaked": p9_leaked, "p10_found": p10_found}
 SQL = {"p3_found": P3_SQL + "SELECT query_id, entry_id FROM f WHERE rank <= 5", "p3_ranking": P3_SQL + "SELECT query_id, entry_id, closeness, rank FROM f", "p7_found": P7_SQL, "p9_found": P9_SQL, "p9_leaked": P9_LEAKED_SQL}
