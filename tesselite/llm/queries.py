@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesselite.llm import ideal_rank, leakage, neighbours, reading, secrets
+from tesselite.llm import ideal_rank, leakage, neighbours, reading, secrets, truncation
 from tesselite.session import table
 
 
@@ -44,6 +44,19 @@ f AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY closeness DESC
 P3_SQL = _p3_sql()
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.truncated(table(spark, d, "entries")).select("id").distinct()
+
+
+def p4_shares(spark: SparkSession, d: str) -> DataFrame:
+    entries = table(spark, d, "entries")
+    return truncation.shares(entries, truncation.truncated(entries))
+
+
+def p4_reasons(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.truncated(table(spark, d, "entries"))
+
+
 def _code(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "entries").where(F.col("entry_type") == "code")
 
@@ -104,5 +117,5 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return reading.reading_bands(table(spark, d, "documents"), table(spark, d, "graded_passages"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_ranking": p3_ranking, "p5_found": p5_found, "p5_redacted": p5_redacted, "p7_found": p7_found, "p9_found": p9_found, "p9_overlaps": p9_overlaps, "p9_leaked": p9_leaked, "p10_found": p10_found}
+QUERIES = {"p3_found": p3_found, "p3_ranking": p3_ranking, "p4_found": p4_found, "p4_shares": p4_shares, "p4_reasons": p4_reasons, "p5_found": p5_found, "p5_redacted": p5_redacted, "p7_found": p7_found, "p9_found": p9_found, "p9_overlaps": p9_overlaps, "p9_leaked": p9_leaked, "p10_found": p10_found}
 SQL = {"p3_found": P3_SQL + "SELECT query_id, entry_id FROM f WHERE rank <= 5", "p3_ranking": P3_SQL + "SELECT query_id, entry_id, closeness, rank FROM f", "p7_found": P7_SQL, "p9_found": P9_SQL, "p9_leaked": P9_LEAKED_SQL}
