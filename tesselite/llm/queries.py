@@ -5,10 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesselite.llm import ideal_rank, leakage, neighbours, reading, secrets, truncation
+from tesselite.llm import history_dedup, ideal_rank, leakage, neighbours, reading, secrets, truncation
 from tesselite.session import table
 
 
+def p2_repeats(spark: SparkSession, d: str) -> DataFrame:
+    return history_dedup.repeats(table(spark, d, "entries"))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return p2_repeats(spark, d).select(F.least("id", "repeat_of").alias("id_a"), F.greatest("id", "repeat_of").alias("id_b")).distinct()
+
+
 HIT_SCORES = {"bm25": 1, "cosine": 1, "caller_count": 1, "age_days": -1}
 
 
@@ -117,5 +125,5 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return reading.reading_bands(table(spark, d, "documents"), table(spark, d, "graded_passages"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_ranking": p3_ranking, "p4_found": p4_found, "p4_shares": p4_shares, "p4_reasons": p4_reasons, "p5_found": p5_found, "p5_redacted": p5_redacted, "p7_found": p7_found, "p9_found": p9_found, "p9_overlaps": p9_overlaps, "p9_leaked": p9_leaked, "p10_found": p10_found}
+QUERIES = {"p2_found": p2_found, "p2_repeats": p2_repeats, "p3_found": p3_found, "p3_ranking": p3_ranking, "p4_found": p4_found, "p4_shares": p4_shares, "p4_reasons": p4_reasons, "p5_found": p5_found, "p5_redacted": p5_redacted, "p7_found": p7_found, "p9_found": p9_found, "p9_overlaps": p9_overlaps, "p9_leaked": p9_leaked, "p10_found": p10_found}
 SQL = {"p3_found": P3_SQL + "SELECT query_id, entry_id FROM f WHERE rank <= 5", "p3_ranking": P3_SQL + "SELECT query_id, entry_id, closeness, rank FROM f", "p7_found": P7_SQL, "p9_found": P9_SQL, "p9_leaked": P9_LEAKED_SQL}
