@@ -82,10 +82,11 @@ class Graph:
         if links is None:
             self._build()
 
-    def _connect(self, a: int, b: int) -> None:
-        row = self.links[a]
-        if b in row:
+    def _connect(self, a: int, b: int, own: bool) -> None:
+        """A link of a to b. Those made when a came stay, so what was reachable stays so; later ones give way to nearer ones."""
+        if b in self.links[a]:
             return
+        row = self.links[a, : self.degree] if own else self.links[a, self.degree :]
         free = np.flatnonzero(row < 0)
         if len(free):
             row[free[0]] = b
@@ -105,7 +106,7 @@ class Graph:
                 ids, sim = np.concatenate([found[r], new[:r]]), np.concatenate([sims[r], near[r, :r]])
                 for b in ids[np.argsort(-sim, kind="stable")[: self.degree]]:
                     if b >= 0:
-                        self._connect(a, b), self._connect(b, a)
+                        self._connect(a, b, True), self._connect(b, a, False)
 
     def search(self, q: np.ndarray, beam: int, size: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Ids (-1: none) and cosines of the best nodes found for each query among the first `size`; all queries walk in step."""
@@ -147,24 +148,32 @@ class Graph:
             sim = np.concatenate([sim, np.where(new, value, np.float32(-9))], 1)
             done = np.concatenate([done, ~new], 1)
 
-    def tune(self, floor: float, target: float, sample: int = 256, seed: int = 7) -> int:
-        """The least doubled beam that finds `target` of the nodes with cosine >= floor that an exhaustive search finds for a sample."""
+    def tune(self, floor: float, target: float, sample: int = 1024, most: int = 256, seed: int = 7) -> int:
+        """The least doubled beam that finds `target` of the nodes with cosine >= floor that an exhaustive search finds for a sample.
+
+        A graph that needs a beam of more than `most` is searched exhaustively, which is faster then.
+        """
         at = np.random.default_rng(seed).permutation(len(self.v))[:sample]
         exact = self.v[at] @ self.v.T
         exact[np.arange(len(at)), at] = -1
-        wanted = [np.flatnonzero(e >= floor) for e in exact]
-        total = sum(map(len, wanted))
-        while total and self.beam < len(self.v):
+        rows, wanted = np.nonzero(exact >= floor)
+        while len(rows):
+            crowd = np.bincount(rows, minlength=len(at))[rows]
             found, _ = self.search(self.v[at], self.beam)
-            if sum(len(np.intersect1d(w, f)) for w, f in zip(wanted, found)) >= target * sum(min(len(w), self.beam - 1) for w in wanted):
+            hit = (found[rows] == wanted[:, None]).any(1)
+            # of a crowd larger than the beam only as much as the beam holds can be found; near() widens it for such
+            if (hit / np.minimum(1.0, (self.beam - 1) / crowd)).sum() >= target * len(rows):
                 break
             self.beam *= 2
+            if self.beam > most:
+                self.beam = len(self.v)
+                break
         return self.beam
 
     def near(self, q: np.ndarray, floor: float) -> Iterator[tuple[int, np.ndarray]]:
         """For each query its nodes with cosine >= floor; a beam that is full of them is doubled, in the end to the whole shard."""
-        for s in range(0, len(q), 512):
-            left, beam = np.arange(s, min(s + 512, len(q))), self.beam
+        for s in range(0, len(q), 128):
+            left, beam = np.arange(s, min(s + 128, len(q))), self.beam
             while len(left):
                 if beam >= len(self.v) // 2:
                     sims = q[left] @ self.v.T
@@ -355,7 +364,7 @@ def repeats(
     floor: float = 0.67,
     shard_rows: int = 8192,
     probes: int = 3,
-    target: float = 0.99,
+    target: float = 0.98,
     **columns: str,
 ) -> DataFrame:
     """id, repeat_of: every entry that repeats an accepted earlier one, and the earliest such.
@@ -382,7 +391,7 @@ class HistoryIndex:
     so a run that breaks off leaves the last version in force.
     """
 
-    def __init__(self, spark: SparkSession, path: str, *, share: float = 0.8, floor: float = 0.67, shard_rows: int = 8192, target: float = 0.99):
+    def __init__(self, spark: SparkSession, path: str, *, share: float = 0.8, floor: float = 0.67, shard_rows: int = 8192, target: float = 0.98):
         self.spark, self.path, self.share, self.floor, self.shard_rows, self.target = spark, path.rstrip("/"), share, floor, shard_rows, target
 
     def _fs(self):
