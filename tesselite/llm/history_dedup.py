@@ -76,7 +76,7 @@ def embed(words: list[np.ndarray]) -> np.ndarray:
 class Graph:
     """A navigable small-world graph over unit vectors."""
 
-    def __init__(self, vectors: np.ndarray, links: np.ndarray | None = None, beam: int = 32, degree: int = 12):
+    def __init__(self, vectors: np.ndarray, links: np.ndarray | None = None, beam: int = 32, degree: int = 16):
         self.v, self.beam, self.degree = np.ascontiguousarray(vectors, "f4"), beam, degree
         self.links = np.full((len(vectors), 2 * degree), -1, "i4") if links is None else links
         if links is None:
@@ -101,7 +101,7 @@ class Graph:
         for s in range(0, len(self.v), batch):
             new = np.arange(s, min(s + batch, len(self.v)))
             near = self.v[new] @ self.v[new].T
-            found, sims = self.search(self.v[new], self.beam, s) if s else (np.zeros((len(new), 0), "i8"), np.zeros((len(new), 0), "f4"))
+            found, sims = self.search(self.v[new], 2 * self.beam, s) if s else (np.zeros((len(new), 0), "i8"), np.zeros((len(new), 0), "f4"))
             for r, a in enumerate(new):
                 ids, sim = np.concatenate([found[r], new[:r]]), np.concatenate([sims[r], near[r, :r]])
                 for b in ids[np.argsort(-sim, kind="stable")[: self.degree]]:
@@ -378,7 +378,7 @@ def repeats(
     facts = firsts.where(F.col("words").isNotNull()).select("key", "at", "id", "words")
     pivots = fit_pivots(facts, facts.count(), shard_rows)
     rows = materialize(nodes(facts, pivots, probes), "nodes")
-    index = materialize(build_shards(rows, shard_rows=shard_rows, floor=floor, target=target), "graphs")
+    index = materialize(build_shards(rows, shard_rows=shard_rows, floor=(floor + share) / 2, target=target), "graphs")
     pairs = materialize(candidate_pairs(index, rows, floor=floor, share=share), "pairs")
     targets = _targets(pairs, rejected_keys(pairs))
     return _assign(members, firsts.select("key", "id", "n"), targets)
@@ -430,7 +430,7 @@ class HistoryIndex:
             known, firsts = None, materialize(firsts, "new")
         rows = materialize(nodes(firsts.where(F.col("words").isNotNull()).select("key", "at", "id", "words"), one, 1), "nodes")
         tag = f"b{self.version() + 1}"
-        own = materialize(build_shards(rows, shard_rows=self.shard_rows, floor=self.floor, target=self.target, tag=tag), "shard")
+        own = materialize(build_shards(rows, shard_rows=self.shard_rows, floor=(self.floor + self.share) / 2, target=self.target, tag=tag), "shard")
         # accepted history comes before the batch, even where its time is later
         everything = own.unionByName(index.withColumn("at", F.col("at") - F.lit(2**61))) if old else own
         pairs = materialize(candidate_pairs(everything, rows, floor=self.floor, share=self.share), "pairs")
@@ -443,7 +443,7 @@ class HistoryIndex:
         found = materialize(found, "found")
         # a shard keeps the accepted entries only; its graph is built of them
         kept = rows.join(rejected, "key", "left_anti")
-        grown = build_shards(kept, shard_rows=self.shard_rows, floor=self.floor, target=self.target, tag=tag)
+        grown = build_shards(kept, shard_rows=self.shard_rows, floor=(self.floor + self.share) / 2, target=self.target, tag=tag)
         now = firsts.join(targets, "key", "left").select("key", F.coalesce("target", "id").alias("first_id"), F.col("target").isNull().alias("accepted"))
         self._write(grown.unionByName(index) if old else grown, now.unionByName(seen) if old else now)
         return found
@@ -457,5 +457,5 @@ class HistoryIndex:
         sizes = index.groupBy("shard").agg(F.count(F.lit(1)).alias("size"))
         sized = index.join(sizes, "shard")
         small = sized.where(F.col("size") < self.shard_rows).select("key", "at", "id", "words", "v", F.array("cell").alias("cells"))
-        merged = build_shards(small, shard_rows=self.shard_rows, floor=self.floor, target=self.target, tag=f"c{self.version() + 1}")
+        merged = build_shards(small, shard_rows=self.shard_rows, floor=(self.floor + self.share) / 2, target=self.target, tag=f"c{self.version() + 1}")
         self._write(merged.unionByName(sized.where(F.col("size") >= self.shard_rows).drop("size").select(*index.columns)), seen)
