@@ -125,7 +125,7 @@ def _recalled(spark, d, **filters):
 
 
 def recall_filtered(spark, d):
-    hits, _ = _recalled(spark, d, types=["experience"], exclude_categories=["conversation", "compression"], tags=["conversation", "topic:auth", "general", "infra"])
+    hits, _ = _recalled(spark, d, types=["experience"], exclude_categories=["conversation", "compression"], tags=["topic:column", "topic:experience", " topic:release ", ""])
     return hits.drop("is_low")
 
 
@@ -436,7 +436,7 @@ SELECT id, cosine, row_number() OVER (ORDER BY cosine DESC, id) AS rank FROM s Q
     "hybrid_search": f"WITH {_HYBRID} SELECT * FROM hits",
     "code_recall": f"WITH {_HYBRID} SELECT id, rank, {_HIT} AS hit FROM hits JOIN {_E} USING (id)",
     "hybrid_peek": f"WITH {_HYBRID} SELECT id, rank, {_PEEK} AS hit FROM hits JOIN {_E} USING (id)",
-    "recall_filtered": f"WITH {_near_sql(_hashed(_NO_TALK + ' AND ' + _overlap('conversation', 'topic:auth', 'general', 'infra')), _QH, 8)} SELECT * FROM near",
+    "recall_filtered": f"WITH {_near_sql(_hashed(_NO_TALK + ' AND ' + _overlap('topic:column', 'topic:experience', 'topic:release')), _QH, 8)} SELECT * FROM near",
     "format_hits": f"WITH {_near_sql(_hashed(), _QH, 8)} SELECT id, rank, {_HIT} AS hit FROM (SELECT *, false AS is_low FROM near) JOIN {_E} USING (id)",
     "prefetch": f"""WITH {_near_sql(_hashed(_NO_TALK), _QH, 5)}, j AS (SELECT string_agg({_HIT}, chr(10) || chr(10) ORDER BY rank) AS t FROM (SELECT *, false AS is_low FROM near) JOIN {_E} USING (id))
 SELECT '## memory' || chr(10) || CASE WHEN length(t) > 4000 THEN substr(t, 1, 4000) || chr(10) || '…(truncated)' ELSE t END AS context FROM j WHERE t <> ''""",
