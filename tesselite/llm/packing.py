@@ -13,8 +13,8 @@ the capacity are left out of the differencing and fitted into the gaps of its ne
 tightest gap first; k also rises while one of them finds no gap. In the end the emptiest window is given
 up as long as its items fit into the gaps of the others.
 
-Defined results: NULL, blank and token-less texts fill nothing and get no row; rows delivered twice
-under one id are two documents; a NULL id gets no row; a capacity that is
+Defined results: NULL, blank and token-less texts fill nothing and get no row; rows of one id
+are one document, the longest of them; a NULL id gets no row; a capacity that is
 NULL or below one is no window; texts of any length are sized whole; empty tables give no rows.
 """
 
@@ -191,7 +191,8 @@ def fillings(
 ) -> DataFrame:
     """window_id, filling, doc_id, piece, n_tokens: for each window, which document (or piece of an oversized one) goes into which filling."""
     spark = documents.sparkSession
-    sized = materialize(token_counts(documents, doc_id=doc_id, text=text, vocabulary=vocabulary), "sizes")
+    counted = token_counts(documents, doc_id=doc_id, text=text, vocabulary=vocabulary)
+    sized = materialize(counted.groupBy("doc_id").agg(F.max("n_tokens").alias("n_tokens")), "sizes")
     # the windows are a stated list: each row of it packs all documents
     kinds = [(w, c) for w, c in windows.select(F.col(window_id).cast("long"), F.col(capacity).cast("long")).distinct().toLocalIterator() if w is not None and c is not None and c >= 1]
     schema = "window_id long, filling string, doc_id long, piece int, n_tokens long"
