@@ -76,28 +76,36 @@ FROM (SELECT kind, explode(transform(sequence(2, size(w) - 1), i -> struct(eleme
 WHERE e.w <> '¶' GROUP BY kind, e.w
 """
 
-#: Every token's class: frequent words and signs are their own, others are told by their shape.
+#: Every token's class: frequent words and signs are their own, others are told by their shape. From
+#: here on tokens and classes are hashes, and `x` tells the words with letters and digits.
 CLASSED = """
-SELECT *, transform(w, t -> CASE
+SELECT seg, id, kind, category, n_chars, last_turn, raw, element_at(w, -2) AS word, element_at(c, -2) AS class,
+  transform(w, t -> xxhash64(kind, 'W', t)) AS hw, transform(c, t -> xxhash64(kind, 'C', t)) AS hc,
+  transform(c, t -> t RLIKE :mixed) AS x, xxhash64(kind, 'W', '¶') AS mark
+FROM (SELECT *, transform(w, t -> CASE
   WHEN array_contains(CASE WHEN kind = 'code' THEN :code ELSE :other END, t) OR NOT t RLIKE :word_start THEN t
   WHEN t RLIKE :letters THEN 'w' WHEN t RLIKE :digits THEN '0' ELSE concat('x', length(t)) END) AS c
-FROM {segments} WHERE size(w) > 2
+FROM {segments} WHERE size(w) > 2)
 """
 
 
 def _keys(i: str) -> str:
     """The hashed n-grams that end at position i: of words, of classes, and the context of a word with letters and digits."""
-    grams = [f"IF({i} >= {n}, xxhash64(kind, 'W{n}', slice(w, greatest({i} - {n - 1}, 1), {n})), NULL)" for n in WORD_ORDERS]
-    grams += [f"IF({i} >= {n}, xxhash64(kind, 'C{n}', slice(c, greatest({i} - {n - 1}, 1), {n})), NULL)" for n in CLASS_ORDERS]
-    grams.append(f"IF(element_at(c, {i}) RLIKE :mixed, xxhash64(kind, 'X', element_at(c, {i} - 1)), NULL)")
+
+    def gram(array: str, n: int) -> str:
+        parts = ", ".join(f"element_at({array}, {i} - {k})" for k in range(n))
+        return f"IF({i} >= {n}, xxhash64({parts}), NULL)"
+
+    grams = [gram("hw", n) for n in WORD_ORDERS] + [gram("hc", n) for n in CLASS_ORDERS]
+    grams.append(f"IF(element_at(x, {i}), xxhash64('X', element_at(hc, {i} - 1)), NULL)")
     return f"array({', '.join(grams)})"
 
 
 GRAMS = f"""
 SELECT k, count(*) AS n, count_if(ends) AS ends FROM (
   SELECT g.ends AS ends, explode(g.ks) AS k FROM (
-    SELECT explode(transform(filter(sequence(2, size(w) - 1), i -> element_at(w, i) <> '¶'),
-      i -> struct({_keys("i")} AS ks, element_at(w, i + 1) = '¶' AS ends))) AS g FROM {{classed}}))
+    SELECT explode(transform(filter(sequence(2, size(hw) - 1), i -> element_at(hw, i) <> mark),
+      i -> struct({_keys("i")} AS ks, element_at(hw, i + 1) = mark AS ends))) AS g FROM {{classed}}))
 WHERE k IS NOT NULL GROUP BY k
 """
 
@@ -116,7 +124,7 @@ _OPEN = " OR ".join(f"length(replace(bare, '{a}', '')) < length(replace(bare, '{
 
 JUDGED = f"""
 WITH finals AS (
-  SELECT seg, id, kind, raw, last_turn, n_chars, category, element_at(w, -2) AS word, element_at(c, -2) AS class, {_keys("(size(w) - 1)")} AS ks FROM {{classed}}),
+  SELECT seg, id, kind, raw, last_turn, n_chars, category, word, class, {_keys("(size(hw) - 1)")} AS ks FROM {{classed}}),
 counted AS (
   SELECT seg, {_COUNTS} FROM (SELECT seg, posexplode(ks) AS (slot, k) FROM finals) f JOIN {{grams}} g ON g.k = f.k GROUP BY seg),
 begun AS (
