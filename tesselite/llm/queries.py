@@ -17,6 +17,26 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return p2_repeats(spark, d).select(F.least("id", "repeat_of").alias("id_a"), F.greatest("id", "repeat_of").alias("id_b")).distinct()
 
 
+# accepted entries are found one after the other: whoever has an earlier partner that isn't rejected is rejected
+_REPEATS = r"""
+WITH RECURSIVE e AS (SELECT id, min(entry_type) AS k, min(text) AS t, min(created_at) AS born FROM entries WHERE text IS NOT NULL GROUP BY id),
+w AS (SELECT id, born, k, list_distinct(regexp_extract_all(lower(t), '[\p{L}\p{N}]+')) AS ws, regexp_replace(t, '\s+', '', 'g') AS bare FROM e),
+n AS (SELECT *, row_number() OVER (ORDER BY born NULLS FIRST, id) AS pos FROM w WHERE CASE WHEN k = 'code' THEN bare <> '' ELSE len(ws) > 0 END),
+p AS (SELECT a.pos AS first, b.pos AS later FROM n a JOIN n b ON a.bare = b.bare AND a.pos < b.pos WHERE a.k = 'code' AND b.k = 'code'
+  UNION ALL SELECT a.pos, b.pos FROM n a JOIN n b ON a.pos < b.pos WHERE a.k <> 'code' AND b.k <> 'code'
+  AND least(len(a.ws), len(b.ws)) >= 0.8 * greatest(len(a.ws), len(b.ws)) AND len(list_intersect(a.ws, b.ws)) >= 0.8 * greatest(len(a.ws), len(b.ws))),
+s AS (SELECT later, list(first) AS firsts, row_number() OVER (ORDER BY later) AS i FROM p GROUP BY later),
+r(i, rejected) AS (SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]) UNION ALL
+  SELECT s.i, CASE WHEN len(list_filter(firsts, lambda x: NOT list_contains(rejected, x))) > 0 THEN list_append(rejected, later) ELSE rejected END FROM r JOIN s ON s.i = r.i + 1),
+f AS (SELECT unnest(rejected) AS pos FROM (SELECT rejected FROM r ORDER BY i DESC LIMIT 1)),
+t AS (SELECT later, min(first) AS first FROM p WHERE later IN (SELECT pos FROM f) AND first NOT IN (SELECT pos FROM f) GROUP BY later),
+found AS (SELECT b.id, a.id AS repeat_of FROM t JOIN n a ON a.pos = t.first JOIN n b ON b.pos = t.later)
+"""
+P2_SQL = {
+    "p2_found": _REPEATS + "SELECT DISTINCT least(id, repeat_of) AS id_a, greatest(id, repeat_of) AS id_b FROM found",
+    "p2_repeats": _REPEATS + "SELECT DISTINCT id, repeat_of FROM found",
+}
+
 HIT_SCORES = {"bm25": 1, "cosine": 1, "caller_count": 1, "age_days": -1}
 
 
@@ -134,4 +154,4 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {"p2_found": p2_found, "p2_repeats": p2_repeats, "p3_found": p3_found, "p3_ranking": p3_ranking, "p4_found": p4_found, "p4_shares": p4_shares, "p4_reasons": p4_reasons, "p5_found": p5_found, "p5_redacted": p5_redacted, "p7_found": p7_found, "p8_fillings": p8_fillings, "p8_usage": p8_usage, "p9_found": p9_found, "p9_overlaps": p9_overlaps, "p9_leaked": p9_leaked, "p10_found": p10_found}
-SQL = {"p3_found": P3_SQL + "SELECT query_id, entry_id FROM f WHERE rank <= 5", "p3_ranking": P3_SQL + "SELECT query_id, entry_id, closeness, rank FROM f", "p7_found": P7_SQL, "p9_found": P9_SQL, "p9_leaked": P9_LEAKED_SQL}
+SQL = {**P2_SQL, "p3_found": P3_SQL + "SELECT query_id, entry_id FROM f WHERE rank <= 5", "p3_ranking": P3_SQL + "SELECT query_id, entry_id, closeness, rank FROM f", "p7_found": P7_SQL, "p9_found": P9_SQL, "p9_leaked": P9_LEAKED_SQL}
