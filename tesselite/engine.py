@@ -141,6 +141,21 @@ class Engine:
         self.store.write("vectors", self.store.read("vectors").join(kept["entries"].select("id"), "id", "left_semi"))
         return message
 
+    def auto_index(self, root: str) -> bool:
+        """Index a checkout on its first use, where the settings say so; whether it was done."""
+        if not self.config.auto_index or recall.is_indexed(self.store.read("projects"), identity.resolve(root)[0]):
+            return False
+        self.index_codebase(root)
+        return True
+
+    def index_metrics(self) -> DataFrame:
+        """name, n_rows, version of every table of the store."""
+        from functools import reduce
+
+        names = ("entries", "vectors", "projects", "file_hashes", "call_edges")
+        counted = [self.store.read(n).agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(n).alias("name"), "n_rows", F.lit(self.store.version(n)).alias("version")) for n in names]
+        return reduce(DataFrame.unionByName, counted)
+
     # --- conversations
 
     def retain_turns(self, messages: DataFrame) -> DataFrame:
@@ -176,6 +191,12 @@ class Engine:
                 return self._said(self.index_codebase(args["path"], args.get("force", False)).select(F.format_string("%s: %d", "change", "n_files").alias("line")), "line", "Nothing to index.", "\n")
             if name == "list_code_projects":
                 return self._said(self.list_projects().select(F.format_string("- %s\n  root: %s\n  indexed: %s", "project_id", "root_path", "indexed").alias("line")), "line", "No projects indexed yet.", "\n")
+            if name == "index_health_check":
+                return self._said(self.index_health_check(*files.live(self.spark, self.store.read("projects"))), "message", "No projects indexed; nothing to check.")
+            if name == "index_metrics":
+                return self._said(self.index_metrics().select(F.format_string("%s: %d rows, version %d", "name", "n_rows", "version").alias("line")), "line", "The store is empty.", "\n")
+            if name == "preload_models":
+                return f"Embedder '{self.config.embedding_model}' is ready with {len(self.embed_text('ready'))} dimensions."
             if name == "index_status":
                 return self._said(self.index_status(args.get("project_id")).select(F.format_string("Code entries: %d\nExperiences: %d\nLast indexed: %s", "code_entries", "experiences", "last_indexed").alias("line")), "line", "The project is not in the catalog.", "\n")
         except (KeyError, TypeError, ValueError) as e:

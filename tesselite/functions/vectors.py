@@ -6,6 +6,7 @@ import hashlib
 import math
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -63,3 +64,23 @@ def codes(vector: Column | str, bits: int = 4) -> Column:
 def decoded(code: Column | str, bits: int = 4) -> Column:
     """The middle values that scalar codes stand for."""
     return F.transform(col(code), lambda c: c.cast("double") / float(2**bits - 1) * 2.0 - 1.0)
+
+
+def batch_embedder(encode: Callable[[list[str]], object]) -> Callable[[Column], Column]:
+    """A column function of a model that embeds a list of texts at once, in Arrow batches; vectors come out with length one.
+
+    A NULL text has no vector. The model should be loaded inside `encode`, so that each worker has its own.
+    """
+    @F.pandas_udf("array<float>")
+    def run(texts: pd.Series) -> pd.Series:
+        import numpy as np
+
+        there = texts.notna()
+        out = pd.Series([None] * len(texts), index=texts.index, dtype=object)
+        if there.any():
+            rows = np.asarray(encode(texts[there].tolist()), "f4")
+            rows = rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-12)
+            out[there] = list(rows)
+        return out
+
+    return run

@@ -54,3 +54,21 @@ def scan(spark: SparkSession, root: str, max_bytes: int = MAX_BYTES) -> DataFram
     text = F.regexp_replace(F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string")), "\r\n?", "\n")
     read = rows.select("path", "language", "n_bytes", text.alias("text"))
     return read.withColumn("content_hash", F.sha2(F.col("text").cast("binary"), 256))
+
+
+def live(spark: SparkSession, projects: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The files (project_id, path) and projects (project_id) that exist on this machine, for a health check.
+
+    Roots are asked for on the driver, one per project; their files are listed by Spark, without being read.
+    """
+    present, found = [], None
+    for project, root in projects.select("project_id", "root_path").distinct().toLocalIterator():
+        if not root or not os.path.isdir(root):
+            continue
+        present.append((project,))
+        top = os.path.abspath(root)
+        paths = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"file://{top}").select(F.regexp_replace("path", "^file:/*", "/").alias("full"))
+        own = paths.select(F.lit(project).alias("project_id"), F.substring("full", len(top) + 2, 1 << 20).alias("path"))
+        found = own if found is None else found.unionByName(own)
+    none = spark.createDataFrame([], "project_id string, path string")
+    return (none if found is None else found), spark.createDataFrame(present, "project_id string")

@@ -35,6 +35,10 @@ class Store:
         done = [int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit() and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}/{n}/_SUCCESS"))]
         return sorted(done)
 
+    def version(self, name: str) -> int:
+        """The version of a table that holds, 0 before its first write."""
+        return max([0, *self._versions(name)])
+
     def read(self, name: str) -> DataFrame:
         """A table; an empty one before its first write."""
         versions = self._versions(name)

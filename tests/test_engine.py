@@ -49,6 +49,9 @@ def test_index_recall_and_tools(spark, checkout, tmp_path):
     assert "error" in json.loads(e.tool("nothing")) and "error" in json.loads(e.tool("code_call_graph"))
     other = Engine(spark, config.Config(data_dir=str(tmp_path / "store"), bit_width=8))
     assert "bit_width" in other.tool("code_recall", {"query": "x"})
+    assert "no stale entries" in e.tool("index_health_check")
+    assert "entries: 4 rows" in e.tool("index_metrics") and "16 dimensions" in e.tool("preload_models")
+    assert not e.auto_index(str(checkout)) and not Engine(spark, config.Config(data_dir=e.store.path, auto_index=True)).auto_index(str(checkout))
     projects = e.store.read("projects")
     live = e.store.read("file_hashes").where("path = 'b.py'")
     assert "Removed" in e.index_health_check(live, projects).first()[0]
@@ -84,3 +87,17 @@ def test_config(tmp_path):
     (tmp_path / "config.yaml").write_text("nonsense: 1\n")
     with pytest.raises(ValueError):
         config.load(str(tmp_path))
+
+
+def test_batch_embedder(spark):
+    from tesselite.functions.vectors import batch_embedder
+
+    embed = batch_embedder(lambda texts: [[float(len(t)), 0.0, 3.0] for t in texts])
+    got = spark.createDataFrame([("aaaa",), (None,)], "t string").select(embed("t").alias("v")).collect()
+    assert [round(x, 3) for x in got[0].v] == [0.8, 0.0, 0.6] and got[1].v is None
+
+
+def test_live_files(spark, checkout):
+    projects = spark.createDataFrame([("p", str(checkout)), ("gone", "/no/such/root"), ("none", None)], "project_id string, root_path string")
+    found, present = files.live(spark, projects)
+    assert {r.project_id for r in present.collect()} == {"p"} and {r.path for r in found.collect()} >= {"a.py", "b.py", "node_modules/c.js"}
