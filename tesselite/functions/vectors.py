@@ -71,16 +71,18 @@ def batch_embedder(encode: Callable[[list[str]], object]) -> Callable[[Column],
 
     A NULL text has no vector. The model should be loaded inside `encode`, so that each worker has its own.
     """
+
     @F.pandas_udf("array<float>")
     def run(texts: pd.Series) -> pd.Series:
         import numpy as np
 
-        there = texts.notna()
-        out = pd.Series([None] * len(texts), index=texts.index, dtype=object)
-        if there.any():
-            rows = np.asarray(encode(texts[there].tolist()), "f4")
+        vectors: list = [None] * len(texts)
+        there = [i for i, t in enumerate(texts) if t is not None]
+        if there:
+            rows = np.asarray(encode([texts.iloc[i] for i in there]), "f4")
             rows = rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-12)
-            out[there] = list(rows)
-        return out
+            for i, row in zip(there, rows):
+                vectors[i] = row
+        return pd.Series(vectors, index=texts.index, dtype=object)
 
     return run
