@@ -9,8 +9,12 @@ A query without tokens, or an empty table, gives no rows.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -66,8 +70,10 @@ def bm25(docs: DataFrame, query: str, k: int | None = None) -> DataFrame:
     spark = docs.sparkSession
     if not terms:
         return spark.createDataFrame([], "id long, score double, rank int")
+    # each row keeps only the query's own tokens, and its length beside them
+    docs = docs.select("id", F.size("tokens").alias("dl"), F.filter("tokens", lambda t: t.isin(*terms)).alias("tokens"))
     tf = [F.size(F.filter("tokens", _equals(w))) for w in terms]
-    stats = docs.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("tokens")).alias("avgdl"), *[F.count_if(F.array_contains("tokens", w)).alias(f"df{i}") for i, w in enumerate(terms)]).first()
+    stats = docs.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.array_contains("tokens", w)).alias(f"df{i}") for i, w in enumerate(terms)]).first()
     n, avgdl = stats["n"], stats["avgdl"] or 0.0
     if not n or not avgdl:
         return spark.createDataFrame([], "id long, score double, rank int")
@@ -78,7 +84,7 @@ def bm25(docs: DataFrame, query: str, k: int | None = None) -> DataFrame:
             weight = asked.count(w) * math.log(1.0 + (n - df + 0.5) / (df + 0.5)) * (K1 + 1)
             score = score + F.lit(weight) * F.col(f"tf{i}") / (F.col(f"tf{i}") + K1 * (1 - B + B * F.col("dl") / avgdl))
         first = F.coalesce(first, F.when(F.col(f"tf{i}") > 0, F.lit(i)))
-    rows = docs.select("id", F.size("tokens").alias("dl"), *[t.alias(f"tf{i}") for i, t in enumerate(tf)])
+    rows = docs.where(F.size("tokens") > 0).select("id", "dl", *[t.alias(f"tf{i}") for i, t in enumerate(tf)])
     scored = rows.select("id", F.round(score, 6).alias("score"), first.alias("first")).where(F.col("first").isNotNull())
     return ranked(scored, k, [F.desc("score"), "first", "id"]).select("id", "score", "rank")
 
@@ -116,31 +122,49 @@ def vector_topk(vectors: DataFrame, query: Sequence[float], k: int | None) -> Da
     return ranked(scored, k, [F.desc("cosine"), "id"])
 
 
-def vector_topk_batch(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = 256) -> DataFrame:
+def _block_topk(queries: list[tuple[int, list[float]]], k: int):
+    """Per batch of vectors the k best of each query, by one matrix product."""
+    numbers = np.array([q for q, _ in queries], "i8")
+    dims = {len(v) for _, v in queries}
+    by_dim = {n: [i for i, (_, v) in enumerate(queries) if len(v) == n] for n in dims}
+    wanted = {n: np.array([queries[i][1] for i in at], "f8") for n, at in by_dim.items()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, out = batch.column(0).to_numpy(zero_copy_only=False), []
+            lists = batch.column(1)
+            sizes = np.array([-1 if x is None else x for x in pc.list_value_length(lists).to_pylist()])
+            for n, at in by_dim.items():
+                rows = np.flatnonzero(sizes == n)
+                if not len(rows):
+                    continue
+                x = lists.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).astype("f8").reshape(len(rows), n)
+                q = wanted[n]
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    sims = np.round((q @ x.T) / np.sqrt((q * q).sum(1)[:, None] * (x * x).sum(1)[None, :]), 6)
+                for i, s in zip(at, sims):
+                    good = np.flatnonzero(~np.isnan(s))
+                    best = good[np.lexsort((ids[rows[good]], -s[good]))[:k]]
+                    out += [(numbers[i], ids[rows[j]], s[j]) for j in best]
+            cols = list(zip(*out)) if out else ([], [], [])
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], names=["query_id", "id", "cosine"])
+
+    return run
+
+
+def vector_topk_batch(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = 1024) -> DataFrame:
     """query_id, id, cosine, rank. queries: query_id, query; a stated set, taken in blocks of `block` against all vectors.
 
-    A block rides along as one literal, so vectors are read once per block and never shuffled; per task each query keeps its best k.
+    A block travels with the task, so vectors are read once per block and never shuffled; of each Arrow
+    batch every query keeps its k best. The product is a matrix product, which array functions can't express.
     """
-    from functools import reduce
-
-    parts, rows = [], []
-
-    def part(some: list) -> DataFrame:
-        literal = F.array(*[F.struct(F.lit(q).cast("long").alias("query_id"), F.array(*[F.lit(float(x)) for x in v]).alias("query")) for q, v in some])
-        crossed = vectors.select("id", "embedding", F.explode(literal).alias("q"))
-        scored = crossed.select(F.col("q.query_id").alias("query_id"), "id", F.round(cosine("embedding", "q.query"), 6).alias("cosine")).where(F.col("cosine").isNotNull())
-        order = Window.partitionBy("query_id").orderBy(F.desc("cosine"), "id")
-        return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-
-    for q, v in queries.select("query_id", "query").toLocalIterator():
-        if v is not None:
-            rows.append((q, v))
-        if len(rows) == block:
-            parts.append(part(rows))
-            rows = []
-    if rows or not parts:
-        parts.append(part(rows) if rows else vectors.sparkSession.createDataFrame([], "query_id long, id long, cosine double, rank int"))
-    return reduce(DataFrame.unionByName, parts)
+    rows = [(q, list(v)) for q, v in queries.select("query_id", "query").toLocalIterator() if q is not None and v is not None]
+    if not rows:
+        return vectors.sparkSession.createDataFrame([], "query_id long, id long, cosine double, rank int")
+    source = vectors.select(F.col("id").cast("long"), F.col("embedding").cast("array<double>"))
+    parts = [source.mapInArrow(_block_topk(rows[i : i + block], k), "query_id long, id long, cosine double") for i in range(0, len(rows), block)]
+    order = Window.partitionBy("query_id").orderBy(F.desc("cosine"), "id")
+    return reduce(DataFrame.unionAll, parts).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def quantized_topk(vectors: DataFrame, query: Sequence[float], k: int, bits: int = 4, widen: int = 4) -> DataFrame:
