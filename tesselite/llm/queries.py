@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesselite.llm import history_dedup, ideal_rank, leakage, neighbours, packing, reading, secrets, truncation, truncation_sql
+from tesselite.llm import history_dedup, ideal_rank, leakage, neighbours, packing, reading, secrets, secrets_sql, truncation, truncation_sql
 from tesselite.session import table
 
 
@@ -164,4 +164,4 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {"p2_found": p2_found, "p2_repeats": p2_repeats, "p3_found": p3_found, "p3_ranking": p3_ranking, "p4_found": p4_found, "p4_shares": p4_shares, "p4_reasons": p4_reasons, "p5_found": p5_found, "p5_redacted": p5_redacted, "p7_found": p7_found, "p8_fillings": p8_fillings, "p8_usage": p8_usage, "p9_found": p9_found, "p9_overlaps": p9_overlaps, "p9_leaked": p9_leaked, "p10_found": p10_found}
-SQL = {**P2_SQL, **P4_SQL, "p3_found": P3_SQL + "SELECT query_id, entry_id FROM f WHERE rank <= 5", "p3_ranking": P3_SQL + "SELECT query_id, entry_id, closeness, rank FROM f", "p7_found": P7_SQL, "p9_found": P9_SQL, "p9_leaked": P9_LEAKED_SQL}
+SQL = {**P2_SQL, **P4_SQL, "p5_found": secrets_sql.build(), "p3_found": P3_SQL + "SELECT query_id, entry_id FROM f WHERE rank <= 5", "p3_ranking": P3_SQL + "SELECT query_id, entry_id, closeness, rank FROM f", "p7_found": P7_SQL, "p9_found": P9_SQL, "p9_leaked": P9_LEAKED_SQL}
