@@ -176,13 +176,13 @@ class Engine:
                 return self._memory_store(**args)
             if name in ("code_recall", "code_peek"):
                 if not str(args.get("query", "")).strip():
-                    return "Query is empty."
+                    return "The query is empty."
                 if self.store.read("projects").isEmpty():
-                    return "No projects indexed yet. Use index_codebase(path) first." + NO_HIT
+                    return "The catalog is empty: index a checkout with index_codebase first." + NO_HIT
                 if (wrong := self.config_mismatch().first()) is not None:
                     return f"The index was built with {wrong['key']} = {wrong['value']}, not {wrong['configured']}. Rebuild it with force."
                 hits = self.code_recall(args["query"], args.get("limit"), args.get("project_id"), name == "code_peek")
-                return self._said(hits, "hit", "No matching code entries." + NO_HIT)
+                return self._said(hits, "hit", "No code matches." + NO_HIT)
             if name == "code_call_graph":
                 edges = self.code_call_graph(args["name"], args.get("direction", "callers"), args.get("project_id"))
                 other = "caller_symbol" if args.get("direction", "callers") == "callers" else "callee"
@@ -190,9 +190,9 @@ class Engine:
             if name == "index_codebase":
                 return self._said(self.index_codebase(args["path"], args.get("force", False)).select(F.format_string("%s: %d", "change", "n_files").alias("line")), "line", "Nothing to index.", "\n")
             if name == "list_code_projects":
-                return self._said(self.list_projects().select(F.format_string("- %s\n  root: %s\n  indexed: %s", "project_id", "root_path", "indexed").alias("line")), "line", "No projects indexed yet.", "\n")
+                return self._said(self.list_projects().select(F.format_string("- %s\n  root: %s\n  indexed: %s", "project_id", "root_path", "indexed").alias("line")), "line", "The catalog is empty.", "\n")
             if name == "index_health_check":
-                return self._said(self.index_health_check(*files.live(self.spark, self.store.read("projects"))), "message", "No projects indexed; nothing to check.")
+                return self._said(self.index_health_check(*files.live(self.spark, self.store.read("projects"))), "message", "Nothing to check.")
             if name == "index_metrics":
                 return self._said(self.index_metrics().select(F.format_string("%s: %d rows, version %d", "name", "n_rows", "version").alias("line")), "line", "The store is empty.", "\n")
             if name == "preload_models":
@@ -212,11 +212,11 @@ class Engine:
             return f"Remembered #{self.remember(rows).first()['id']}."
         if action == "recall":
             if not str(args.get("query", "")).strip():
-                return "Query is empty."
+                return "The query is empty."
             filters = {k: args[k] for k in ("project_id", "types", "exclude_categories", "tags") if args.get(k)}
-            return self._said(self.recall(args["query"], args.get("limit"), **filters), "hit", "No matching memories found." + NO_HIT)
+            return self._said(self.recall(args["query"], args.get("limit"), **filters), "hit", "Nothing in memory matches." + NO_HIT)
         if action == "list":
-            return self._said(self.list_experiences(args.get("limit", 20), args.get("category"), args.get("tags")), "line", "No experiences stored yet.", "\n")
+            return self._said(self.list_experiences(args.get("limit", 20), args.get("category"), args.get("tags")), "line", "No facts are stored.", "\n")
         return json.dumps({"error": f"unknown action: {action}"})
 
     @staticmethod

@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from tesselite.functions.tags import encode
 
+# fixed values: lengths, and the mark of a cut
 TURN_CHARS, MESSAGE_CHARS, LAST_MESSAGES = 1200, 500, 10
 CUT = "\n…(truncated)"
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tesselite.functions.text import col, stripped
 
-#: Stripped in this order, each at most once.
+# fixed values: schemes of remotes, stripped in this order, each at most once
 PREFIXES = ("https://", "http://", "git@", "ssh://")
 
 

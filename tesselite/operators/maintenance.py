@@ -11,6 +11,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 FILE = ["project_id", "path"]
+# fixed values: the texts of the report
+COUNTED = {
+    "stale_entries": "%d stale Code Entries",
+    "orphan_hashes": "%d orphaned file hashes",
+    "stale_edges": "%d stale call graph edges",
+    "absent_projects": "%d absent project(s) removed",
+}
+NOTHING_STALE = "Index health check complete: no stale entries found."
+REMOVED = "Index health check complete. Removed "
 
 
 def diff(scan: DataFrame, state: DataFrame) -> DataFrame:
@@ -88,6 +97,5 @@ def health(entries: DataFrame, hashes: DataFrame, edges: DataFrame, projects: Da
 
 def report_text(report: DataFrame) -> DataFrame:
     """The counters as one sentence."""
-    parts = [("stale_entries", "%d stale Code Entries"), ("orphan_hashes", "%d orphaned file hashes"), ("stale_edges", "%d stale call graph edges"), ("absent_projects", "%d absent project(s) removed")]
-    said = F.concat_ws(", ", *[F.when(F.col(c) > 0, F.format_string(form, c)) for c, form in parts])
-    return report.select(F.when(said == "", "Index health check complete: no stale entries found.").otherwise(F.concat(F.lit("Index health check complete. Removed "), said, F.lit("."))).alias("message"))
+    said = F.concat_ws(", ", *[F.when(F.col(c) > 0, F.format_string(form, c)) for c, form in COUNTED.items()])
+    return report.select(F.when(said == "", NOTHING_STALE).otherwise(F.concat(F.lit(REMOVED), said, F.lit("."))).alias("message"))

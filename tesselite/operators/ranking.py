@@ -22,6 +22,7 @@ from pyspark.sql.window import Window
 from tesselite.functions.text import document_text, tokens
 from tesselite.functions.vectors import codes, cosine, decoded
 
+# fixed values: the constants of the formula
 K1, B = 1.5, 0.75
 
 

@@ -29,7 +29,7 @@ def test_scan_without_git(spark, checkout):
 
 def test_index_recall_and_tools(spark, checkout, tmp_path):
     e = Engine(spark, config.Config(data_dir=str(tmp_path / "store")))
-    assert "No projects indexed" in e.tool("code_recall", {"query": "helper"})
+    assert "The catalog is empty" in e.tool("code_recall", {"query": "helper"})
     counts = {r.change: r.n_files for r in e.index_codebase(str(checkout)).collect()}
     assert counts == {"added": 2, "unreadable": 1}
     assert {r.change: r.n_files for r in e.index_codebase(str(checkout)).collect()} == {"unchanged": 2, "unreadable": 1}
