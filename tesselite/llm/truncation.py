@@ -101,14 +101,34 @@ def _keys(i: str) -> str:
     return f"array({', '.join(grams)})"
 
 
-GRAMS = f"""
+def _shifted(array: str, k: int) -> str:
+    return array if k == 0 else f"concat(array_repeat(CAST(NULL AS BIGINT), {k}), {array})"
+
+
+def _grams_sql() -> str:
+    """k, n, ends of every n-gram: shifted copies of a row's arrays stand beside each other, so each position becomes a row of plain columns."""
+    arrays = {f"a{k}": _shifted("hw", k) for k in range(max(WORD_ORDERS))} | {f"b{k}": _shifted("hc", k) for k in range(max(CLASS_ORDERS))}
+    zipped = ", ".join([*arrays.values(), "x", "slice(hw, 2, size(hw))"])
+    # a zipped column keeps its name, an expression has its number
+    names = {"a0": "hw", "b0": "hc", "x": "x"}
+    fields = ", ".join(f"g['{names.get(n, i)}'] AS {n}" for i, n in enumerate([*arrays, "x", "following"]))
+
+    def gram(p: str, n: int) -> str:
+        return f"IF({p}{n - 1} IS NULL, NULL, xxhash64({', '.join(f'{p}{k}' for k in range(n))}))"
+
+    # code is never judged by two or three words
+    keys = [gram("a", n) if n == 1 else f"IF(kind = 'code', NULL, {gram('a', n)})" for n in WORD_ORDERS] + [gram("b", n) for n in CLASS_ORDERS] + ["IF(x, xxhash64('X', b1), NULL)"]
+    return f"""
 SELECT k, count(*) AS n, count_if(ends) AS ends FROM (
-  SELECT g.ends AS ends, explode(g.ks) AS k FROM (
-    SELECT explode(transform(filter(sequence(2, size(hw) - 1), i -> element_at(hw, i) <> mark),
-      i -> struct({_keys("i")} AS ks, element_at(hw, i + 1) = mark AS ends))) AS g FROM {{classed}}))
+  SELECT following = mark AS ends, explode(array({", ".join(keys)})) AS k
+  FROM (SELECT kind, mark, {fields} FROM (SELECT kind, mark, explode(arrays_zip({zipped})) AS g FROM {{classed}}))
+  WHERE a0 <> mark AND following IS NOT NULL)
 WHERE k IS NOT NULL GROUP BY k
 """
 
+
+GRAMS = _grams_sql()
+
 SLOTS = [f"W{n}" for n in WORD_ORDERS] + [f"C{n}" for n in CLASS_ORDERS] + ["X"]
 
 
