@@ -234,10 +234,15 @@ def fit_pivots(firsts: DataFrame, n: int, shard_rows: int, sample_rows: int = 40
     share = sample_rows / max(n, 1)
     sample = firsts if share >= 1 else firsts.where(F.pmod(F.xxhash64("key", F.lit(seed)), F.lit(1_000_000)) < int(1_000_000 * share) + 1)
     lists = [np.array(r[0], "i8") for r in sample.select("words").limit(sample_rows).collect()]
-    k = max(1, min(math.ceil(n / shard_rows), len(lists) // 8))
-    if k == 1 or not lists:
+    return pivots_of(embed(lists) if lists else np.zeros((0, DIM), "f4"), math.ceil(n / shard_rows), seed)
+
+
+def pivots_of(v: np.ndarray, k: int, seed: int = 7) -> np.ndarray:
+    """At most k pivots of a sample of vectors, one for eight of them at most."""
+    k = max(1, min(k, len(v) // 8))
+    if k == 1:
         return np.ones((1, DIM), "f4")
-    v, rng = embed(lists), np.random.default_rng(seed)
+    rng = np.random.default_rng(seed)
     centre = v[rng.permutation(len(v))[:k]]
     for _ in range(8):
         own = (v @ centre.T).argmax(1)
@@ -246,6 +251,19 @@ def fit_pivots(firsts: DataFrame, n: int, shard_rows: int, sample_rows: int = 40
     return centre.astype("f4")
 
 
+def _cells(pivots: np.ndarray):
+    """The nearest pivot of nodes that have their vector."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            v = np.frombuffer(b"".join(batch.column("v").to_pylist()), "f4").reshape(-1, DIM)
+            own = (v @ pivots.T).argmax(1).astype("i4")
+            columns = [batch.column(c) for c in ("key", "at", "id", "words", "v")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(list(own[:, None]), pa.list_(pa.int32()))], names=["key", "at", "id", "words", "v", "cells"])
+
+    return run
+
+
 def _read(column: pa.ChunkedArray, dtype: str) -> list[np.ndarray]:
     return [np.frombuffer(x, dtype) for x in column.to_pylist()]
 
@@ -391,8 +409,8 @@ class HistoryIndex:
     so a run that breaks off leaves the last version in force.
     """
 
-    def __init__(self, spark: SparkSession, path: str, *, share: float = 0.8, floor: float = 0.67, shard_rows: int = 8192, target: float = 0.98):
-        self.spark, self.path, self.share, self.floor, self.shard_rows, self.target = spark, path.rstrip("/"), share, floor, shard_rows, target
+    def __init__(self, spark: SparkSession, path: str, *, share: float = 0.8, floor: float = 0.67, shard_rows: int = 8192, probes: int = 3, target: float = 0.98):
+        self.spark, self.path, self.share, self.floor, self.shard_rows, self.probes, self.target = spark, path.rstrip("/"), share, floor, shard_rows, probes, target
 
     def _fs(self):
         at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
@@ -406,12 +424,22 @@ class HistoryIndex:
         names = [s.getPath().getName() for s in fs.listStatus(at)]
         return max([0, *(int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit() and fs.exists(path(f"{self.path}/{n}/seen/_SUCCESS")))])
 
+    def pivots(self) -> np.ndarray:
+        """The pivots of the current version; one for everything before the first compaction."""
+        v = self.version()
+        if not v:
+            return np.ones((1, DIM), "f4")
+        rows = self.spark.read.schema("cell int, v binary").parquet(f"{self.path}/v{v}/pivots").orderBy("cell").collect()
+        return np.stack([np.frombuffer(bytes(r["v"]), "f4") for r in rows])
+
     def _tables(self) -> tuple[DataFrame, DataFrame] | None:
         v = self.version()
         return (self.spark.read.schema(INDEX).parquet(f"{self.path}/v{v}/index"), self.spark.read.schema("key string, first_id long, accepted boolean").parquet(f"{self.path}/v{v}/seen")) if v else None
 
-    def _write(self, index: DataFrame, seen: DataFrame) -> None:
+    def _write(self, index: DataFrame, seen: DataFrame, pivots: np.ndarray) -> None:
         v = self.version() + 1
+        rows = [(i, bytearray(p.tobytes())) for i, p in enumerate(pivots)]
+        self.spark.createDataFrame(rows, "cell int, v binary").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/v{v}/pivots")
         index.write.mode("overwrite").parquet(f"{self.path}/v{v}/index")
         seen.write.mode("overwrite").parquet(f"{self.path}/v{v}/seen")
 
@@ -421,14 +449,14 @@ class HistoryIndex:
         firsts = members.groupBy("key").agg(F.min(F.struct("at", "id")).alias("f"), F.count(F.lit(1)).alias("n"), F.first("words").alias("words"))
         firsts = firsts.select("key", F.col("f.at").alias("at"), F.col("f.id").alias("id"), "n", "words")
         old = self._tables()
-        one = np.ones((1, DIM), "f4")
+        pivots = self.pivots()
         if old:
             index, seen = old
             known = materialize(firsts.join(seen, "key").select("key", F.col("first_id").alias("target"), "n", "id"), "known")
             firsts = materialize(firsts.join(seen, "key", "left_anti"), "new")
         else:
             known, firsts = None, materialize(firsts, "new")
-        rows = materialize(nodes(firsts.where(F.col("words").isNotNull()).select("key", "at", "id", "words"), one, 1), "nodes")
+        rows = materialize(nodes(firsts.where(F.col("words").isNotNull()).select("key", "at", "id", "words"), pivots, self.probes), "nodes")
         tag = f"b{self.version() + 1}"
         own = materialize(build_shards(rows, shard_rows=self.shard_rows, floor=(self.floor + self.share) / 2, target=self.target, tag=tag), "shard")
         # accepted history comes before the batch, even where its time is later
@@ -445,17 +473,31 @@ class HistoryIndex:
         kept = rows.join(rejected, "key", "left_anti")
         grown = build_shards(kept, shard_rows=self.shard_rows, floor=(self.floor + self.share) / 2, target=self.target, tag=tag)
         now = firsts.join(targets, "key", "left").select("key", F.coalesce("target", "id").alias("first_id"), F.col("target").isNull().alias("accepted"))
-        self._write(grown.unionByName(index) if old else grown, now.unionByName(seen) if old else now)
+        self._write(grown.unionByName(index) if old else grown, now.unionByName(seen) if old else now, pivots)
         return found
 
-    def compact(self) -> None:
-        """Merge the shards that are not full, oldest first, into as few as their rows need, and rebuild their graphs."""
+    def compact(self, sample_rows: int = 4096) -> None:
+        """Merge the shards of a cell that are not full, oldest first, and rebuild their graphs.
+
+        Once the index has twice the rows that its pivots were made for, new pivots are fitted on a bounded
+        sample of it and every shard is built anew; then a batch meets the shards of its nearest pivots only.
+        """
         old = self._tables()
         if not old:
             return
         index, seen = old
-        sizes = index.groupBy("shard").agg(F.count(F.lit(1)).alias("size"))
-        sized = index.join(sizes, "shard")
-        small = sized.where(F.col("size") < self.shard_rows).select("key", "at", "id", "words", "v", F.array("cell").alias("cells"))
-        merged = build_shards(small, shard_rows=self.shard_rows, floor=(self.floor + self.share) / 2, target=self.target, tag=f"c{self.version() + 1}")
-        self._write(merged.unionByName(sized.where(F.col("size") >= self.shard_rows).drop("size").select(*index.columns)), seen)
+        pivots, n = self.pivots(), index.count()
+        tag = f"c{self.version() + 1}"
+        floor = (self.floor + self.share) / 2
+        node = ["key", "at", "id", "words", "v"]
+        if math.ceil(n / self.shard_rows) >= 2 * len(pivots):
+            bucket = F.pmod(F.xxhash64("key"), F.lit(1_000_000))
+            rows = index.where(bucket < max(1, int(1_000_000 * sample_rows / n))).select("v").limit(sample_rows).collect()
+            pivots = pivots_of(np.stack([np.frombuffer(bytes(r["v"]), "f4") for r in rows]), math.ceil(n / self.shard_rows)) if rows else pivots
+            small, kept = index.select(*node).mapInArrow(_cells(pivots), f"{NODE}, cells array<int>"), None
+        else:
+            sized = index.join(index.groupBy("shard").agg(F.count(F.lit(1)).alias("size")), "shard")
+            small = sized.where(F.col("size") < self.shard_rows).select(*node, F.array("cell").alias("cells"))
+            kept = sized.where(F.col("size") >= self.shard_rows).select(*index.columns)
+        merged = build_shards(small, shard_rows=self.shard_rows, floor=floor, target=self.target, tag=tag)
+        self._write(merged if kept is None else merged.unionByName(kept), seen, pivots)

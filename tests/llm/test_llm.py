@@ -67,17 +67,18 @@ def test_repeats_against_brute_force(spark, rows):
     assert history_dedup.repeats(_entries(spark, [])).count() == 0
 
 
-def test_history_index_by_batches(spark, rows, tmp_path):
+@pytest.mark.parametrize("shard_rows", [8192, 16])
+def test_history_index_by_batches(spark, rows, tmp_path, shard_rows):
     data = [(i, k, t, i, c) for i, k, t, _, c in _facts(120, 9)]
     want = _brute_repeats(data)
-    index = history_dedup.HistoryIndex(spark, f"file://{tmp_path}/index")
+    index = history_dedup.HistoryIndex(spark, f"file://{tmp_path}/index", shard_rows=shard_rows)
     got = set()
     for n in range(3):
         got |= rows(index.add(_entries(spark, data[40 * n : 40 * n + 40])))
         if n == 1:
             index.compact()
     assert not got - want and len(got) >= 0.95 * len(want)
-    assert index.version() == 4
+    assert index.version() == 4 and (len(index.pivots()) > 1) == (shard_rows == 16)
 
 
 def test_graph_recall_and_crowds():
