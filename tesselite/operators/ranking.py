@@ -21,6 +21,7 @@ from pyspark.sql.window import Window
 
 from tesselite.functions.text import document_text, tokens
 from tesselite.functions.vectors import codes, cosine, decoded
+from tesselite.session import materialize
 
 # fixed values: the constants of the formula
 K1, B = 1.5, 0.75
@@ -62,17 +63,17 @@ def _equals(word: str):
 def bm25(docs: DataFrame, query: str, k: int | None = None) -> DataFrame:
     """id, score, rank of the best k documents, or all that match.
 
-    The terms of one query are few and known, so frequencies are counted inside each row: one pass
-    gathers n, average length and the terms' document frequencies into one row, a second scores. No
-    posting is shuffled; the best k are kept per task before they meet.
+    The terms of one query are few and known, so a row keeps only those of its own tokens, with its
+    length, in a narrow table; the texts are read once. From that table come n, average length and the
+    terms' document frequencies in one row, then the scores. No posting is shuffled; the best k are kept
+    per task before they meet.
     """
     asked = query_tokens(query)
     terms = list(dict.fromkeys(asked))
     spark = docs.sparkSession
     if not terms:
         return spark.createDataFrame([], "id long, score double, rank int")
-    # each row keeps only the query's own tokens, and its length beside them
-    docs = docs.select("id", F.size("tokens").alias("dl"), F.filter("tokens", lambda t: t.isin(*terms)).alias("tokens"))
+    docs = materialize(docs.select("id", F.size("tokens").alias("dl"), F.filter("tokens", lambda t: t.isin(*terms)).alias("tokens")), "hits")
     tf = [F.size(F.filter("tokens", _equals(w))) for w in terms]
     stats = docs.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.array_contains("tokens", w)).alias(f"df{i}") for i, w in enumerate(terms)]).first()
     n, avgdl = stats["n"], stats["avgdl"] or 0.0
