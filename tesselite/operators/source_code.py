@@ -142,18 +142,23 @@ def call_edges(files: DataFrame, *keys: str, text: str = "text", path: str = "pa
     own line is not looked at, nor are keywords and the function itself.
     """
     keyed = files.withColumn("_lang", language(path)).where(F.col("_lang").isin(*FUNCTION_KEYWORDS) & F.col(text).isNotNull())
-    keyword = F.create_map(*[x for n, w in FUNCTION_KEYWORDS.items() for x in (F.lit(n), F.lit(w))])[F.col("_lang")]
-    rows = keyed.select(*keys, "_lang", keyword.alias("_kw"), _lines(F.col(text)).alias("_l"))
-    # Python's definitions begin the line as it is, others the line without its indent
-    shown = F.when(F.col("_lang") == "python", F.lit(True)).otherwise(F.lit(False))
-    names = F.transform("_l", lambda s: F.regexp_extract(F.when(shown, s).otherwise(F.trim(F.translate(s, "\t", " "))), rf"^(def|function|func|fn)\s+({WORD})\s*\(", 2))
-    words = F.transform("_l", lambda s: F.regexp_extract(F.when(shown, s).otherwise(F.trim(F.translate(s, "\t", " "))), rf"^(def|function|func|fn)\s+{WORD}\s*\(", 1))
-    rows = rows.withColumn("_d", F.zip_with(names, words, lambda n, w: F.when((w == F.col("_kw")) & (n != ""), n)))
+    rows = keyed.select(*keys, "_lang", _lines(F.col(text)).alias("_l"))
+
+    def defined(line: Column) -> Column:
+        """The function that a line defines, by its file's language; Python's definitions begin the line as it is, others the line without its indent."""
+        bare = F.trim(F.translate(line, "\t", " "))
+        name = F.lit("")
+        for lang, word in FUNCTION_KEYWORDS.items():
+            name = F.when(F.col("_lang") == lang, F.regexp_extract(line if lang == "python" else bare, rf"^{word}\s+({WORD})\s*\(", 1)).otherwise(name)
+        return F.nullif(name, F.lit(""))
+
+    rows = rows.withColumn("_d", F.transform("_l", lambda s: F.when(s.contains("("), defined(s))))
     rows = rows.withColumn("_at", F.filter(F.sequence(F.lit(1), F.size("_l")), lambda i: F.element_at("_d", i).isNotNull())).where(F.size("_at") > 0)
-    lines = F.filter(F.sequence(F.lit(1), F.size("_l")), lambda i: (i > F.element_at("_at", 1)) & F.element_at("_d", i).isNull())
-    each = rows.select(*keys, "_lang", "_l", "_d", "_at", F.explode(lines).alias("callee_line"))
-    start = F.element_at(F.filter("_at", lambda a: a < F.col("callee_line")), -1)
-    each = each.select(*keys, "_lang", "callee_line", start.alias("caller_start_line"), F.element_at("_d", start).alias("caller_symbol"), F.regexp_extract_all(F.element_at("_l", F.col("callee_line")), F.lit(CALL), F.lit(1)).alias("_c"))
+    lines = F.filter(F.sequence(F.lit(1), F.size("_l")), lambda i: (i > F.element_at("_at", 1)) & F.element_at("_d", i).isNull() & F.element_at("_l", i).contains("("))
+    # a line's calls are found inside the row, so the exploded rows don't carry the file with them
+    found = F.transform(lines, lambda i: F.struct(i.alias("i"), F.element_at(F.filter("_at", lambda a: a < i), -1).alias("start"), F.regexp_extract_all(F.element_at("_l", i), F.lit(CALL), F.lit(1)).alias("calls")))
+    named = F.transform(found, lambda x: F.struct(x["i"].alias("callee_line"), x["start"].alias("caller_start_line"), F.element_at("_d", x["start"]).alias("caller_symbol"), x["calls"].alias("_c")))
+    each = rows.select(*keys, "_lang", F.explode(named).alias("_e")).select(*keys, "_lang", "_e.*")
     calls = each.select(*keys, "_lang", "caller_symbol", F.explode("_c").alias("callee"), "caller_start_line", F.col("callee_line").alias("caller_end_line"), "callee_line")
     skipped = F.when(F.col("_lang") == "python", F.col("callee").isin(*NO_CALLS)).otherwise(F.col("callee").isin(*NO_CALLS_ELSEWHERE))
     return calls.where(~skipped & (F.col("callee") != F.col("caller_symbol"))).drop("_lang")
