@@ -52,7 +52,7 @@ def orphan_records(ref: Reference, salts: int = 8) -> DataFrame:
     for parent in ref.parents:
         keys = parent.toDF(*[f"_p{i}" for i in range(len(parent.columns))])
         keys = keys.select(*[F.col(f"_p{i}").cast("string").alias(n) for i, n in enumerate(names[: len(parent.columns)])]).na.drop().distinct()
-        missing = missing.join(keys, names[: len(parent.columns)] if len(parent.columns) < len(names) else names, "left_anti")
+        missing = missing.join(keys, names[: len(parent.columns)], "left_anti")
     if salts > 1:
         rows = rows.withColumn("_salt", F.pmod(F.xxhash64("record_key"), F.lit(salts)))
         missing = missing.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))

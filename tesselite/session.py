@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import os
 import tempfile
 import uuid
 
@@ -70,12 +69,3 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     path = shared_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def cores(spark: SparkSession) -> int:
-    """Tasks that run at once."""
-    return max(1, spark.sparkContext.defaultParallelism)
-
-
-def local_threads() -> int:
-    return os.cpu_count() or 1
