@@ -124,7 +124,7 @@ def best_stretch(equal: np.ndarray, tolerance: float) -> tuple[int, int]:
     return end - begin, int(equal[begin:end].sum())
 
 
-def _match(index, id_col: str, text_col: str, run_words: int, tolerance: float):
+def _match(index, run_words: int, tolerance: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix, known = index.value, {}
         for batch in batches:
@@ -177,7 +177,7 @@ def overlaps(
     if block or not blocks:
         blocks.append(block)
     schema = "doc_id long, item_id long, item_words long, run long, stretch long, stretch_equal long"
-    found = [docs.mapInArrow(_match(spark.sparkContext.broadcast(Index(b, masks)), "doc_id", "text", run_words, tolerance), schema) for b in blocks]
+    found = [docs.mapInArrow(_match(spark.sparkContext.broadcast(Index(b, masks)), run_words, tolerance), schema) for b in blocks]
     return reduce(DataFrame.unionAll, found)
 
 
