@@ -3,10 +3,11 @@
 Fit: a bounded sample of the vectors (`sample_rows`) goes to the driver, where each tree splits it
 again and again at the median of the projection on the difference of two random members. Every
 vector is then indexed. Search: all trees of a vector share one priority queue; the entry of a node
-is how far the vector would have to move to fall into it, and the first `visits` leaves of the queue
-are visited. The queue is run for a whole batch at once: on each level only the `visits` best nodes
-can lead to the `visits` best leaves, since a child is never nearer than its parent. In a leaf the
-cosines are exact, and so is the ranking of what the leaves gave.
+is how far the vector would have to move to fall into it, and the first leaves of the queue are
+visited: `visits` of them, and `more` for each level below LEVEL, since every further split parts
+some pairs. The queue is run for a whole batch at once: on each level only as many of the best nodes
+can lead to these leaves, since a child is never nearer than its parent. In a leaf the cosines are
+exact, and so is the ranking of what the leaves gave.
 
 Exact copies are one row from the start: they share a key, hashed from the vector, meet in the leaves
 once per batch, and are expanded at the end, each row to at most k partners. So a vector that a third
@@ -30,6 +31,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 BLOCK = 1024
+#: The depth up to which `visits` leaves are enough.
+LEVEL = 6
 
 
 class Forest:
@@ -193,13 +196,15 @@ def nearest(
     min_cosine: float = -1.0,
     trees: int = 2,
     visits: int = 4,
+    more: int = 2,
     leaf_rows: int = 3000,
     sample_rows: int = 131_072,
     seed: int = 7,
 ) -> DataFrame:
     """id, neighbour, cosine, rank: of every id its k most similar other ids with cosine >= min_cosine.
 
-    visits: leaves that a vector visits over all trees; more give better recall and move more vectors.
+    visits, more: leaves that a vector visits over all trees, and how many more for each level of the
+    trees below LEVEL; more give better recall and move more vectors.
     """
     rows = _valid(vectors, id_col, vector_col, dim)
     n = vectors.count()  # from the files' footers
@@ -212,7 +217,7 @@ def nearest(
     x = _unit(_fixed(sample.column("v"), dim)) if sample.num_rows else np.zeros((0, dim), "f4")
     forest = Forest.fit(x, trees if depth else 1, depth, seed)
 
-    routed = rows.select("key", "v").mapInArrow(_route(forest, dim, visits), "leaf long, n_own long, keys binary, x binary")
+    routed = rows.select("key", "v").mapInArrow(_route(forest, dim, visits + more * max(0, depth - LEVEL)), "leaf long, n_own long, keys binary, x binary")
     found = routed.groupBy("leaf").applyInArrow(_leaf(dim, k, min_cosine), "ka long, kb long, cosine double")
     pairs = found.groupBy("ka", "kb").agg(F.max("cosine").alias("cosine"))
 

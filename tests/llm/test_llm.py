@@ -220,6 +220,17 @@ def test_nearest_against_brute_force(spark, rows):
     assert neighbours.nearest(df, k=3).groupBy("id").count().where("count <> 3").count() == 0
 
 
+def test_deep_trees_keep_the_pairs(spark, rows):
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((4096, 64))
+    x = np.concatenate([x, x + 0.35 * rng.standard_normal(x.shape)]).astype("f4")
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, embedding array<float>")
+    unit = x.astype("f8") / np.linalg.norm(x.astype("f8"), axis=1, keepdims=True)
+    want = {(i, i + 4096) for i in range(4096) if unit[i] @ unit[i + 4096] >= 0.9}
+    found = rows(neighbours.nearest(df, min_cosine=0.9, leaf_rows=8).select("id", "neighbour"))  # depth 10
+    assert len(found & want) >= 0.9 * len(want) > 1000
+
+
 def test_queue_visits_the_nearest_leaves():
     rng = np.random.default_rng(2)
     x = rng.standard_normal((500, 8)).astype("f4")
