@@ -1,8 +1,8 @@
 """Incremental indexing and the removal of what no longer exists: joins of a scan with the stored state.
 
 Defined results: files are named by project and path as given; a repeated row of the stored state or
-the scan counts once; a NULL hash of a scan is an unreadable file, which is skipped and leaves the
-state as it is; empty tables are fine on either side.
+the scan counts once; of several sightings of a file the newest holds (see `latest`); a NULL hash of a
+scan is an unreadable file, which is skipped and leaves the state as it is; empty tables are fine on either side.
 """
 
 from __future__ import annotations
@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tesselite.operators.changes import newest
+
 FILE = ["project_id", "path"]
 # fixed values: the texts of the report
 COUNTED = {
@@ -22,10 +24,16 @@ NOTHING_STALE = "Index health check complete: no stale entries found."
 REMOVED = "Index health check complete. Removed "
 
 
+def latest(scans: DataFrame) -> DataFrame:
+    """project_id, path, content_hash of each file's newest sighting by seen_at, then scan_id; a NULL hash holds too."""
+    return newest(scans, FILE, ["seen_at", "scan_id"], ["content_hash"])
+
+
 def diff(scan: DataFrame, state: DataFrame) -> DataFrame:
     """project_id, path, change: `added`, `changed`, `unchanged`, `unreadable` for scanned files, `gone` for others of the state.
 
-    scan, state: project_id, path, content_hash. One full outer join on the file.
+    scan, state: project_id, path, content_hash. One full outer join on the file. A log of sightings
+    goes through `latest` first.
     """
     new = scan.groupBy(*FILE).agg(F.max(F.lower("content_hash")).alias("new_hash"), F.lit(True).alias("seen"))
     old = state.groupBy(*FILE).agg(F.max(F.lower("content_hash")).alias("old_hash"), F.lit(True).alias("known"))

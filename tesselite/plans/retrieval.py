@@ -222,7 +222,7 @@ def language_gate(spark, d):
 # --- maintenance
 
 def incremental_diff(spark, d):
-    return maintenance.diff(table(spark, d, "file_scans"), table(spark, d, "file_hashes")).select("project_id", "path", "change")
+    return maintenance.diff(maintenance.latest(table(spark, d, "file_scans")), table(spark, d, "file_hashes")).select("project_id", "path", "change")
 
 
 def index_counters(spark, d):
@@ -231,13 +231,13 @@ def index_counters(spark, d):
 
 def apply_increment(spark, d):
     state = table(spark, d, "file_hashes").select("project_id", "path", F.lower("content_hash").alias("content_hash")).distinct()
-    return maintenance.next_hashes(state, maintenance.diff(table(spark, d, "file_scans"), state))
+    return maintenance.next_hashes(state, maintenance.diff(maintenance.latest(table(spark, d, "file_scans")), state))
 
 
 def replace_changed(spark, d):
     """Entries per project after the changed files' chunks are replaced by none, as at a scan that finds them empty."""
     e = _entries(spark, d)
-    changes = maintenance.diff(table(spark, d, "file_scans"), table(spark, d, "file_hashes"))
+    changes = maintenance.diff(maintenance.latest(table(spark, d, "file_scans")), table(spark, d, "file_hashes"))
     return maintenance.replaced(e, e.limit(0), changes).groupBy("project_id").agg(F.count(F.lit(1)).alias("n_entries"))
 
 

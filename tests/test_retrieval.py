@@ -176,6 +176,19 @@ def test_maintenance(spark, rows):
     assert {r.id for r in maintenance.replaced(e, new, ch, force=True).collect()} == {3, 8, 9}
 
 
+def test_newest_sighting_holds(spark, rows, tmp_path):
+    from tesselite.plans import retrieval
+
+    # the newest hash is not the greatest, comes first or late, or is NULL; equal times go by scan_id; rows come twice
+    seen = [(2, "back", "1", 9), (1, "back", "F", 5), (3, "fwd", "f", 1), (4, "fwd", "0", 2), (5, "bad", "3", 1), (6, "bad", None, 2), (8, "tie", "a", 4), (7, "tie", "b", 4), (8, "tie", "A", 4)]
+    spark.createDataFrame([(i, "p", f, h, t) for i, f, h, t in seen], "scan_id long, project_id string, path string, content_hash string, seen_at_s long").selectExpr("*", "timestamp_seconds(seen_at_s) AS seen_at").write.parquet(f"{tmp_path}/file_scans.parquet")
+    spark.createDataFrame([("p", "back", "f"), ("p", "fwd", "0"), ("p", "bad", "3"), ("p", "tie", "A")], "project_id string, path string, content_hash string").write.parquet(f"{tmp_path}/file_hashes.parquet")
+    d = str(tmp_path)
+    assert rows(retrieval.incremental_diff(spark, d)) == {("p", "back", "changed"), ("p", "fwd", "unchanged"), ("p", "bad", "unreadable"), ("p", "tie", "unchanged")}
+    assert rows(retrieval.index_counters(spark, d)) == {("changed", 1), ("unchanged", 2), ("unreadable", 1)}
+    assert rows(retrieval.apply_increment(spark, d).select("path", "content_hash")) == {("back", "1"), ("fwd", "0"), ("bad", "3"), ("tie", "a")}
+
+
 def test_health(spark, rows):
     e = spark.createDataFrame([(1, "p", "code", "a"), (2, "p", "code", "gone"), (3, "p", "experience", None), (4, "q", "experience", None), (5, None, "experience", None)], "id long, project_id string, entry_type string, path string")
     h = spark.createDataFrame([("p", "a"), ("p", "gone"), ("p", "lost"), ("q", "z")], "project_id string, path string")
