@@ -16,10 +16,12 @@ so that `although that <word>` is judged even if this very word was never seen t
 * the whole text has a length that far more texts of its category have than have lengths around it
   (a field limit) and does not end a sentence or statement there.
 
+All statistics are over distinct texts of a kind, so copies, in whatever category and under whatever
+id, don't acquit each other or make a length frequent; the verdict goes to every id of a text.
 Counts are one aggregation over hashed n-grams with partial sums in each task; only the n-grams that
 end a turn are joined with it. The frequent words are at most `closed_words`.
 
-Defined results: NULL and blank texts are complete; repeated rows count once per id in the result;
+Defined results: NULL and blank texts are complete; repeated rows count once;
 texts of any length are read whole; an empty table gives no rows. Other columns are not read.
 """
 
@@ -58,14 +60,14 @@ WORD_ORDERS = (3, 2, 1)
 CLASS_ORDERS = (6, 4, 2)
 
 SEGMENTS = """
-SELECT uuid() AS seg, id, kind, category, n_chars, last_turn, raw,
+SELECT uuid() AS seg, doc, kind, last_turn, raw,
   concat(array('¶'), regexp_extract_all(lower(marked), :token, 0), array('¶')) AS w
 FROM (SELECT *, regexp_replace(
     CASE WHEN kind = 'code' THEN replace(raw, chr(10), ' ¶ ') ELSE regexp_replace(raw, :breaks, ' ¶ ') END, :edges, ' ') AS marked
-  FROM (SELECT id, kind, category, n_chars, turn = n_turns - 1 AS last_turn, regexp_replace(raw, :space_end, '') AS raw
-    FROM (SELECT id, kind, category, length(text) AS n_chars, size(turns) AS n_turns, posexplode(turns) AS (turn, raw)
-      FROM (SELECT *, CASE WHEN kind = 'code' THEN array(text) ELSE split(text, :turns) END AS turns
-        FROM {texts} WHERE length(trim(text)) > 0))))
+  FROM (SELECT doc, kind, turn = n_turns - 1 AS last_turn, regexp_replace(raw, :space_end, '') AS raw
+    FROM (SELECT doc, kind, size(turns) AS n_turns, posexplode(turns) AS (turn, raw)
+      FROM (SELECT doc, kind, CASE WHEN kind = 'code' THEN array(text) ELSE split(text, :turns) END AS turns
+        FROM (SELECT doc, kind, any_value(text) AS text FROM {texts} GROUP BY doc, kind)))))
 """
 
 #: Words with how often they stand in texts and how often something ends after them.
@@ -79,7 +81,7 @@ WHERE e.w <> '¶' GROUP BY kind, e.w
 #: Every token's class: frequent words and signs are their own, others are told by their shape. From
 #: here on tokens and classes are hashes, and `x` tells the words with letters and digits.
 CLASSED = """
-SELECT seg, id, kind, category, n_chars, last_turn, raw, element_at(w, -2) AS word, element_at(c, -2) AS class,
+SELECT seg, doc, kind, last_turn, raw, element_at(w, -2) AS word, element_at(c, -2) AS class,
   transform(w, t -> xxhash64(kind, 'W', t)) AS hw, transform(c, t -> xxhash64(kind, 'C', t)) AS hc,
   transform(c, t -> t RLIKE :mixed) AS x, xxhash64(kind, 'W', '¶') AS mark
 FROM (SELECT *, transform(w, t -> CASE
@@ -144,26 +146,26 @@ _OPEN = " OR ".join(f"length(replace(bare, '{a}', '')) < length(replace(bare, '{
 
 JUDGED = f"""
 WITH finals AS (
-  SELECT seg, id, kind, raw, last_turn, n_chars, category, word, class, {_keys("(size(hw) - 1)")} AS ks FROM {{classed}}),
+  SELECT seg, doc, kind, raw, last_turn, word, class, {_keys("(size(hw) - 1)")} AS ks FROM {{classed}}),
 counted AS (
   SELECT seg, {_COUNTS} FROM (SELECT seg, posexplode(ks) AS (slot, k) FROM finals) f JOIN {{grams}} g ON g.k = f.k GROUP BY seg),
 begun AS (
   SELECT kind, substring(word, 1, l) AS prefix, max(n) AS n
   FROM (SELECT kind, word, n - ends AS n, explode(sequence(1, length(word) - 1)) AS l FROM {{words}} WHERE n - ends >= :seen AND length(word) > 1 AND word RLIKE :letters) GROUP BY 1, 2),
 inside AS (SELECT kind, word, n - ends AS n FROM {{words}} WHERE n > ends),
-lengths AS (SELECT kind, category, n_chars, count(*) AS n FROM (SELECT DISTINCT id, kind, category, length(text) AS n_chars FROM {{texts}} WHERE length(trim(text)) > 0) GROUP BY 1, 2, 3),
+lengths AS (SELECT kind, category, n_chars, count(*) AS n FROM (SELECT DISTINCT doc, kind, category, n_chars FROM {{owners}}) GROUP BY 1, 2, 3),
 around AS (SELECT kind, category, n, n_chars AS other, explode(sequence(n_chars - 20, n_chars + 20)) AS n_chars FROM lengths),
 limits AS (
   SELECT a.kind, a.category, a.n_chars FROM lengths a
   LEFT JOIN around b ON a.kind = b.kind AND a.category <=> b.category AND a.n_chars = b.n_chars AND a.n_chars <> b.other
   WHERE a.n >= :least GROUP BY a.kind, a.category, a.n_chars, a.n HAVING a.n >= :excess * (coalesce(sum(b.n), 0) / 40 + 0.1D)),
 facts AS (
-  SELECT f.id, f.kind, f.raw, f.class, c.*, b.prefix IS NOT NULL AND coalesce(i.n, 0) * 100 <= b.n AS part_word, l.n_chars IS NOT NULL AND f.last_turn AS at_limit,
+  SELECT o.id, f.kind, f.raw, f.class, c.*, b.prefix IS NOT NULL AND coalesce(i.n, 0) * 100 <= b.n AS part_word, l.n_chars IS NOT NULL AND f.last_turn AS at_limit,
     f.raw RLIKE :stop AND NOT f.raw RLIKE :dots AS stopped, CASE WHEN f.kind = 'code' THEN regexp_replace(f.raw, :quoted, '') END AS bare
-  FROM finals f JOIN counted c ON f.seg = c.seg
+  FROM finals f JOIN counted c ON f.seg = c.seg JOIN {{owners}} o ON o.doc = f.doc
   LEFT JOIN begun b ON b.kind = f.kind AND b.prefix = f.word
   LEFT JOIN inside i ON i.kind = f.kind AND i.word = f.word
-  LEFT JOIN limits l ON l.kind = f.kind AND l.category <=> f.category AND l.n_chars = f.n_chars)
+  LEFT JOIN limits l ON l.kind = f.kind AND l.category <=> o.category AND l.n_chars = o.n_chars)
 SELECT DISTINCT id, reason FROM (SELECT id, CASE
   WHEN raw RLIKE :marker THEN 'marker'
   WHEN kind = 'code' AND ({_OPEN} OR size(split(raw, :doc)) % 2 = 0) THEN 'open bracket'
@@ -200,7 +202,8 @@ def truncated(
     """
     spark = entries.sparkSession
     texts = entries.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(F.col(kind_col), F.lit("")).alias("kind"), F.col(category_col).alias("category"))
-    texts = texts.where(F.col("id").isNotNull() & F.col("text").isNotNull())
+    texts = texts.where(F.col("id").isNotNull() & (F.length(F.trim("text")) > 0)).withColumn("doc", F.unhex(F.md5(F.concat_ws("\0", "kind", "text"))))
+    owners = materialize(texts.select("id", "doc", "kind", "category", F.length("text").alias("n_chars")).distinct(), "owners")
 
     def run(query: str, args: dict | None = None, **frames: DataFrame) -> DataFrame:
         values = {**PATTERNS, "doc": '"""', "support": support, "rate": rate, "seen": seen, "least": least, "excess": excess, **(args or {})}
@@ -214,7 +217,7 @@ def truncated(
         closed[name] = F.array(F.lit("¶"), *[F.lit(r["word"]) for r in frequent.collect()])
     classed = materialize(run(CLASSED, closed, segments=segments), "classed")
     grams = run(GRAMS, classed=classed)
-    return run(JUDGED, classed=classed, grams=grams, words=words, texts=texts)
+    return run(JUDGED, classed=classed, grams=grams, words=words, owners=owners)
 
 
 def shares(entries: DataFrame, cut: DataFrame, *, id_col: str = "id", category_col: str = "category") -> DataFrame:

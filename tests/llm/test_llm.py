@@ -145,6 +145,17 @@ def test_truncated(spark, rows):
     assert truncation.truncated(_entries(spark, [])).count() == 0
 
 
+def test_copies_are_one_text(spark, rows):
+    rng = random.Random(5)
+    data = [(i, "experience", _sentences(rng, 4), i, "general") for i in range(400)]
+    cut = _sentences(rng, 2) + " The plain lock keeps a"
+    data += [(1000 + i, "experience", cut, 1, [None, "general", "other"][i % 3]) for i in range(30)]  # do not acquit each other
+    data += [(2000 + i, "code", "x = f(1)", 1, "general") for i in range(6)]  # do not make a limit
+    data += data[400:405]
+    found = truncation.truncated(_entries(spark, data))
+    assert rows(found) == {(1000 + i, "never terminal") for i in range(30)} and found.count() == 30
+
+
 # --- p5
 
 CODE = {
