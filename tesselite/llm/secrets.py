@@ -1,10 +1,10 @@
 """Credentials embedded in source code: a trigram index and regexes verified on candidates only.
 
-Texts are cut at line ends into chunks. The index holds, for every chunk, a posting for each trigram
-of its lower-cased text. From the syntax tree of every detection regex a trigram query is derived:
+The index holds, for every text, a posting for each trigram of the lower-cased text, read in chunks
+that overlap by two characters. From the syntax tree of every detection regex a trigram query is derived:
 what each match must contain, as alternatives of sets of trigrams. The postings of each alternative
-are intersected (a count per chunk and alternative that reaches the size of the set), and only the
-chunks that are left are read again and searched with those regexes. By default only trigrams that
+are intersected (a count per text and alternative that reaches the size of the set), and only the
+texts that are left are read again and searched whole with those regexes. By default only trigrams that
 some regex asks for get a posting; others would never be read.
 
 A match is a credential if its value is: placeholders, lookups without a literal value, digests,
@@ -236,38 +236,39 @@ def chunks_of(text: str, chunk_chars: int) -> Iterator[tuple[int, str]]:
 def _postings(wanted: frozenset[str] | None, chunk_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, lines, grams = [], [], []
+            ids, grams = [], []
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for line, chunk in chunks_of(text, chunk_chars):
-                    low = chunk.lower()
-                    found = {low[k : k + 3] for k in range(len(low) - 2)}
-                    found = found if wanted is None else found & wanted
-                    ids += [i] * len(found)
-                    lines += [line] * len(found)
-                    grams += found
-            yield pa.RecordBatch.from_arrays([pa.array(grams, pa.string()), pa.array(ids, pa.int64()), pa.array(lines, pa.int32())], names=["trigram", "id", "first_line"])
+                found, before = set(), ""
+                for _, chunk in chunks_of(text, chunk_chars):
+                    low = before + chunk.lower()
+                    here = {low[k : k + 3] for k in range(len(low) - 2)}
+                    found |= here if wanted is None else here & wanted
+                    before = low[-2:]
+                ids += [i] * len(found)
+                grams += found
+            yield pa.RecordBatch.from_arrays([pa.array(grams, pa.string()), pa.array(ids, pa.int64())], names=["trigram", "id"])
 
     return run
 
 
 def trigram_index(texts: DataFrame, wanted: frozenset[str] | None = None, chunk_chars: int = 65_536) -> DataFrame:
-    """trigram, id, first_line: the postings, one per trigram and chunk. texts: id, text. wanted: None indexes every trigram."""
-    return texts.mapInArrow(_postings(wanted, chunk_chars), "trigram string, id long, first_line int")
+    """trigram, id: the postings, one per trigram and text. texts: id, text. wanted: None indexes every trigram."""
+    return texts.mapInArrow(_postings(wanted, chunk_chars), "trigram string, id long")
 
 
 def candidates(index: DataFrame, queries: dict[str, Query]) -> DataFrame:
-    """id, detectors: the chunks whose postings satisfy a query, by intersection; the table of queries is as small as the regexes."""
+    """id, detectors: the texts whose postings satisfy a query, by intersection; the table of queries is as small as the regexes."""
     spark = index.sparkSession
     rows = [(name, m, a, g, len(grams), len(query)) for name, query in queries.items() for m, member in enumerate(query) for a, grams in enumerate(member) for g in sorted(grams)]
     wanted = spark.createDataFrame(rows, "detector string, member int, alternative int, trigram string, n_grams int, n_members int")
     met = (
         index.join(F.broadcast(wanted), "trigram")
-        .groupBy("id", "first_line", "detector", "member", "alternative")
+        .groupBy("id", "detector", "member", "alternative")
         .agg(F.count(F.lit(1)).alias("n"), F.first("n_grams").alias("n_grams"), F.first("n_members").alias("n_members"))
         .where(F.col("n") >= F.col("n_grams"))
     )
-    whole = met.groupBy("id", "first_line", "detector").agg(F.countDistinct("member").alias("n"), F.first("n_members").alias("n_members")).where(F.col("n") == F.col("n_members"))
-    return whole.groupBy("id").agg(F.collect_set(F.struct("first_line", "detector")).alias("where"))
+    whole = met.groupBy("id", "detector").agg(F.countDistinct("member").alias("n"), F.first("n_members").alias("n_members")).where(F.col("n") == F.col("n_members"))
+    return whole.groupBy("id").agg(F.collect_set("detector").alias("detectors"))
 
 
 @dataclass(frozen=True)
@@ -329,23 +330,16 @@ def redact(text: str, detectors: tuple[Detector, ...] = DETECTORS) -> str:
     return "".join([*out, text[at:]])
 
 
-def _verify(chunk_chars: int, redacted: bool):
+def _verify(redacted: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, lines, kinds, texts = [], [], [], []
-            for i, text, where in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                wanted: dict[int, list[str]] = {}
-                for w in where:
-                    wanted.setdefault(w["first_line"], []).append(w["detector"])
-                hit = False
-                for line, chunk in chunks_of(text, chunk_chars):
-                    some = tuple(d for d in DETECTORS if d.name in wanted.get(line, ()))
-                    for f in search(chunk, some, line) if some else ():
-                        hit = True
-                        if not redacted:
-                            ids.append(i), lines.append(f.line), kinds.append(f.detector)
-                if redacted and hit:
+            for i, text, names in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                found = search(text, tuple(d for d in DETECTORS if d.name in names))
+                if redacted and found:
                     ids.append(i), texts.append(redact(text))
+                for f in () if redacted else found:
+                    ids.append(i), lines.append(f.line), kinds.append(f.detector)
             if redacted:
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.string())], names=["id", "redacted_text"])
             else:
@@ -361,6 +355,6 @@ def find(texts: DataFrame, *, id_col: str = "id", text_col: str = "text", redact
     rows = texts.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where(F.col("id").isNotNull() & (F.length("text") > 0))
     index = materialize(trigram_index(rows, wanted, chunk_chars), "trigrams")
     left = candidates(index.distinct(), queries)
-    hits = rows.join(left, "id").select("id", "text", "where")
+    hits = rows.join(left, "id").select("id", "text", "detectors")
     schema = "id long, redacted_text string" if redacted else "id long, line_no long, detector string"
-    return hits.mapInArrow(_verify(chunk_chars, redacted), schema).distinct()
+    return hits.mapInArrow(_verify(redacted), schema).distinct()

@@ -187,6 +187,17 @@ def test_secrets(spark, rows):
         assert text.count("\n") == CODE[i].count("\n") and not {f.line for f in secrets.search(text) if f.detector != "private_key"}
 
 
+def test_matches_across_chunks(spark, rows):
+    pad = "a = b\n" * 20
+    texts = [(i, pad[6 * k :] + t + "\n" + pad) for i, (t, k) in enumerate((t, k) for t in ('password =\n  "2NoU0UXAiw1Rv++oDmtJuQsY0WcXO18L"', 'cfg = "qlm_live_EzzwRI7oy" +\n  "J0SJyC3s2XPYMIvp9dY"', 'connect("h.example",\n  "svc",\n  "prov*sudde83")') for k in range(0, 20, 3))]
+    df = spark.createDataFrame(texts, "id long, text string")
+    want = {(i, f.line) for i, t in texts for f in secrets.search(t)}
+    assert len({i for i, _ in want}) == len(texts)
+    for chunk in (30, 60):
+        assert rows(secrets.find(df, chunk_chars=chunk).select("id", "line_no")) == want
+        assert rows(secrets.find(df, redacted=True, chunk_chars=chunk)) == {(i, secrets.redact(t)) for i, t in texts}
+
+
 def test_index_loses_nothing(spark):
     """The derived trigrams are necessary: what a plain search finds, the index search finds."""
     from tests.conftest import DATA
