@@ -133,14 +133,15 @@ def _match(index, run_words: int, tolerance: float):
                 if len(known) > 500_000:
                     known.clear()
                 w = word_ids(words_of(text), known)
-                best: dict[int, tuple[int, int, int]] = {}
+                best: dict[int, tuple[int, tuple[int, int]]] = {}
                 for k, diagonal in zip(*ix.hits(w)):
                     item = ix.words[k]
                     a, b = max(0, diagonal), min(len(w), len(item) + diagonal)
                     equal = w[a:b] == item[a - diagonal : b - diagonal]
-                    here = (longest_run(equal), *best_stretch(equal, tolerance))
-                    best[k] = max(best.get(k, here), here)
-                out += [(doc, ix.ids[k], len(ix.words[k]), *v) for k, v in best.items() if v[0] >= run_words or v[1] >= run_words]
+                    run_here, stretch = longest_run(equal), best_stretch(equal, tolerance)
+                    most = best.get(k, (run_here, stretch))
+                    best[k] = max(most[0], run_here), max(most[1], stretch)  # each over all diagonals
+                out += [(doc, ix.ids[k], len(ix.words[k]), longest, *stretch) for k, (longest, stretch) in best.items() if longest >= run_words or stretch[0] >= run_words]
             cols = list(zip(*out)) if out else [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "item_id", "item_words", "run", "stretch", "stretch_equal"])
 
@@ -162,7 +163,7 @@ def overlaps(
     """doc_id, item_id, item_words, run, stretch, stretch_equal: pairs with an overlap of at least run_words words.
 
     run: the longest run of equal words. stretch: the longest stretch in which at most `tolerance` of
-    the words were replaced. Every pair with a run of len(mask) equal words is found.
+    the words were replaced; it may lie on another diagonal than the run. Every pair with a run of len(mask) equal words is found.
     """
     spark = documents.sparkSession
     docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where(F.col("text").isNotNull() & F.col("doc_id").isNotNull())

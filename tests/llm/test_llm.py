@@ -340,6 +340,14 @@ def test_substitutions_are_tolerated(spark):
     assert got.run < 13 and got.stretch >= 35 and got.stretch_equal >= 32
 
 
+def test_run_and_stretch_on_different_diagonals(spark):
+    item = [f"t{i}" for i in range(80)]
+    passage = [w if i % 9 else "changed" for i, w in enumerate(item[:40])]
+    doc = [*item[60:73], *(f"own{i}" for i in range(30)), *passage]  # a run of 13 beside a passage whose runs are 8
+    got = leakage.overlaps(spark.createDataFrame([(1, " ".join(doc))], "doc_id long, text string"), spark.createDataFrame([(2, " ".join(item))], "item_id long, text string")).collect()
+    assert len(got) == 1 and got[0].run == 13 and got[0].stretch >= 35 and got[0].stretch_equal >= 32
+
+
 # --- p10
 
 
