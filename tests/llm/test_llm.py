@@ -81,6 +81,15 @@ def test_history_index_by_batches(spark, rows, tmp_path, shard_rows):
     assert index.version() == 4 and (len(index.pivots()) > 1) == (shard_rows == 16)
 
 
+def test_history_comes_before_entries_without_time(spark, rows, tmp_path):
+    index = history_dedup.HistoryIndex(spark, f"file://{tmp_path}/index")
+    words = [f"w{i}" for i in range(30)]
+    other = [f"v{i}" for i in range(30)]
+    assert rows(index.add(_entries(spark, [(5, "experience", " ".join(words), 7, None), (6, "experience", " ".join(other), None, None)]))) == set()
+    batch = [(1, "experience", " ".join([*words[:28], "x", "y"]), None, None), (2, "experience", " ".join([*other[:28], "x", "y"]), None, None), (3, "experience", " ".join([*other[:28], "z", "y"]), 1, None)]
+    assert rows(index.add(_entries(spark, batch))) == {(1, 5), (2, 6), (3, 6)}
+
+
 def test_graph_recall_and_crowds():
     rng = np.random.default_rng(0)
     v = rng.standard_normal((600, 128)).astype("f4")
