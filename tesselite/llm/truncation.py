@@ -1,25 +1,30 @@
-"""Texts cut off by field limits: n-grams that go on inside texts but hardly ever end one.
-
-In pure SQL. A text is split into its turns and tokenised; the mark `¶` stands for every sentence
-end, list item and (in code) line end. Every position of every text tells whether something ends
-there. For the last word trigram of each turn the ends and the continuations over the whole corpus
-are counted, and likewise for its bigram and its last word, which take its place where it is too
-rare. Beside the words themselves, n-grams of word classes are counted in the same way: the
-`closed_words` most frequent words and all signs stand for themselves, other words for their shape,
-so that `although that <word>` is judged even if this very word was never seen there. A turn is cut if
-
-* its longest final n-gram that is frequent enough goes on inside texts and is almost never terminal
-  (in code, where any word may be a name, n-grams of classes only),
-* its last word is hardly ever met inside a text but begins words that are,
-* it ends with a decoding error or a marker of truncation,
-* in code, a bracket stays open at the end, or
-* the whole text has a length that far more texts of its category have than have lengths around it
-  (a field limit) and does not end a sentence or statement there.
+"""Texts cut off by field limits: word trigrams that go on inside texts but hardly ever end one.
+
+In pure SQL. A text is split into its turns and tokenised into words and signs. In prose something ends
+at every sentence end, list item and empty line; in code only where the text ends, and a line break is a
+token like any other. For each turn's final trigram three tables of trigrams tell how often it stands in
+all texts and how often something ends after it:
+
+* the three words themselves,
+* the last word after the folded words before it,
+* all three folded.
+
+A folded word is itself if it is one of the `closed_words` most frequent ones, and else its shape (letters,
+digits, mixed), so `although every <word>` is judged even where this very word was never met there. The
+first of these trigrams that is frequent enough decides: frequent is one after which `expected` ends would
+be met at the average rate of its kind, and it is almost never terminal if they are at most `share` of
+that. The turn's own end is left out. A final word that is hardly ever met whole is read as the beginning
+of words instead: if the trigrams that it begins are met inside texts, it was cut within the word.
+
+What the trigrams leave open is refined by the folded five-gram in the same way, by words alone, and by
+rules: an open bracket in code, a marker of truncation or a decoding error, and a length that far more
+texts of a category have than have lengths around it (a field limit), without an end there. `reason` tells
+which it was; `trigram` and `trigram within a word` stand before the others.
 
 All statistics are over distinct texts of a kind, so copies, in whatever category and under whatever
-id, don't acquit each other or make a length frequent; the verdict goes to every id of a text.
-Counts are one aggregation over hashed n-grams with partial sums in each task; only the n-grams that
-end a turn are joined with it. The frequent words are at most `closed_words`.
+id, don't acquit each other or make a length frequent; the verdict goes to every id of a text. Verdicts
+are found once per distinct ending, so an ending that a third of all texts share is one row in every
+join, and go back to the texts by a salted join. The frequent words are at most `closed_words`.
 
 Defined results: NULL and blank texts are complete; repeated rows count once;
 texts of any length are read whole; an empty table gives no rows. Other columns are not read.
@@ -36,147 +41,167 @@ from tesselite.session import materialize
 PATTERNS = {
     # a run of letters and digits, or one sign
     "token": r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]",
-    # what becomes the mark: sentence signs before white space, the next list item, an empty line
+    # what ends something in prose: sentence signs before white space, the next list item, an empty line
     "breaks": r"[.!?…]+(?=\s|$)|\n(?=\s*(?:[-*•]|\p{N}+[.)])\s)|\n\s*\n",
     "turns": r"\n+(?=(?:User|Assistant): )",
     "edges": r"(?:¶\s*)+$|^\s*(?:User|Assistant):",
     "marker": r"(?i)(?:\x{FFFD}|…\s*[(\[](?:truncated|cut off|continued)[)\]])$",
+    "tail": r"(?i)(?:\s|\x{FFFD}|…\s*[(\[](?:truncated|cut off|continued)[)\]])+$",
     # literals and remarks, inside which brackets do not count
     "quoted": r'"(?:[^"\\\n]|\\.)*"' + r"|'(?:[^'\\\n]|\\.)*'|`[^`]*`|//[^\n]*|#[^\n]*",
-    # a definition without a colon or brace, which the word end must close
-    "needs_end": r"^[ \t]*def [^\n]*[)]\s*\n",
     "word_start": r"^[\p{L}\p{N}]",
     "letters": r"^\p{L}+$",
     "digits": r"^\p{N}+$",
-    "mixed": r"^x[0-9]",
     "stop": r"[.!?]$",
     "dots": r"[.][.]+$",
     "sentence_end": r"[.!?…]$",
     "code_end": r"[}]$",
     "space_end": r"\s+$",
 }
-#: N-grams from the longest to the shortest: the first that is frequent enough decides.
-WORD_ORDERS = (3, 2, 1)
-CLASS_ORDERS = (6, 4, 2)
+LONG = 5  # tokens of the refining n-gram
 
-SEGMENTS = """
-SELECT uuid() AS seg, doc, kind, last_turn, raw,
+_OPEN = " OR ".join(f"length(replace(bare, '{a}', '')) < length(replace(bare, '{b}', ''))" for a, b in (("{{", "}}"), ("(", ")"), ("[", "]")))
+
+SEGMENTS = f"""
+SELECT doc, kind, code, last_turn, marked_cut, stopped, open, ended,
   concat(array('¶'), regexp_extract_all(lower(marked), :token, 0), array('¶')) AS w
-FROM (SELECT *, regexp_replace(
-    CASE WHEN kind = 'code' THEN replace(raw, chr(10), ' ¶ ') ELSE regexp_replace(raw, :breaks, ' ¶ ') END, :edges, ' ') AS marked
-  FROM (SELECT doc, kind, turn = n_turns - 1 AS last_turn, regexp_replace(raw, :space_end, '') AS raw
-    FROM (SELECT doc, kind, size(turns) AS n_turns, posexplode(turns) AS (turn, raw)
-      FROM (SELECT doc, kind, CASE WHEN kind = 'code' THEN array(text) ELSE split(text, :turns) END AS turns
-        FROM (SELECT doc, kind, any_value(text) AS text FROM {texts} GROUP BY doc, kind)))))
+FROM (SELECT doc, kind, code, last_turn, raw RLIKE :marker AS marked_cut, cut RLIKE :stop AND NOT cut RLIKE :dots AND NOT raw RLIKE :marker AS stopped,
+    IF(code, cut RLIKE :code_end, cut RLIKE :sentence_end) AS ended, code AND ({_OPEN} OR size(split(cut, :doc)) % 2 = 0) AS open,
+    IF(code, replace(cut, chr(10), ' ↵ '), regexp_replace(regexp_replace(cut, :breaks, ' ¶ '), :edges, ' ')) AS marked
+  FROM (SELECT *, IF(code, regexp_replace(cut, :quoted, ''), '') AS bare
+    FROM (SELECT doc, kind, code, turn = n_turns - 1 AS last_turn, regexp_replace(raw, :space_end, '') AS raw, regexp_replace(raw, :tail, '') AS cut
+      FROM (SELECT doc, kind, code, size(turns) AS n_turns, posexplode(turns) AS (turn, raw)
+        FROM (SELECT doc, kind, code, IF(code, array(text), split(text, :turns)) AS turns
+          FROM (SELECT doc, kind, any_value(code) AS code, translate(any_value(text), '¶↵', '  ') AS text FROM {{texts}} GROUP BY doc, kind))))))
 """
 
 #: Words with how often they stand in texts and how often something ends after them.
 WORDS = """
-SELECT kind, e.w AS word, count(*) AS n, count_if(e.ends) AS ends
-FROM (SELECT kind, explode(transform(sequence(2, size(w) - 1), i -> struct(element_at(w, i) AS w, element_at(w, i + 1) = '¶' AS ends))) AS e
-  FROM {segments} WHERE size(w) > 2)
-WHERE e.w <> '¶' GROUP BY kind, e.w
+SELECT kind, code, p.t AS word, count(*) AS n, count_if(p.following = '¶') AS ends
+FROM (SELECT kind, code, explode(arrays_zip(t, following)) AS p FROM (SELECT kind, code, w AS t, slice(w, 2, size(w)) AS following FROM {segments} WHERE size(w) > 2))
+WHERE p.t <> '¶' AND p.following IS NOT NULL GROUP BY 1, 2, 3
 """
 
-#: Every token's class: frequent words and signs are their own, others are told by their shape. From
-#: here on tokens and classes are hashes, and `x` tells the words with letters and digits.
-CLASSED = """
-SELECT seg, doc, kind, last_turn, raw, element_at(w, -2) AS word, element_at(c, -2) AS class,
-  transform(w, t -> xxhash64(kind, 'W', t)) AS hw, transform(c, t -> xxhash64(kind, 'C', t)) AS hc,
-  transform(c, t -> t RLIKE :mixed) AS x, xxhash64(kind, 'W', '¶') AS mark
-FROM (SELECT *, transform(w, t -> CASE
-  WHEN array_contains(CASE WHEN kind = 'code' THEN :code ELSE :other END, t) OR NOT t RLIKE :word_start THEN t
-  WHEN t RLIKE :letters THEN 'w' WHEN t RLIKE :digits THEN '0' ELSE concat('x', length(t)) END) AS c
-FROM {segments} WHERE size(w) > 2)
-"""
 
+def _quoted(words: list[str]) -> str:
+    return ", ".join(f"'{w}'" for w in words) or "''"  # words are letters and digits
 
-def _keys(i: str) -> str:
-    """The hashed n-grams that end at position i: of words, of classes, and the context of a word with letters and digits."""
 
-    def gram(array: str, n: int) -> str:
-        parts = ", ".join(f"element_at({array}, {i} - {k})" for k in range(n))
-        return f"IF({i} >= {n}, xxhash64({parts}), NULL)"
+def _known(closed: dict[bool, list[str]]) -> str:
+    return f"IF(code, t IN ({_quoted(closed[True])}), t IN ({_quoted(closed[False])})) OR NOT t RLIKE :word_start"
 
-    grams = [gram("hw", n) for n in WORD_ORDERS] + [gram("hc", n) for n in CLASS_ORDERS]
-    grams.append(f"IF(element_at(x, {i}), xxhash64('X', element_at(hc, {i} - 1)), NULL)")
-    return f"array({', '.join(grams)})"
 
+def _shape(mixed: str) -> str:
+    return f"WHEN t RLIKE :letters THEN {{letters}} WHEN t RLIKE :digits THEN '0' ELSE {mixed} END"
 
-def _shifted(array: str, k: int) -> str:
-    return array if k == 0 else f"concat(array_repeat(CAST(NULL AS BIGINT), {k}), {array})"
 
+def _folded(array: str, closed: dict[bool, list[str]]) -> str:
+    """Frequent words and signs as they are, others by their shape."""
+    return f"transform({array}, t -> CASE WHEN {_known(closed)} THEN t {_shape(repr('x')).format(letters=repr('w'))})"
 
-def _grams_sql() -> str:
-    """k, n, ends of every n-gram: shifted copies of a row's arrays stand beside each other, so each position becomes a row of plain columns."""
-    arrays = {f"a{k}": _shifted("hw", k) for k in range(max(WORD_ORDERS))} | {f"b{k}": _shifted("hc", k) for k in range(max(CLASS_ORDERS))}
-    zipped = ", ".join([*arrays.values(), "x", "slice(hw, 2, size(hw))"])
-    # a zipped column keeps its name, an expression has its number
-    names = {"a0": "hw", "b0": "hc", "x": "x"}
-    fields = ", ".join(f"g['{names.get(n, i)}'] AS {n}" for i, n in enumerate([*arrays, "x", "following"]))
 
-    def gram(p: str, n: int) -> str:
-        return f"IF({p}{n - 1} IS NULL, NULL, xxhash64({', '.join(f'{p}{k}' for k in range(n))}))"
+def _named(t: str) -> str:
+    """A word as it is, digits and mixed words by their shape."""
+    return f"(CASE WHEN NOT {t} RLIKE :word_start OR {t} RLIKE :letters THEN {t} WHEN {t} RLIKE :digits THEN '0' ELSE concat('x', length({t})) END)"
 
-    # code is never judged by two or three words
-    keys = [gram("a", n) if n == 1 else f"IF(kind = 'code', NULL, {gram('a', n)})" for n in WORD_ORDERS] + [gram("b", n) for n in CLASS_ORDERS] + ["IF(x, xxhash64('X', b1), NULL)"]
-    return f"""
-SELECT k, count(*) AS n, count_if(ends) AS ends FROM (
-  SELECT following = mark AS ends, explode(array({", ".join(keys)})) AS k
-  FROM (SELECT kind, mark, {fields} FROM (SELECT kind, mark, explode(arrays_zip({zipped})) AS g FROM {{classed}}))
-  WHERE a0 <> mark AND following IS NOT NULL)
-WHERE k IS NOT NULL GROUP BY k
-"""
 
+def _positions(closed: dict[bool, list[str]]) -> str:
+    """A row of plain columns for each position: shifted copies of a row's arrays stand beside each other."""
 
-GRAMS = _grams_sql()
+    def shifted(array: str, k: int) -> str:
+        return array if k == 0 else f"concat(array_repeat(CAST(NULL AS STRING), {k}), {array})"
 
-SLOTS = [f"W{n}" for n in WORD_ORDERS] + [f"C{n}" for n in CLASS_ORDERS] + ["X"]
+    arrays = {f"a{k}": shifted("w", k) for k in range(3)} | {f"b{k}": shifted("c", k) for k in range(LONG)} | {"following": "slice(w, 2, size(w))"}
+    return f"""(SELECT kind, p.*, p.following = '¶' AS ends FROM (SELECT kind, explode(arrays_zip({", ".join(arrays)})) AS p
+      FROM (SELECT kind, {", ".join(f"{v} AS {n}" for n, v in arrays.items())}
+        FROM (SELECT kind, w, {_folded("w", closed)} AS c FROM {{segments}} WHERE size(w) > 2))) WHERE p.a0 <> '¶' AND p.following IS NOT NULL)"""
 
 
-def _never(names: list[str]) -> str:
-    # the turn's own end is left out of the counts it is judged by
-    # and a rarer one that ended something elsewhere acquits
-    tests = " ".join(f"WHEN n_{s} - 1 >= :support THEN e_{s} - 1 <= :rate * (n_{s} - 1) WHEN n_{s} > 20 AND e_{s} > 1 THEN false" for s in names)
-    return f"(CASE {tests} ELSE false END)"
+_EXACT, _LONG = "xxhash64(kind, 'W', a2, a1, a0)", f"xxhash64(kind, 'L', {', '.join(f'b{k}' for k in range(LONG))})"
 
 
-_COUNTS = ", ".join(f"coalesce(max(g.n) FILTER (WHERE slot = {i}), 0) AS n_{s}, coalesce(max(g.ends) FILTER (WHERE slot = {i}), 0) AS e_{s}" for i, s in enumerate(SLOTS))
-_OPEN = " OR ".join(f"length(replace(bare, '{a}', '')) < length(replace(bare, '{b}', ''))" for a, b in (("{{", "}}"), ("(", ")"), ("[", "]")))
+def _grams_sql(closed: dict[bool, list[str]]) -> str:
+    """k, n, ends of the trigrams of words and of the folded five-grams."""
+    return f"SELECT k, count(*) AS n, count_if(ends) AS ends FROM (SELECT ends, explode(array(IF(a2 IS NULL, NULL, {_EXACT}), IF(b{LONG - 1} IS NULL, NULL, {_LONG}))) AS k FROM {_positions(closed)}) WHERE k IS NOT NULL GROUP BY k"
+
+
+def _last_words_sql(closed: dict[bool, list[str]]) -> str:
+    """kind, b2, b1, word, fold, n, ends: the last word of a trigram after folded words."""
+    return f"SELECT kind, b2, b1, {_named('a0')} AS word, b0 AS fold, count(*) AS n, count_if(ends) AS ends FROM {_positions(closed)} WHERE b2 IS NOT NULL GROUP BY 1, 2, 3, 4, 5"
 
-JUDGED = f"""
-WITH finals AS (
-  SELECT seg, doc, kind, raw, last_turn, word, class, {_keys("(size(hw) - 1)")} AS ks FROM {{classed}}),
-counted AS (
-  SELECT seg, {_COUNTS} FROM (SELECT seg, posexplode(ks) AS (slot, k) FROM finals) f JOIN {{grams}} g ON g.k = f.k GROUP BY seg),
+
+def _finals_sql(closed: dict[bool, list[str]]) -> str:
+    """The turns with the hash of their ending, and the ending's words."""
+    names = ", ".join([f"element_at(w, -{k + 2}) AS a{k}" for k in range(3)])
+    folds = ", ".join(f"IF(size(c) > {k + 1}, element_at(c, -{k + 2}), NULL) AS b{k}" for k in range(LONG))
+    return f"""
+SELECT *, xxhash64(kind, a2, a1, a0, b4, b3) AS ending, IF(a2 IS NULL, NULL, {_EXACT}) AS k_exact, IF(b{LONG - 1} IS NULL, NULL, {_LONG}) AS k_long, {_named("a0")} AS word
+FROM (SELECT doc, kind, code, last_turn, marked_cut, stopped, open, ended, {names.replace("element_at(w, -4)", "IF(size(w) > 3, element_at(w, -4), NULL)")}, {folds}
+  FROM (SELECT *, {_folded(f"slice(w, -least(size(w), {LONG + 1}), {LONG + 1})", closed)} AS c FROM {{segments}} WHERE size(w) > 2))
+"""
+
+
+def _decides(names: list[str]) -> str:
+    """Whether the first of the n-grams that is frequent enough is almost never terminal; a rarer one that ended something elsewhere acquits."""
+    tests = " ".join(f"WHEN (n_{s} - 1) * rate >= :expected THEN e_{s} - 1 <= :share * rate * (n_{s} - 1) WHEN e_{s} > 1 AND n_{s} * :share * rate < e_{s} - 1 THEN false" for s in names)
+    return f"(CASE {tests} ELSE false END)"
+
+
+VERDICTS = f"""
+WITH endings AS (SELECT DISTINCT ending, kind, code, k_exact, k_long, b2, b1, b0, a0, word FROM {{finals}}),
+rates AS (SELECT kind, sum(ends) / sum(n) AS rate FROM {{words}} GROUP BY kind),
+folds AS (SELECT kind, b2, b1, fold, sum(n) AS n, sum(ends) AS ends FROM {{last_words}} GROUP BY 1, 2, 3, 4),
+asked AS (SELECT DISTINCT kind, b2, b1, word FROM endings WHERE word RLIKE :letters),
 begun AS (
-  SELECT kind, substring(word, 1, l) AS prefix, max(n) AS n
-  FROM (SELECT kind, word, n - ends AS n, explode(sequence(1, length(word) - 1)) AS l FROM {{words}} WHERE n - ends >= :seen AND length(word) > 1 AND word RLIKE :letters) GROUP BY 1, 2),
-inside AS (SELECT kind, word, n - ends AS n FROM {{words}} WHERE n > ends),
-lengths AS (SELECT kind, category, n_chars, count(*) AS n FROM (SELECT DISTINCT doc, kind, category, n_chars FROM {{owners}}) GROUP BY 1, 2, 3),
-around AS (SELECT kind, category, n, n_chars AS other, explode(sequence(n_chars - 20, n_chars + 20)) AS n_chars FROM lengths),
-limits AS (
-  SELECT a.kind, a.category, a.n_chars FROM lengths a
-  LEFT JOIN around b ON a.kind = b.kind AND a.category <=> b.category AND a.n_chars = b.n_chars AND a.n_chars <> b.other
-  WHERE a.n >= :least GROUP BY a.kind, a.category, a.n_chars, a.n HAVING a.n >= :excess * (coalesce(sum(b.n), 0) / 40 + 0.1D)),
+  SELECT p.kind, p.b2, p.b1, p.prefix, sum(p.n) AS n
+  FROM (SELECT kind, b2, b1, n - ends AS n, explode(transform(sequence(1, length(word) - 1), l -> substring(word, 1, l))) AS prefix
+    FROM {{last_words}} WHERE n > ends AND length(word) > 1 AND word RLIKE :letters) p
+  LEFT SEMI JOIN asked a ON a.kind = p.kind AND a.b2 = p.b2 AND a.b1 = p.b1 AND a.word = p.prefix GROUP BY 1, 2, 3, 4),
+parts AS (
+  SELECT kind, prefix, max(n) AS n
+  FROM (SELECT kind, n - ends AS n, explode(transform(sequence(1, length(word) - 1), l -> substring(word, 1, l))) AS prefix
+    FROM {{words}} WHERE n - ends >= :seen AND length(word) > 1 AND word RLIKE :letters) GROUP BY 1, 2),
 facts AS (
-  SELECT o.id, f.kind, f.raw, f.class, c.*, b.prefix IS NOT NULL AND coalesce(i.n, 0) * 100 <= b.n AS part_word, l.n_chars IS NOT NULL AND f.last_turn AS at_limit,
-    f.raw RLIKE :stop AND NOT f.raw RLIKE :dots AS stopped, CASE WHEN f.kind = 'code' THEN regexp_replace(f.raw, :quoted, '') END AS bare
-  FROM finals f JOIN counted c ON f.seg = c.seg JOIN {{owners}} o ON o.doc = f.doc
-  LEFT JOIN begun b ON b.kind = f.kind AND b.prefix = f.word
-  LEFT JOIN inside i ON i.kind = f.kind AND i.word = f.word
-  LEFT JOIN limits l ON l.kind = f.kind AND l.category <=> o.category AND l.n_chars = o.n_chars)
-SELECT DISTINCT id, reason FROM (SELECT id, CASE
-  WHEN raw RLIKE :marker THEN 'marker'
-  WHEN kind = 'code' AND ({_OPEN} OR size(split(raw, :doc)) % 2 = 0) THEN 'open bracket'
-  WHEN kind = 'code' AND raw RLIKE :needs_end AND NOT endswith(raw, 'end') THEN 'open bracket'
-  WHEN stopped AND kind <> 'code' THEN NULL
-  WHEN part_word THEN 'part of a word'
-  WHEN class RLIKE :mixed AND n_X >= :support AND n_C2 - 1 <= 0.01D * n_X THEN 'part of a word'
-  WHEN n_W1 - 1 >= 5 AND e_W1 - 1 >= 0.5D * (n_W1 - 1) THEN NULL
-  WHEN {_never([f"C{n}" for n in CLASS_ORDERS])} OR (kind <> 'code' AND {_never([f"W{n}" for n in WORD_ORDERS])}) THEN 'never terminal'
-  WHEN at_limit AND ((kind <> 'code' AND NOT raw RLIKE :sentence_end) OR (kind = 'code' AND NOT raw RLIKE :code_end)) THEN 'at the limit'
-  END AS reason FROM facts) WHERE reason IS NOT NULL
+  SELECT e.ending, e.code, r.rate, coalesce(g.n, 0) AS n_W, coalesce(g.ends, 0) AS e_W, coalesce(t.n, 0) AS n_T, coalesce(t.ends, 0) AS e_T,
+    coalesce(f.n, 0) AS n_F, coalesce(f.ends, 0) AS e_F, coalesce(l.n, 0) AS n_L, coalesce(l.ends, 0) AS e_L,
+    coalesce(s.n - 1, 0) AS n_word, coalesce(s.ends - 1, 0) AS e_word, coalesce(b.n, 0) AS n_begun, coalesce(p.n, 0) AS n_part,
+    e.b0 = 'x' AND (coalesce(f.n, 0) - 1) * r.rate >= :expected AND coalesce(t.n, 0) - 1 <= 0.01D * f.n AS odd_length
+  FROM endings e JOIN rates r ON r.kind = e.kind
+  LEFT JOIN {{grams}} g ON g.k = e.k_exact
+  LEFT JOIN {{last_words}} t ON t.kind = e.kind AND t.b2 = e.b2 AND t.b1 = e.b1 AND t.word = e.word AND t.fold = e.b0
+  LEFT JOIN folds f ON f.kind = e.kind AND f.b2 = e.b2 AND f.b1 = e.b1 AND f.fold = e.b0
+  LEFT JOIN {{grams}} l ON l.k = e.k_long
+  LEFT JOIN {{words}} s ON s.kind = e.kind AND s.word = e.a0
+  LEFT JOIN begun b ON b.kind = e.kind AND b.b2 = e.b2 AND b.b1 = e.b1 AND b.prefix = e.word
+  LEFT JOIN parts p ON p.kind = e.kind AND p.prefix = e.a0)
+SELECT ending, CASE
+  WHEN n_begun >= :seen AND (n_word - e_word) * 100 <= greatest(n_part, n_begun) OR odd_length THEN 'trigram within a word'
+  WHEN n_word >= 5 AND e_word >= 0.5D * n_word THEN NULL
+  WHEN {_decides(["W", "T", "F"])} THEN 'trigram'
+  WHEN n_part > 0 AND (n_word - e_word) * 100 <= n_part THEN 'part of a word'
+  WHEN {_decides(["L"])} THEN 'longer n-gram'
+  END AS said FROM facts
+"""
+
+JUDGED = """
+WITH lengths AS (SELECT code, category, n_chars, count(*) AS n FROM (SELECT DISTINCT doc, code, category, n_chars FROM {owners}) GROUP BY 1, 2, 3),
+around AS (SELECT code, category, n, n_chars AS other, explode(sequence(n_chars - 20, n_chars + 20)) AS n_chars FROM lengths),
+limits AS (
+  SELECT a.code, a.category, a.n_chars FROM lengths a
+  LEFT JOIN around b ON a.code = b.code AND a.category <=> b.category AND a.n_chars = b.n_chars AND a.n_chars <> b.other
+  WHERE a.n >= :least GROUP BY a.code, a.category, a.n_chars, a.n HAVING a.n >= :excess * (coalesce(sum(b.n), 0) / 40 + 0.1D)),
+spread AS (SELECT ending, said, explode(sequence(0, :salts - 1)) AS salt FROM {verdicts} WHERE said IS NOT NULL),
+turns AS (
+  SELECT f.doc, f.code, f.last_turn AND NOT f.ended AS at_end, CASE
+    WHEN NOT (f.stopped AND NOT f.code) AND s.said IS NOT NULL THEN s.said
+    WHEN f.open THEN 'open bracket' WHEN f.marked_cut THEN 'marker' END AS reason, f.stopped
+  FROM (SELECT *, CAST(pmod(xxhash64(doc), :salts) AS INT) AS salt FROM {finals}) f LEFT JOIN spread s ON s.ending = f.ending AND s.salt = f.salt),
+cut AS (
+  SELECT o.id, coalesce(t.reason, CASE WHEN l.n_chars IS NOT NULL AND t.at_end AND NOT (t.stopped AND NOT t.code) THEN 'at the limit' END) AS reason
+  FROM turns t JOIN {owners} o ON o.doc = t.doc
+  LEFT JOIN limits l ON t.at_end AND l.code = t.code AND l.category <=> o.category AND l.n_chars = o.n_chars
+  WHERE t.reason IS NOT NULL OR t.at_end)
+SELECT DISTINCT id, reason FROM cut WHERE reason IS NOT NULL
 """
 
 
@@ -187,37 +212,41 @@ def truncated(
     text_col: str = "text",
     kind_col: str = "entry_type",
     category_col: str = "category",
-    closed_words: int = 64,
-    support: int = 150,
-    rate: float = 0.005,
+    closed_words: int = 40,
+    expected: float = 4.0,
+    share: float = 0.1,
     seen: int = 5,
     least: int = 4,
     excess: float = 8.0,
+    salts: int = 8,
 ) -> DataFrame:
     """id, reason: one row per reason of each cut text. Texts of kind `code` are judged as code.
 
-    support: how often an n-gram must be met to be judged; rate: which share of ends is still almost
-    never; seen: how often a word must be met to have parts; least, excess: texts that a limit's length
-    must have, and how many times as many as lengths around it.
+    expected, share: ends that the average rate of the kind must promise after an n-gram for it to be judged,
+    and which part of them is still almost never; seen: how often a word must be met to have parts; least,
+    excess: texts that a limit's length must have, and how many times as many as lengths around it.
     """
     spark = entries.sparkSession
     texts = entries.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(F.col(kind_col), F.lit("")).alias("kind"), F.col(category_col).alias("category"))
-    texts = texts.where(F.col("id").isNotNull() & (F.length(F.trim("text")) > 0)).withColumn("doc", F.unhex(F.md5(F.concat_ws("\0", "kind", "text"))))
-    owners = materialize(texts.select("id", "doc", "kind", "category", F.length("text").alias("n_chars")).distinct(), "owners")
+    texts = texts.where(F.col("id").isNotNull() & (F.length(F.trim("text")) > 0)).withColumn("code", F.col("kind") == "code")
+    texts = texts.withColumn("doc", F.unhex(F.md5(F.concat_ws("\0", "kind", "text"))))
+    owners = materialize(texts.select("id", "doc", "code", "category", F.length("text").alias("n_chars")).distinct(), "owners")
 
-    def run(query: str, args: dict | None = None, **frames: DataFrame) -> DataFrame:
-        values = {**PATTERNS, "doc": '"""', "support": support, "rate": rate, "seen": seen, "least": least, "excess": excess, **(args or {})}
+    def run(query: str, **frames: DataFrame) -> DataFrame:
+        values = {**PATTERNS, "doc": '"""', "expected": expected, "share": share, "seen": seen, "least": least, "excess": excess, "salts": salts}
         return spark.sql(query, args={k: v for k, v in values.items() if f":{k}" in query}, **frames)
 
     segments = materialize(run(SEGMENTS, texts=texts), "segments")
     words = materialize(run(WORDS, segments=segments), "words")
-    closed = {}
-    for name, own in (("code", F.col("kind") == "code"), ("other", F.col("kind") != "code")):
-        frequent = words.where(own).groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(closed_words)
-        closed[name] = F.array(F.lit("¶"), *[F.lit(r["word"]) for r in frequent.collect()])
-    classed = materialize(run(CLASSED, closed, segments=segments), "classed")
-    grams = run(GRAMS, classed=classed)
-    return run(JUDGED, classed=classed, grams=grams, words=words, owners=owners)
+    closed: dict[bool, list[str]] = {}
+    for own in (True, False):
+        frequent = words.where((F.col("code") == own) & F.col("word").rlike(PATTERNS["word_start"])).groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(closed_words)
+        closed[own] = [r["word"] for r in frequent.collect()]
+    last_words = materialize(run(_last_words_sql(closed), segments=segments), "last_words")
+    finals = materialize(run(_finals_sql(closed), segments=segments), "finals")
+    grams = materialize(run(_grams_sql(closed), segments=segments).join(finals.select(F.explode(F.array("k_exact", "k_long")).alias("k")).distinct(), "k", "left_semi"), "grams")
+    verdicts = run(VERDICTS, finals=finals, words=words, last_words=last_words, grams=grams)
+    return run(JUDGED, verdicts=verdicts, finals=finals, owners=owners)
 
 
 def shares(entries: DataFrame, cut: DataFrame, *, id_col: str = "id", category_col: str = "category") -> DataFrame:

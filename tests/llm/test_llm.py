@@ -162,7 +162,7 @@ def test_copies_are_one_text(spark, rows):
     data += [(2000 + i, "code", "x = f(1)", 1, "general") for i in range(6)]  # do not make a limit
     data += data[400:405]
     found = truncation.truncated(_entries(spark, data))
-    assert rows(found) == {(1000 + i, "never terminal") for i in range(30)} and found.count() == 30
+    assert rows(found) == {(1000 + i, "trigram") for i in range(30)} and found.count() == 30
 
 
 # --- p5
