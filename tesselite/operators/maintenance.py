@@ -1,8 +1,10 @@
 """Incremental indexing and the removal of what no longer exists: joins of a scan with the stored state.
 
-Defined results: files are named by project and path as given; a repeated row of the stored state or
-the scan counts once; of several sightings of a file the newest holds (see `latest`); a NULL hash of a
-scan is an unreadable file, which is skipped and leaves the state as it is; empty tables are fine on either side.
+Defined results: projects and paths are compared in canonical form, and come out as the scan spells them
+(files that are gone: as the state does); rows without project or path are no files; a repeated row of the
+stored state or the scan counts once; of several sightings of a file the newest holds (see `latest`); a
+NULL hash of a scan is an unreadable file, which is skipped and leaves the state as it is; empty tables are
+fine on either side.
 """
 
 from __future__ import annotations
@@ -10,9 +12,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tesselite.functions.keys import key_names, keyed, project_key_of
 from tesselite.operators.changes import newest
 
 FILE = ["project_id", "path"]
+KEYS = key_names(*FILE)
 # fixed values: the texts of the report
 COUNTED = {
     "stale_entries": "%d stale Code Entries",
@@ -24,9 +28,13 @@ NOTHING_STALE = "Index health check complete: no stale entries found."
 REMOVED = "Index health check complete. Removed "
 
 
+def _files(df: DataFrame) -> DataFrame:
+    return keyed(df, *FILE).na.drop(subset=KEYS)
+
+
 def latest(scans: DataFrame) -> DataFrame:
     """project_id, path, content_hash of each file's newest sighting by seen_at, then scan_id; a NULL hash holds too."""
-    return newest(scans, FILE, ["seen_at", "scan_id"], ["content_hash"])
+    return newest(_files(scans), KEYS, ["seen_at", "scan_id"], [*FILE, "content_hash"]).select(*FILE, "content_hash")
 
 
 def diff(scan: DataFrame, state: DataFrame) -> DataFrame:
@@ -35,16 +43,17 @@ def diff(scan: DataFrame, state: DataFrame) -> DataFrame:
     scan, state: project_id, path, content_hash. One full outer join on the file. A log of sightings
     goes through `latest` first.
     """
-    new = scan.groupBy(*FILE).agg(F.max(F.lower("content_hash")).alias("new_hash"), F.lit(True).alias("seen"))
-    old = state.groupBy(*FILE).agg(F.max(F.lower("content_hash")).alias("old_hash"), F.lit(True).alias("known"))
+    row = F.max(F.struct(F.lower("content_hash").alias("hash"), *FILE))
+    new, old = _files(scan).groupBy(*KEYS).agg(row.alias("new")), _files(state).groupBy(*KEYS).agg(row.alias("old"))
     change = (
-        F.when(F.col("seen").isNull(), "gone")
-        .when(F.col("new_hash").isNull(), "unreadable")
-        .when(F.col("known").isNull(), "added")
-        .when(F.col("new_hash") == F.col("old_hash"), "unchanged")
+        F.when(F.col("new").isNull(), "gone")
+        .when(F.col("new.hash").isNull(), "unreadable")
+        .when(F.col("old").isNull(), "added")
+        .when(F.col("new.hash") == F.col("old.hash"), "unchanged")
         .otherwise("changed")
     )
-    return new.join(old, FILE, "full_outer").select(*FILE, change.alias("change"), "new_hash")
+    names = [F.coalesce(f"new.{c}", f"old.{c}").alias(c) for c in FILE]
+    return new.join(old, KEYS, "full_outer").select(*names, change.alias("change"), F.col("new.hash").alias("new_hash"))
 
 
 def counters(changes: DataFrame) -> DataFrame:
@@ -55,13 +64,23 @@ def counters(changes: DataFrame) -> DataFrame:
 def replaced(rows: DataFrame, new_rows: DataFrame, changes: DataFrame, force: bool = False) -> DataFrame:
     """Rows of a table after an index run: those of changed files (or, by force, of every readable scanned one) are replaced."""
     redo = ["added", "changed", "unchanged"] if force else ["added", "changed"]
-    files = changes.where(F.col("change").isin(*redo)).select(*FILE)
-    return rows.join(files, FILE, "left_anti").unionByName(new_rows.join(files, FILE, "left_semi"))
+    files = keyed(changes.where(F.col("change").isin(*redo)), *FILE).select(*KEYS)
+    return without(rows, files, FILE).unionByName(within(new_rows, files, FILE))
+
+
+def without(rows: DataFrame, gone: DataFrame, names: list[str]) -> DataFrame:
+    """The rows whose key isn't among `gone` (columns of key_names)."""
+    return keyed(rows, *names).join(gone, key_names(*names), "left_anti").select(*rows.columns)
+
+
+def within(rows: DataFrame, there: DataFrame, names: list[str]) -> DataFrame:
+    """The rows whose key is among `there` (columns of key_names)."""
+    return keyed(rows, *names).join(there, key_names(*names), "left_semi").select(*rows.columns)
 
 
 def upserted(rows: DataFrame, new_rows: DataFrame, keys: list[str]) -> DataFrame:
     """Insert or replace by key."""
-    return rows.join(new_rows.select(*keys).distinct(), keys, "left_anti").unionByName(new_rows)
+    return without(rows, keyed(new_rows, *keys).select(*key_names(*keys)).distinct(), keys).unionByName(new_rows)
 
 
 def next_hashes(state: DataFrame, changes: DataFrame) -> DataFrame:
@@ -70,35 +89,38 @@ def next_hashes(state: DataFrame, changes: DataFrame) -> DataFrame:
     return upserted(state.select(*FILE, "content_hash"), new, FILE)
 
 
-def health(entries: DataFrame, hashes: DataFrame, edges: DataFrame, projects: DataFrame, live_files: DataFrame, live_projects: DataFrame) -> dict[str, DataFrame]:
+def health(entries: DataFrame, hashes: DataFrame, edges: DataFrame, projects: DataFrame, live_files: DataFrame, live_projects: DataFrame, project_id: str | None = None) -> dict[str, DataFrame]:
     """The tables without what has gone, and `report` with four counters in one row.
 
     live_files: project_id, path of existing files; live_projects: project_id of existing roots. Of an
     absent project everything goes, facts too; of a present one the code entries and hashes of files
-    that are gone, and the edges of the paths that lost an entry.
+    that are gone, and the edges of the paths that lost an entry. project_id: look at that project only.
     """
-    known = projects.select("project_id").distinct()
-    absent = known.join(live_projects.select("project_id").distinct(), "project_id", "left_anti")
-    present = known.join(live_projects.select("project_id").distinct(), "project_id", "left_semi")
-    files = live_files.select(*FILE).distinct()
-    code = entries.where((F.col("entry_type") == "code") & F.col("path").isNotNull()).join(present, "project_id", "left_semi")
-    stale = code.join(files, FILE, "left_anti").select("id", *FILE).distinct()
-    stale_paths = stale.select(*FILE).distinct()
-    orphan_hashes = hashes.join(present, "project_id", "left_semi").join(files, FILE, "left_anti").select(*FILE)
-    stale_edges = edges.join(stale_paths, FILE, "left_semi")
+    project, file = ["project_id"], FILE
+    known = keyed(projects, *project).select(*key_names(*project)).na.drop().distinct()
+    if project_id is not None:
+        known = known.where(F.col(key_names(*project)[0]) == project_key_of(project_id))
+    roots = keyed(live_projects, *project).select(*key_names(*project)).distinct()
+    absent, present = known.join(roots, key_names(*project), "left_anti"), known.join(roots, key_names(*project), "left_semi")
+    files = keyed(live_files, *file).select(*KEYS).distinct()
+    code = within(entries.where((F.col("entry_type") == "code") & F.col("path").isNotNull()), present, project)
+    stale = without(code, files, file).select("id", *FILE).distinct()
+    stale_paths = keyed(stale, *file).select(*KEYS).distinct()
+    orphan_hashes = without(within(hashes, present, project), files, file)
+    stale_edges = within(edges, stale_paths, file)
     counts = [stale.agg(F.countDistinct("id").alias("stale_entries")), orphan_hashes.agg(F.count(F.lit(1)).alias("orphan_hashes")), stale_edges.agg(F.count(F.lit(1)).alias("stale_edges")), absent.agg(F.count(F.lit(1)).alias("absent_projects"))]
     report = counts[0]
     for c in counts[1:]:
         report = report.crossJoin(c)  # single rows
 
-    def without(table: DataFrame, gone: DataFrame, on: list[str]) -> DataFrame:
-        return table.join(absent, "project_id", "left_anti").join(gone.select(*on).distinct(), on, "left_anti")
+    def left(table: DataFrame, gone: DataFrame, on: list[str]) -> DataFrame:
+        return without(without(table, absent, project), gone, on)
 
     return {
-        "entries": without(entries, stale, ["id"]),
-        "file_hashes": without(hashes, orphan_hashes, FILE),
-        "call_edges": without(edges, stale_paths, FILE),
-        "projects": projects.join(absent, "project_id", "left_anti"),
+        "entries": left(entries, keyed(stale, "id").select("_k_id").distinct(), ["id"]),
+        "file_hashes": left(hashes, keyed(orphan_hashes, *file).select(*KEYS).distinct(), FILE),
+        "call_edges": left(edges, stale_paths, FILE),
+        "projects": without(projects, absent, project),
         "report": report,
     }
 

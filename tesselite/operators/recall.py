@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tesselite.functions import tags as tag_codec
+from tesselite.functions.keys import project_key, project_key_of
 
 DEFAULT_LIMIT = 8
 
@@ -37,9 +38,9 @@ def selected(
     exclude_categories: Sequence[str] | None = None,
     tags: Sequence[str] | None = None,
 ) -> DataFrame:
-    """The entries that pass every given filter; conditions are added only where given, so they reach the scan."""
+    """The entries that pass every given filter; conditions are added only where given, so they reach the scan. Projects are compared in canonical form."""
     if project_id:
-        entries = entries.where(F.col("project_id") == project_id)
+        entries = entries.where(project_key("project_id") == project_key_of(project_id))
     if types:
         entries = entries.where(F.col("entry_type").isin(*types))
     if category:
@@ -72,7 +73,7 @@ def project_catalog(projects: DataFrame) -> DataFrame:
 
 
 def is_indexed(projects: DataFrame, project_id: str) -> bool:
-    return not projects.where((F.col("project_id") == project_id) & F.col("indexed_at").isNotNull()).isEmpty()
+    return not projects.where((project_key("project_id") == project_key_of(project_id)) & F.col("indexed_at").isNotNull()).isEmpty()
 
 
 def index_status(entries: DataFrame, projects: DataFrame) -> DataFrame:

@@ -60,6 +60,13 @@ def orphan_records(ref: Reference, salts: int = 8) -> DataFrame:
     return rows.join(missing, names, "left_semi").select(F.lit(ref.field).alias("ref_field"), "record_key", "period").distinct()
 
 
+def looked_up(rows: DataFrame, values: DataFrame, key: str, salts: int = 8) -> DataFrame:
+    """The rows with the columns of `values`, one row per key there; salted, so rows of one key are spread over `salts` tasks. NULL keys find nothing."""
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(salts)))
+    copies = values.where(F.col(key).isNotNull()).withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    return salted.join(copies, [key, "_salt"], "left").drop("_salt")
+
+
 def orphans(refs: Sequence[Reference], salts: int = 8) -> DataFrame:
     """The rows of orphan_records for every reference."""
     return reduce(DataFrame.unionByName, [orphan_records(r, salts) for r in refs])

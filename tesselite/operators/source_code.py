@@ -14,6 +14,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tesselite.functions.keys import project_key, project_key_of
 from tesselite.functions.text import col
 
 # fixed values: language of a file by its extension
@@ -26,7 +27,7 @@ FUNCTION_KEYWORDS = {"python": "def", "javascript": "function", "typescript": "f
 # fixed values: words before a bracket that are no calls
 NO_CALLS = ("def", "if", "for", "while", "return", "print")
 NO_CALLS_ELSEWHERE = (*NO_CALLS, "function", "func", "fn")
-# fixed values: directories, files and endings never indexed
+# fixed values: directories, files and endings never indexed; in three parts, as names match a whole segment of a path, endings its end and the pattern all of it
 DENIED_PARTS = (
     ".git", ".hg", ".svn", "node_modules", "__pycache__", ".venv", "venv", ".tox", ".mypy_cache", ".pytest_cache", ".ruff_cache", "dist", "build",
     "target", "bin", "obj", ".next", ".nuxt", ".env", "package-lock.json", "yarn.lock", "pnpm-lock.yaml", "Gemfile.lock", "poetry.lock",
@@ -171,7 +172,7 @@ def edges_of(edges: DataFrame, name: str, direction: str = "callers", project_id
     own, other = ("callee", "caller_symbol") if direction == "callers" else ("caller_symbol", "callee")
     rows = edges.where(F.col(own) == name)
     if project_id is not None:
-        rows = rows.where(F.col("project_id") == project_id)
+        rows = rows.where(project_key("project_id") == project_key_of(project_id))
     return rows.orderBy(other, "path", "caller_start_line", "callee_line")
 
 
@@ -179,7 +180,7 @@ def call_language(entries: DataFrame, name: str, project_id: str | None = None)
     """path, language, supported of the first code entry by id whose symbol is the name or whose path contains it."""
     rows = entries.where(F.col("entry_type") == "code")
     if project_id is not None:
-        rows = rows.where(F.col("project_id") == project_id)
+        rows = rows.where(project_key("project_id") == project_key_of(project_id))
     rows = rows.where((F.col("symbol") == name) | F.lower("path").like(f"%{name.lower()}%"))
     first = rows.orderBy("id", "path").limit(1)
     known = language("path")

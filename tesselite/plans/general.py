@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesselite.functions.keys import PATH_KEY_SQL, PROJECT_KEY_SQL, path_key, project_key
-from tesselite.operators.changes import latest_indexed, unprocessed
-from tesselite.operators.references import Reference, orphan_report, orphans
+from tesselite.operators.changes import latest_indexed, reread_points, unprocessed
+from tesselite.operators.references import Reference, looked_up, orphan_report, orphans
 from tesselite.session import table
 
 
@@ -19,7 +19,7 @@ def references(spark: SparkSession, d: str) -> list[Reference]:
     symbols = entries.where((F.col("entry_type") == "code") & F.col("symbol").isNotNull() & F.col("project_id").isNotNull()).select("symbol", project_key("project_id"))
     edge_key = F.concat_ws("|", *[F.coalesce(F.col(c), F.lit("")) for c in ("project_id", "path", "caller_symbol", "callee")])
     times = latest_indexed(projects).select(F.col("project_key").alias("_pk"), "indexed_at")
-    dated = edges.withColumn("_pk", project_key("project_id")).join(times, "_pk", "left")
+    dated = looked_up(edges.withColumn("_pk", project_key("project_id")), times, "_pk")
     month, run_month = F.date_format("created_at", "yyyy-MM"), F.date_format("indexed_at", "yyyy-MM")
     p, f = project_key("project_id"), path_key("path")
     entry_id = F.col("id").cast("string")
@@ -44,6 +44,14 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return files.select("project_id", "path")
 
 
+def p6_reread(spark: SparkSession, d: str) -> DataFrame:
+    """The files among them that arrived since each project's last run: a scan is a transaction, begun when it was seen and visible when it arrived; the run is the project's indexed_at."""
+    scans, projects = table(spark, d, "file_scans"), table(spark, d, "projects")
+    transactions = scans.select("project_id", F.col("seen_at").alias("began_at"), F.col("arrived_at").alias("ended_at"))
+    points = reread_points(transactions, latest_indexed(projects).withColumnRenamed("indexed_at", "last_success"))
+    return unprocessed(scans, table(spark, d, "file_hashes"), projects, reread_from=points)
+
+
 _P, _F = PROJECT_KEY_SQL.format, PATH_KEY_SQL.format
 
 P1_REFERENCES_SQL = f"""
@@ -70,10 +78,21 @@ SELECT project_id, path FROM s WHERE n = 1 AND content_hash IS NOT NULL AND (p N
   SELECT 1 FROM file_hashes h WHERE {_P("h.project_id")} = s.p AND {_F("h.path")} = s.f AND lower(h.content_hash) = lower(s.content_hash)))
 """
 
-QUERIES = {"p1_found": p1_found, "p1_report": p1_report, "p6_found": p6_found}
+_P6_REREAD_SQL = f"""
+WITH k AS (SELECT *, {_P("project_id")} p, {_F("path")} f FROM file_scans),
+i AS (SELECT {_P("project_id")} p, max(indexed_at) t FROM projects GROUP BY 1 HAVING max(indexed_at) IS NOT NULL),
+o AS (SELECT i.p, least(any_value(i.t), min(k.seen_at) FILTER (k.seen_at <= i.t AND (k.arrived_at IS NULL OR k.arrived_at > i.t))) AS since FROM i LEFT JOIN k ON k.p = i.p GROUP BY i.p),
+a AS (SELECT DISTINCT k.p, k.f FROM k LEFT JOIN o ON o.p = k.p WHERE o.since IS NULL OR k.arrived_at >= o.since),
+s AS (SELECT *, row_number() OVER (PARTITION BY p, f ORDER BY seen_at DESC, scan_id DESC) n FROM k)
+SELECT project_id, path, content_hash FROM s WHERE n = 1 AND content_hash IS NOT NULL AND EXISTS (SELECT 1 FROM a WHERE a.p = s.p AND a.f = s.f) AND (p NOT IN (SELECT p FROM i) OR NOT EXISTS (
+  SELECT 1 FROM file_hashes h WHERE {_P("h.project_id")} = s.p AND {_F("h.path")} = s.f AND lower(h.content_hash) = lower(s.content_hash)))
+"""
+
+QUERIES = {"p1_found": p1_found, "p1_report": p1_report, "p6_found": p6_found, "p6_reread": p6_reread}
 SQL = {
     "p1_found": P1_REFERENCES_SQL + "SELECT DISTINCT ref_field, record_key, period FROM r",
     "p1_report": P1_REFERENCES_SQL
     + "SELECT ref_field, period, count(DISTINCT (k1, k2)) AS n_keys, count(*) AS n_records FROM (SELECT DISTINCT * FROM r) GROUP BY 1, 2",
     "p6_found": P6_SQL,
+    "p6_reread": _P6_REREAD_SQL,
 }

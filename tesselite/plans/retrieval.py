@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesselite.functions import tags as tag_codec
+from tesselite.functions.keys import PATH_KEY_SQL, PROJECT_KEY_SQL, project_key_of
 from tesselite.functions.text import tokens
 from tesselite.functions.vectors import hash_embed, hash_embedding
 from tesselite.operators import conversation, identity, maintenance, ranking, recall, source_code
@@ -47,7 +48,7 @@ def bm25_topk(spark, d):
 
 
 def bm25_topk_project(spark, d):
-    return ranking.bm25(ranking.tokenized(_code(spark, d).where(F.col("project_id") == BUSY_PROJECT)), "poll main queue", 10)
+    return ranking.bm25(ranking.tokenized(recall.selected(_code(spark, d), project_id=BUSY_PROJECT)), "poll main queue", 10)
 
 
 def bm25_all(spark, d):
@@ -235,10 +236,11 @@ def apply_increment(spark, d):
 
 
 def replace_changed(spark, d):
-    """Entries per project after the changed files' chunks are replaced by none, as at a scan that finds them empty."""
-    e = _entries(spark, d)
+    """n_kept, n_new per project: entries after each file to index gives way to one new row, as at a scan that finds it a single chunk."""
+    e = _entries(spark, d).select("id", "project_id", "path")
     changes = maintenance.diff(maintenance.latest(table(spark, d, "file_scans")), table(spark, d, "file_hashes"))
-    return maintenance.replaced(e, e.limit(0), changes).groupBy("project_id").agg(F.count(F.lit(1)).alias("n_entries"))
+    new = changes.select(F.lit(None).cast("long").alias("id"), "project_id", "path")
+    return maintenance.replaced(e, new, changes).groupBy("project_id").agg(F.count("id").alias("n_kept"), (F.count(F.lit(1)) - F.count("id")).alias("n_new"))
 
 
 def _health(spark, d):
@@ -389,24 +391,35 @@ _W = r"[\p{L}\p{N}_]+"
 _LINES = "string_split(regexp_replace(text, '\\r\\n?', chr(10), 'g'), chr(10))"
 _DECL = rf"^(?:export\s+)?(?:async\s+)?(?:def|class|func|fn|interface|struct|enum|type)\s+({_W})"
 _LANG_SQL = "CASE regexp_extract(lower({0}), '(\\.[^./\\\\]+)$', 1) " + " ".join(f"WHEN '{e}' THEN '{n}'" for e, n in source_code.LANGUAGES.items()) + " END"
-_CHANGES = """new AS (SELECT project_id, path, max(lower(content_hash)) AS new_hash FROM file_scans GROUP BY 1, 2),
-old AS (SELECT project_id, path, max(lower(content_hash)) AS old_hash FROM file_hashes GROUP BY 1, 2),
-ch AS (SELECT coalesce(new.project_id, old.project_id) AS project_id, coalesce(new.path, old.path) AS path, new_hash, CASE WHEN new.path IS NULL THEN 'gone' WHEN new_hash IS NULL THEN 'unreadable'
-  WHEN old.path IS NULL THEN 'added' WHEN new_hash = old_hash THEN 'unchanged' ELSE 'changed' END AS change
-  FROM new FULL JOIN old ON new.project_id = old.project_id AND new.path = old.path)"""
-_HEALTH = f"""live AS (SELECT DISTINCT project_id FROM projects WHERE indexed_at IS NOT NULL),
-absent AS (SELECT DISTINCT project_id FROM projects WHERE project_id NOT IN (SELECT project_id FROM live)),
-present AS (SELECT DISTINCT project_id FROM projects WHERE project_id IN (SELECT project_id FROM live)),
-files AS (SELECT DISTINCT project_id, path FROM file_scans WHERE content_hash IS NOT NULL),
-stale AS (SELECT DISTINCT id, project_id, path FROM {_E} e WHERE entry_type = 'code' AND path IS NOT NULL AND project_id IN (SELECT project_id FROM present)
-  AND NOT EXISTS (SELECT 1 FROM files f WHERE f.project_id = e.project_id AND f.path = e.path)),
-oh AS (SELECT * FROM file_hashes h WHERE project_id IN (SELECT project_id FROM present) AND NOT EXISTS (SELECT 1 FROM files f WHERE f.project_id = h.project_id AND f.path = h.path)),
-se AS (SELECT * FROM call_edges c WHERE EXISTS (SELECT 1 FROM stale s WHERE s.project_id = c.project_id AND s.path = c.path)),
+_P, _F = PROJECT_KEY_SQL.format, PATH_KEY_SQL.format
+# the newest sighting of each file by seen_at, then scan_id, unreadable or not; projects and paths in canonical form
+_CHANGES = f"""new AS (SELECT * FROM (SELECT project_id, path, lower(content_hash) AS hash, {_P("project_id")} AS p, {_F("path")} AS f, row_number() OVER (PARTITION BY {_P("project_id")}, {_F("path")} ORDER BY seen_at DESC, scan_id DESC) AS n FROM file_scans) WHERE n = 1),
+old AS (SELECT p, f, max(hash) AS hash, arg_max(project_id, hash || chr(1) || project_id || chr(1) || path) AS project_id, arg_max(path, hash || chr(1) || project_id || chr(1) || path) AS path
+  FROM (SELECT project_id, path, lower(content_hash) AS hash, {_P("project_id")} AS p, {_F("path")} AS f FROM file_hashes) GROUP BY p, f),
+ch AS (SELECT coalesce(new.p, old.p) AS p, coalesce(new.f, old.f) AS f, coalesce(new.project_id, old.project_id) AS project_id, coalesce(new.path, old.path) AS path, new.hash AS new_hash,
+  CASE WHEN new.f IS NULL THEN 'gone' WHEN new.hash IS NULL THEN 'unreadable' WHEN old.f IS NULL THEN 'added' WHEN new.hash = old.hash THEN 'unchanged' ELSE 'changed' END AS change
+  FROM new FULL JOIN old ON new.p = old.p AND new.f = old.f),
+redone AS (SELECT p, f, project_id, path, new_hash FROM ch WHERE change IN ('added', 'changed'))"""
+
+
+def _keyed_sql(name: str, path: bool = True) -> str:
+    return f"(SELECT *, {_P('project_id')} AS p{', ' + _F('path') + ' AS f' if path else ''} FROM {name})"
+
+
+_HEALTH = f"""live AS (SELECT DISTINCT {_P("project_id")} AS p FROM projects WHERE indexed_at IS NOT NULL AND project_id IS NOT NULL),
+known AS (SELECT DISTINCT {_P("project_id")} AS p FROM projects WHERE project_id IS NOT NULL),
+absent AS (SELECT p FROM known WHERE p NOT IN (SELECT p FROM live)),
+present AS (SELECT p FROM known WHERE p IN (SELECT p FROM live)),
+files AS (SELECT DISTINCT p, f FROM {_keyed_sql("file_scans")} WHERE content_hash IS NOT NULL),
+stale AS (SELECT DISTINCT id, p, f FROM {_keyed_sql(_E)} e WHERE entry_type = 'code' AND path IS NOT NULL AND p IN (SELECT p FROM present)
+  AND NOT EXISTS (SELECT 1 FROM files x WHERE x.p = e.p AND x.f = e.f)),
+oh AS (SELECT * FROM {_keyed_sql("file_hashes")} h WHERE p IN (SELECT p FROM present) AND NOT EXISTS (SELECT 1 FROM files x WHERE x.p = h.p AND x.f = h.f)),
+se AS (SELECT * FROM {_keyed_sql("call_edges")} c WHERE EXISTS (SELECT 1 FROM stale s WHERE s.p = c.p AND s.f = c.f)),
 rep AS (SELECT (SELECT count(DISTINCT id) FROM stale) AS stale_entries, (SELECT count(*) FROM oh) AS orphan_hashes, (SELECT count(*) FROM se) AS stale_edges, (SELECT count(*) FROM absent) AS absent_projects)"""
 
 SQL = {
     "bm25_topk": f"WITH {_bm25_sql(_DOCS, QUERY, 10)} SELECT * FROM bm",
-    "bm25_topk_project": f"""WITH {_bm25_sql(_code_docs(f"entry_type = 'code' AND project_id = '{BUSY_PROJECT}'"), "poll main queue", 10)} SELECT * FROM bm""",
+    "bm25_topk_project": f"""WITH {_bm25_sql(_code_docs(f"entry_type = 'code' AND {PROJECT_KEY_SQL.format('project_id')} = '{project_key_of(BUSY_PROJECT)}'"), "poll main queue", 10)} SELECT * FROM bm""",
     "bm25_all": f"WITH {_bm25_sql(_code_docs('true'), QUERY, None)} SELECT * FROM bm",
     "bm25_batch": f"""WITH docs AS ({_code_docs("entry_type = 'code'")}),
 qt AS (SELECT query_id, unnest(t) AS term, generate_subscripts(t, 1) - 1 AS pos FROM (SELECT query_id, {_TOK('query_text')} AS t FROM recall_queries)),
@@ -485,17 +498,19 @@ m AS (SELECT name, id, {_LANG_SQL.format("path")} AS lang, row_number() OVER (PA
 SELECT m.id, e.path, coalesce(lang, 'unknown') AS language, coalesce(lang IN {tuple(source_code.FUNCTION_KEYWORDS)}, false) AS supported, name FROM m JOIN {_E} e USING (id) WHERE r = 1""",
     "incremental_diff": f"WITH {_CHANGES} SELECT project_id, path, change FROM ch",
     "index_counters": f"WITH {_CHANGES} SELECT change, count(*) AS n_files FROM ch GROUP BY change",
-    "apply_increment": f"""WITH {_CHANGES}, n AS (SELECT project_id, path, new_hash FROM ch WHERE change IN ('added', 'changed'))
-SELECT DISTINCT project_id, path, lower(content_hash) AS content_hash FROM file_hashes h WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.project_id = h.project_id AND n.path = h.path) UNION ALL SELECT * FROM n""",
-    "replace_changed": f"""WITH {_CHANGES}, n AS (SELECT project_id, path FROM ch WHERE change IN ('added', 'changed'))
-SELECT project_id, count(*) AS n_entries FROM {_E} e WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.project_id = e.project_id AND n.path = e.path) GROUP BY project_id""",
+    "apply_increment": f"""WITH {_CHANGES}
+SELECT project_id, path, hash AS content_hash FROM (SELECT DISTINCT project_id, path, lower(content_hash) AS hash, {_P("project_id")} AS p, {_F("path")} AS f FROM file_hashes) h
+WHERE NOT EXISTS (SELECT 1 FROM redone n WHERE n.p = h.p AND n.f = h.f) UNION ALL SELECT project_id, path, new_hash FROM redone""",
+    "replace_changed": f"""WITH {_CHANGES}, kept AS (SELECT id, project_id, path FROM {_keyed_sql(_E)} e WHERE NOT EXISTS (SELECT 1 FROM redone n WHERE n.p = e.p AND n.f = e.f)),
+fresh AS (SELECT NULL AS id, project_id, path FROM redone)
+SELECT project_id, count(id) AS n_kept, count(*) - count(id) AS n_new FROM (SELECT * FROM kept UNION ALL SELECT * FROM fresh) GROUP BY project_id""",
     "health_check": f"WITH {_HEALTH} SELECT * FROM rep",
     "health_message": f"""WITH {_HEALTH}, p AS (SELECT array_to_string(list_filter([CASE WHEN stale_entries > 0 THEN stale_entries || ' stale Code Entries' END, CASE WHEN orphan_hashes > 0 THEN orphan_hashes || ' orphaned file hashes' END,
   CASE WHEN stale_edges > 0 THEN stale_edges || ' stale call graph edges' END, CASE WHEN absent_projects > 0 THEN absent_projects || ' absent project(s) removed' END], lambda x: x IS NOT NULL), ', ') AS t FROM rep)
 SELECT CASE WHEN t = '' THEN 'Index health check complete: no stale entries found.' ELSE 'Index health check complete. Removed ' || t || '.' END AS message FROM p""",
-    "health_entries": f"WITH {_HEALTH} SELECT id FROM {_E} WHERE (project_id IS NULL OR project_id NOT IN (SELECT project_id FROM absent)) AND id NOT IN (SELECT id FROM stale)",
-    "health_edges": f"""WITH {_HEALTH} SELECT project_id, path, count(*) AS n_edges FROM call_edges c WHERE project_id NOT IN (SELECT project_id FROM absent)
-  AND NOT EXISTS (SELECT 1 FROM stale s WHERE s.project_id = c.project_id AND s.path = c.path) GROUP BY 1, 2""",
+    "health_entries": f"WITH {_HEALTH} SELECT id FROM {_keyed_sql(_E, False)} WHERE (p IS NULL OR p NOT IN (SELECT p FROM absent)) AND id NOT IN (SELECT id FROM stale)",
+    "health_edges": f"""WITH {_HEALTH} SELECT project_id, path, count(*) AS n_edges FROM {_keyed_sql("call_edges")} c WHERE p NOT IN (SELECT p FROM absent)
+  AND NOT EXISTS (SELECT 1 FROM stale s WHERE s.p = c.p AND s.f = c.f) GROUP BY 1, 2""",
     "turn_retention": _turns_sql(1),
     "turn_retention_every_2": _turns_sql(2),
     "compression_summary": f"""WITH {_MESSAGES}, z AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 10), {_summary_sql("z")}

@@ -44,14 +44,19 @@ def retained_turns(messages: DataFrame, every: int = 1, chars: int = 1200) -> Da
     return messages.groupBy("conv_id").applyInPandasWithState(step, TURN, "count long, waiting string", "append", GroupStateTimeout.NoTimeout)
 
 
-def process_changes(scans: DataFrame, ledger: Callable[[], DataFrame], commit: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
+def process_changes(scans: DataFrame, ledger: Callable[[], DataFrame], commit: Callable[[DataFrame, int], None], checkpoint: str, log: Callable[[], DataFrame] | None = None) -> StreamingQuery:
     """Give each micro-batch's new or changed files to `commit`, which processes them and writes the ledger.
 
     A batch that failed comes again with the same number, and the ledger drops what an earlier try committed.
+    A scan may arrive after a newer one of its file: the ledger must carry seen_at and scan_id of what was
+    processed, or `log` give all scans so far, this batch included.
     """
 
     def each(batch: DataFrame, number: int) -> None:
-        commit(changes.unprocessed(batch, ledger()), number)
+        done = ledger()
+        if log is None and not {"seen_at", "scan_id"} <= set(done.columns):
+            raise ValueError("the ledger has no seen_at and scan_id, and there is no log of all scans")
+        commit(changes.unprocessed(batch if log is None else log(), done, arrived=batch), number)
 
     return scans.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

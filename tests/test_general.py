@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tesselite.functions.keys import path_key, project_key
 from tesselite.operators import changes
-from tesselite.operators.references import Reference, orphan_report, orphans
+from tesselite.operators.references import Reference, looked_up, orphan_report, orphans
 
 
 def test_keys(spark):
@@ -77,3 +77,30 @@ def test_reread_covers_open_transactions(spark, rows):
     ledger = spark.createDataFrame([("p", "old", "1")], LEDGER)
     got = changes.unprocessed(scans, ledger, reread_from=T0 + dt.timedelta(hours=2))
     assert {r[1] for r in rows(got)} == {"late", "new"}
+
+
+def test_reread_finds_the_newest_of_all_scans(spark, rows):
+    # a newer version was processed before the cut, an older one arrives after it
+    scans = spark.createDataFrame(_scan([("p", "a", "new", 3, 3), ("p", "a", "old", 1, 9), ("p", "b", "b2", 4, 4), ("p", "b", "b1", 2, 9)]), SCAN)
+    ledger = spark.createDataFrame([("p", "a", "new")], LEDGER)
+    cut = T0 + dt.timedelta(hours=5)
+    assert rows(changes.unprocessed(scans, ledger, reread_from=cut)) == {("p", "b", "b2")}
+    dated = spark.createDataFrame([("p", "a", "new", T0 + dt.timedelta(hours=3), 0)], LEDGER + ", seen_at timestamp, scan_id long")
+    got = changes.unprocessed(scans, dated, reread_from=cut)
+    assert {r[:3] for r in rows(got)} == {("p", "b", "b1")}  # b2's own run broke off, and such a ledger is read with the arrivals only
+    assert "seen_at" in changes.committed(dated, got).columns
+
+
+def test_reread_points(spark, rows):
+    log = spark.createDataFrame([("P.git", T0, T0 + dt.timedelta(hours=9)), ("p", T0 + dt.timedelta(hours=1), T0 + dt.timedelta(hours=2)), ("q", T0, None), ("r", T0, T0)], "project_id string, began_at timestamp, ended_at timestamp")
+    runs = spark.createDataFrame([("p", T0 + dt.timedelta(hours=5)), ("q", None), ("r", T0 + dt.timedelta(hours=5)), ("s", T0)], "project_key string, last_success timestamp")
+    points = changes.reread_points(log, runs)
+    assert rows(points) == {("p", T0), ("r", T0 + dt.timedelta(hours=5)), ("s", T0)}
+    scans = spark.createDataFrame(_scan([("p", "a", "1", 0, 6), ("r", "b", "1", 0, 1), ("r", "c", "1", 6, 6), ("q", "d", "1", 0, 0)]), SCAN)
+    assert {r[1] for r in rows(changes.unprocessed(scans, spark.createDataFrame([], LEDGER), reread_from=points))} == {"a", "c", "d"}
+
+
+def test_looked_up(spark, rows):
+    left = spark.createDataFrame([(i, "hot" if i % 3 else None) for i in range(30)] + [(99, "none")], "id long, k string")
+    got = looked_up(left, spark.createDataFrame([("hot", 7), (None, 8)], "k string, v int"), "k")
+    assert {(r.id, r.v) for r in got.collect()} == {(i, 7 if i % 3 else None) for i in range(30)} | {(99, None)} and got.count() == 31
