@@ -9,8 +9,8 @@ all texts and how often something ends after it:
 * the last word after the folded words before it,
 * all three folded.
 
-A folded word is itself if it is one of the `closed_words` most frequent ones, and else its shape (letters,
-digits, mixed), so `although every <word>` is judged even where this very word was never met there. The
+A folded word is itself if it is one of the `closed_words` most frequent ones of letters, and else its shape
+(letters, digits, mixed), so `although every <word>` is judged even where this very word was never met there. The
 first of these trigrams that is frequent enough decides: frequent is one after which `expected` ends would
 be met at the average rate of its kind, and it is almost never terminal if they are at most `share` of
 that. The turn's own end is left out. A final word that is hardly ever met whole is read as the beginning
@@ -40,107 +40,102 @@ from tesselite.session import materialize
 #: Regexes, given to the SQL as parameters.
 PATTERNS = {
     # a run of letters and digits, or one sign
-    "token": r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]",
+    "token": r"[a-z0-9\p{L}\p{N}]+|[^\s\p{L}\p{N}]",
     # what ends something in prose: sentence signs before white space, the next list item, an empty line
     "breaks": r"[.!?…]+(?=\s|$)|\n(?=\s*(?:[-*•]|\p{N}+[.)])\s)|\n\s*\n",
     "turns": r"\n+(?=(?:User|Assistant): )",
-    "edges": r"(?:¶\s*)+$|^\s*(?:User|Assistant):",
     "marker": r"(?i)(?:\x{FFFD}|…\s*[(\[](?:truncated|cut off|continued)[)\]])$",
     "tail": r"(?i)(?:\s|\x{FFFD}|…\s*[(\[](?:truncated|cut off|continued)[)\]])+$",
+    "speaker": r"^\s*(?:User|Assistant):",
     # literals and remarks, inside which brackets do not count
     "quoted": r'"(?:[^"\\\n]|\\.)*"' + r"|'(?:[^'\\\n]|\\.)*'|`[^`]*`|//[^\n]*|#[^\n]*",
-    "word_start": r"^[\p{L}\p{N}]",
     "letters": r"^\p{L}+$",
-    "digits": r"^\p{N}+$",
-    "stop": r"[.!?]$",
-    "dots": r"[.][.]+$",
-    "sentence_end": r"[.!?…]$",
-    "code_end": r"[}]$",
-    "space_end": r"\s+$",
+    "digits": r"(?<![\p{L}\p{N}])[0-9\p{N}]+(?![\p{L}\p{N}])",
+    "mixed": r"(?<![\p{L}\p{N}])(?=\p{L}*\p{N})[a-z0-9\p{L}\p{N}]+",
 }
 LONG = 5  # tokens of the refining n-gram
+#: What stands for the shapes of words: letters, digits, mixed. Signs that are no letters, so that each stays one token.
+W, D, X = "", "", ""
+_SPACE = "concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))"
 
 _OPEN = " OR ".join(f"length(replace(bare, '{a}', '')) < length(replace(bare, '{b}', ''))" for a, b in (("{{", "}}"), ("(", ")"), ("[", "]")))
 
 SEGMENTS = f"""
-SELECT doc, kind, code, last_turn, marked_cut, stopped, open, ended,
-  concat(array('¶'), regexp_extract_all(lower(marked), :token, 0), array('¶')) AS w
-FROM (SELECT doc, kind, code, last_turn, raw RLIKE :marker AS marked_cut, cut RLIKE :stop AND NOT cut RLIKE :dots AND NOT raw RLIKE :marker AS stopped,
-    IF(code, cut RLIKE :code_end, cut RLIKE :sentence_end) AS ended, code AND ({_OPEN} OR size(split(cut, :doc)) % 2 = 0) AS open,
-    IF(code, replace(cut, chr(10), ' ↵ '), regexp_replace(regexp_replace(cut, :breaks, ' ¶ '), :edges, ' ')) AS marked
+SELECT doc, kind, code, last_turn, marked_cut, stopped, open, ended, trim(' ¶' FROM concat_ws(' ', regexp_extract_all(lower(marked), :token, 0))) AS t
+FROM (SELECT doc, kind, code, last_turn, marked_cut, NOT marked_cut AND right(cut, 1) IN ('.', '!', '?') AND right(cut, 2) <> '..' AS stopped,
+    IF(code, right(cut, 1) = '}}}}', right(cut, 1) IN ('.', '!', '?', '…')) AS ended, code AND ({_OPEN} OR size(split(cut, :doc)) % 2 = 0) AS open,
+    IF(code, replace(cut, chr(10), ' ↵ '), regexp_replace(IF(cut RLIKE :speaker, regexp_replace(cut, :speaker, ''), cut), :breaks, ' ¶ ')) AS marked
   FROM (SELECT *, IF(code, regexp_replace(cut, :quoted, ''), '') AS bare
-    FROM (SELECT doc, kind, code, turn = n_turns - 1 AS last_turn, regexp_replace(raw, :space_end, '') AS raw, regexp_replace(raw, :tail, '') AS cut
-      FROM (SELECT doc, kind, code, size(turns) AS n_turns, posexplode(turns) AS (turn, raw)
-        FROM (SELECT doc, kind, code, IF(code, array(text), split(text, :turns)) AS turns
-          FROM (SELECT doc, kind, any_value(code) AS code, translate(any_value(text), '¶↵', '  ') AS text FROM {{texts}} GROUP BY doc, kind))))))
+    FROM (SELECT *, IF(marked_cut, regexp_replace(raw, :tail, ''), raw) AS cut
+      FROM (SELECT *, raw RLIKE :marker AS marked_cut
+        FROM (SELECT doc, kind, code, turn = n_turns - 1 AS last_turn, rtrim({_SPACE}, raw) AS raw
+          FROM (SELECT doc, kind, code, size(turns) AS n_turns, posexplode(turns) AS (turn, raw)
+            FROM (SELECT doc, kind, code, IF(code, array(text), split(text, :turns)) AS turns
+              FROM (SELECT doc, kind, code, translate(text, '¶↵{W}{D}{X}', '     ') AS text FROM {{texts}})))))))) WHERE marked <> ''
 """
 
 #: Words with how often they stand in texts and how often something ends after them.
 WORDS = """
 SELECT kind, code, p.t AS word, count(*) AS n, count_if(p.following = '¶') AS ends
-FROM (SELECT kind, code, explode(arrays_zip(t, following)) AS p FROM (SELECT kind, code, w AS t, slice(w, 2, size(w)) AS following FROM {segments} WHERE size(w) > 2))
-WHERE p.t <> '¶' AND p.following IS NOT NULL GROUP BY 1, 2, 3
+FROM (SELECT kind, code, explode(arrays_zip(t, following)) AS p FROM (SELECT kind, code, t, concat(slice(t, 2, size(t)), array('¶')) AS following FROM (SELECT kind, code, split(t, ' ') AS t FROM {segments} WHERE t <> '')))
+WHERE p.t <> '¶' GROUP BY 1, 2, 3
 """
 
 
-def _quoted(words: list[str]) -> str:
-    return ", ".join(f"'{w}'" for w in words) or "''"  # words are letters and digits
+def _folding(closed: list[str]) -> str:
+    """What a folded word is: letters, but none of the frequent words."""
+    known = f"(?!(?:{'|'.join(closed)})(?![\\p{{L}}\\p{{N}}]))" if closed else ""
+    return rf"(?<![\p{{L}}\p{{N}}]){known}[a-z\p{{L}}]+(?![\p{{L}}\p{{N}}])"
 
 
-def _known(closed: dict[bool, list[str]]) -> str:
-    return f"IF(code, t IN ({_quoted(closed[True])}), t IN ({_quoted(closed[False])})) OR NOT t RLIKE :word_start"
-
-
-def _shape(mixed: str) -> str:
-    return f"WHEN t RLIKE :letters THEN {{letters}} WHEN t RLIKE :digits THEN '0' ELSE {mixed} END"
-
-
-def _folded(array: str, closed: dict[bool, list[str]]) -> str:
-    """Frequent words and signs as they are, others by their shape."""
-    return f"transform({array}, t -> CASE WHEN {_known(closed)} THEN t {_shape(repr('x')).format(letters=repr('w'))})"
-
+_FOLDED = f"regexp_replace(regexp_replace(regexp_replace(t, :digits, '{D}'), :mixed, '{X}'), IF(code, :fold_code, :fold_other), '{W}')"
+_EXACT, _LONG = "xxhash64(kind, 'W', a2, a1, a0)", f"xxhash64(kind, 'L', {', '.join(f'b{k}' for k in range(LONG))})"
+#: A word as it is, digits and mixed words by their shape.
+_NAMED = f"CASE b0 WHEN '{X}' THEN concat('x', length(a0)) WHEN '{D}' THEN '0' ELSE a0 END"
 
-def _named(t: str) -> str:
-    """A word as it is, digits and mixed words by their shape."""
-    return f"(CASE WHEN NOT {t} RLIKE :word_start OR {t} RLIKE :letters THEN {t} WHEN {t} RLIKE :digits THEN '0' ELSE concat('x', length({t})) END)"
 
+def _grams_sql() -> str:
+    """n, ends of the n-grams that end at each position of each turn, in one aggregation.
 
-def _positions(closed: dict[bool, list[str]]) -> str:
-    """A row of plain columns for each position: shifted copies of a row's arrays stand beside each other."""
+    Trigrams of words and folded five-grams have their hash k; the last word after two folded ones has
+    b2, b1, word and its fold. Shifted copies of a turn's arrays stand beside each other, so each position
+    becomes a row of plain columns.
+    """
 
     def shifted(array: str, k: int) -> str:
         return array if k == 0 else f"concat(array_repeat(CAST(NULL AS STRING), {k}), {array})"
 
-    arrays = {f"a{k}": shifted("w", k) for k in range(3)} | {f"b{k}": shifted("c", k) for k in range(LONG)} | {"following": "slice(w, 2, size(w))"}
-    return f"""(SELECT kind, p.*, p.following = '¶' AS ends FROM (SELECT kind, explode(arrays_zip({", ".join(arrays)})) AS p
-      FROM (SELECT kind, {", ".join(f"{v} AS {n}" for n, v in arrays.items())}
-        FROM (SELECT kind, w, {_folded("w", closed)} AS c FROM {{segments}} WHERE size(w) > 2))) WHERE p.a0 <> '¶' AND p.following IS NOT NULL)"""
-
-
-_EXACT, _LONG = "xxhash64(kind, 'W', a2, a1, a0)", f"xxhash64(kind, 'L', {', '.join(f'b{k}' for k in range(LONG))})"
-
-
-def _grams_sql(closed: dict[bool, list[str]]) -> str:
-    """k, n, ends of the trigrams of words and of the folded five-grams."""
-    return f"SELECT k, count(*) AS n, count_if(ends) AS ends FROM (SELECT ends, explode(array(IF(a2 IS NULL, NULL, {_EXACT}), IF(b{LONG - 1} IS NULL, NULL, {_LONG}))) AS k FROM {_positions(closed)}) WHERE k IS NOT NULL GROUP BY k"
+    arrays = {f"a{k}": shifted("w", k) for k in range(3)} | {f"b{k}": shifted("c", k) for k in range(LONG)} | {"following": "concat(slice(w, 2, size(w)), array('¶'))"}
+    none = "CAST(NULL AS STRING)"
+    rows = f"""stack(3, {_EXACT}, {none}, {none}, {none}, {none}, IF(b{LONG - 1} IS NULL, NULL, {_LONG}), {none}, {none}, {none}, {none},
+      CAST(NULL AS BIGINT), b2, b1, {_NAMED}, b0) AS (k, b2, b1, word, fold)"""
+    return f"""
+SELECT kind, k, b2, b1, word, fold, count(*) AS n, count_if(ends) AS ends
+FROM (SELECT kind, following = '¶' AS ends, {rows}
+  FROM (SELECT kind, p.* FROM (SELECT kind, explode(arrays_zip({", ".join(arrays)})) AS p
+    FROM (SELECT kind, {", ".join(f"{v} AS {n}" for n, v in arrays.items())}
+      FROM (SELECT kind, split(concat('¶ ', t), ' ') AS w, split(concat('¶ ', {_FOLDED}), ' ') AS c FROM {{segments}} WHERE t <> '')))) WHERE a0 <> '¶' AND a2 IS NOT NULL)
+WHERE k IS NOT NULL OR word IS NOT NULL GROUP BY 1, 2, 3, 4, 5, 6
+"""
 
 
-def _last_words_sql(closed: dict[bool, list[str]]) -> str:
-    """kind, b2, b1, word, fold, n, ends: the last word of a trigram after folded words."""
-    return f"SELECT kind, b2, b1, {_named('a0')} AS word, b0 AS fold, count(*) AS n, count_if(ends) AS ends FROM {_positions(closed)} WHERE b2 IS NOT NULL GROUP BY 1, 2, 3, 4, 5"
+GRAMS = _grams_sql()
 
 
-def _finals_sql(closed: dict[bool, list[str]]) -> str:
+def _finals_sql() -> str:
     """The turns with the hash of their ending, and the ending's words."""
-    names = ", ".join([f"element_at(w, -{k + 2}) AS a{k}" for k in range(3)])
-    folds = ", ".join(f"IF(size(c) > {k + 1}, element_at(c, -{k + 2}), NULL) AS b{k}" for k in range(LONG))
+    names = ", ".join(f"get(w, size(w) - {k + 1}) AS a{k}" for k in range(3))
+    folds = ", ".join(f"get(c, size(c) - {k + 1}) AS b{k}" for k in range(LONG))
     return f"""
-SELECT *, xxhash64(kind, a2, a1, a0, b4, b3) AS ending, IF(a2 IS NULL, NULL, {_EXACT}) AS k_exact, IF(b{LONG - 1} IS NULL, NULL, {_LONG}) AS k_long, {_named("a0")} AS word
-FROM (SELECT doc, kind, code, last_turn, marked_cut, stopped, open, ended, {names.replace("element_at(w, -4)", "IF(size(w) > 3, element_at(w, -4), NULL)")}, {folds}
-  FROM (SELECT *, {_folded(f"slice(w, -least(size(w), {LONG + 1}), {LONG + 1})", closed)} AS c FROM {{segments}} WHERE size(w) > 2))
+SELECT *, xxhash64(kind, a2, a1, a0, b4, b3) AS ending, IF(a2 IS NULL, NULL, {_EXACT}) AS k_exact, IF(b{LONG - 1} IS NULL, NULL, {_LONG}) AS k_long, {_NAMED} AS word
+FROM (SELECT doc, kind, code, last_turn, marked_cut, stopped, open, ended, {names}, {folds}
+  FROM (SELECT *, split(t, ' ') AS w, split({_FOLDED}, ' ') AS c FROM (SELECT * EXCEPT (t), substring_index(concat('¶ ', t), ' ', -{LONG}) AS t FROM {{segments}} WHERE t <> '')))
 """
 
 
+FINALS = _finals_sql()
+
+
 def _decides(names: list[str]) -> str:
     """Whether the first of the n-grams that is frequent enough is almost never terminal; a rarer one that ended something elsewhere acquits."""
     tests = " ".join(f"WHEN (n_{s} - 1) * rate >= :expected THEN e_{s} - 1 <= :share * rate * (n_{s} - 1) WHEN e_{s} > 1 AND n_{s} * :share * rate < e_{s} - 1 THEN false" for s in names)
@@ -165,7 +160,7 @@ facts AS (
   SELECT e.ending, e.code, r.rate, coalesce(g.n, 0) AS n_W, coalesce(g.ends, 0) AS e_W, coalesce(t.n, 0) AS n_T, coalesce(t.ends, 0) AS e_T,
     coalesce(f.n, 0) AS n_F, coalesce(f.ends, 0) AS e_F, coalesce(l.n, 0) AS n_L, coalesce(l.ends, 0) AS e_L,
     coalesce(s.n - 1, 0) AS n_word, coalesce(s.ends - 1, 0) AS e_word, coalesce(b.n, 0) AS n_begun, coalesce(p.n, 0) AS n_part,
-    e.b0 = 'x' AND (coalesce(f.n, 0) - 1) * r.rate >= :expected AND coalesce(t.n, 0) - 1 <= 0.01D * f.n AS odd_length
+    e.b0 = '{X}' AND (coalesce(f.n, 0) - 1) * r.rate >= :expected AND coalesce(t.n, 0) - 1 <= 0.01D * f.n AS odd_length
   FROM endings e JOIN rates r ON r.kind = e.kind
   LEFT JOIN {{grams}} g ON g.k = e.k_exact
   LEFT JOIN {{last_words}} t ON t.kind = e.kind AND t.b2 = e.b2 AND t.b1 = e.b1 AND t.word = e.word AND t.fold = e.b0
@@ -228,23 +223,25 @@ def truncated(
     """
     spark = entries.sparkSession
     texts = entries.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(F.col(kind_col), F.lit("")).alias("kind"), F.col(category_col).alias("category"))
-    texts = texts.where(F.col("id").isNotNull() & (F.length(F.trim("text")) > 0)).withColumn("code", F.col("kind") == "code")
-    texts = texts.withColumn("doc", F.unhex(F.md5(F.concat_ws("\0", "kind", "text"))))
-    owners = materialize(texts.select("id", "doc", "code", "category", F.length("text").alias("n_chars")).distinct(), "owners")
+    texts = texts.where(F.col("id").isNotNull() & (F.length(F.trim("text")) > 0))
+    doc, code = F.unhex(F.md5(F.concat_ws("\0", "kind", "text"))).alias("doc"), (F.col("kind") == "code").alias("code")
+    owners = materialize(texts.select("id", doc, code, "category", F.length("text").alias("n_chars")).distinct(), "owners")
+    own = texts.select("kind", "text").distinct().select(doc, "kind", code, "text")
 
     def run(query: str, **frames: DataFrame) -> DataFrame:
-        values = {**PATTERNS, "doc": '"""', "expected": expected, "share": share, "seen": seen, "least": least, "excess": excess, "salts": salts}
+        values = {**PATTERNS, **folds, "doc": '"""', "expected": expected, "share": share, "seen": seen, "least": least, "excess": excess, "salts": salts}
         return spark.sql(query, args={k: v for k, v in values.items() if f":{k}" in query}, **frames)
 
-    segments = materialize(run(SEGMENTS, texts=texts), "segments")
+    folds: dict[str, str] = {}
+    segments = materialize(run(SEGMENTS, texts=own), "segments")
     words = materialize(run(WORDS, segments=segments), "words")
-    closed: dict[bool, list[str]] = {}
-    for own in (True, False):
-        frequent = words.where((F.col("code") == own) & F.col("word").rlike(PATTERNS["word_start"])).groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(closed_words)
-        closed[own] = [r["word"] for r in frequent.collect()]
-    last_words = materialize(run(_last_words_sql(closed), segments=segments), "last_words")
-    finals = materialize(run(_finals_sql(closed), segments=segments), "finals")
-    grams = materialize(run(_grams_sql(closed), segments=segments).join(finals.select(F.explode(F.array("k_exact", "k_long")).alias("k")).distinct(), "k", "left_semi"), "grams")
+    for name, rows in (("code", words.where("code")), ("other", words.where("NOT code"))):
+        frequent = rows.where(F.col("word").rlike(PATTERNS["letters"])).groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(closed_words)
+        folds[f"fold_{name}"] = _folding([r["word"] for r in frequent.collect()])
+    finals = materialize(run(FINALS, segments=segments), "finals")
+    all_grams = materialize(run(GRAMS, segments=segments), "all_grams")
+    last_words = all_grams.where(F.col("k").isNull()).drop("k")
+    grams = all_grams.where(F.col("k").isNotNull()).select("k", "n", "ends")
     verdicts = run(VERDICTS, finals=finals, words=words, last_words=last_words, grams=grams)
     return run(JUDGED, verdicts=verdicts, finals=finals, owners=owners)
 

@@ -31,7 +31,7 @@ po AS (SELECT seg, kind, unnest(list_concat(['¶'], w)) AS t, generate_subscript
 nx AS (SELECT *, coalesce(lead(t) OVER s, '¶') = '¶' AS ends, lead(t) OVER s IS NULL AS final FROM po WINDOW s AS (PARTITION BY seg ORDER BY i)),
 wd AS (SELECT kind, t AS word, count(*) AS n, count(*) FILTER (ends) AS ends FROM nx WHERE t <> '¶' GROUP BY 1, 2),
 ra AS (SELECT kind, sum(ends) / sum(n) AS rate FROM wd GROUP BY kind),
-cl AS (SELECT kind = 'code' AS code, word FROM (SELECT kind = 'code' AS code, kind, word, row_number() OVER (PARTITION BY kind = 'code' ORDER BY sum(n) DESC, word) AS r FROM wd WHERE regexp_matches(word, '^[\p{{L}}\p{{N}}]') GROUP BY kind, word) WHERE r <= {closed}),
+cl AS (SELECT kind = 'code' AS code, word FROM (SELECT kind = 'code' AS code, kind, word, row_number() OVER (PARTITION BY kind = 'code' ORDER BY sum(n) DESC, word) AS r FROM wd WHERE regexp_matches(word, '^\p{{L}}+$') GROUP BY kind, word) WHERE r <= {closed}),
 ct AS (SELECT nx.*, CASE WHEN NOT regexp_matches(t, '^[\p{{L}}\p{{N}}]') OR cl.word IS NOT NULL THEN t WHEN regexp_matches(t, '^\p{{L}}+$') THEN 'w' WHEN regexp_matches(t, '^\p{{N}}+$') THEN '0' ELSE 'x' END AS f,
   CASE WHEN NOT regexp_matches(t, '^[\p{{L}}\p{{N}}]') OR regexp_matches(t, '^\p{{L}}+$') THEN t WHEN regexp_matches(t, '^\p{{N}}+$') THEN '0' ELSE 'x' || length(t) END AS g FROM nx LEFT JOIN cl ON cl.word = t AND cl.code = (kind = 'code')),
 tr AS (SELECT *, lag(t, 2) OVER s AS t2, lag(t) OVER s AS t1, lag(f, 4) OVER s AS f4, lag(f, 3) OVER s AS f3, lag(f, 2) OVER s AS f2, lag(f) OVER s AS f1 FROM ct WINDOW s AS (PARTITION BY seg ORDER BY i)),
