@@ -6,20 +6,22 @@ the corpus; around every hit the overlap of document and item is verified on the
 extended to both sides. Any run of `span` equal words matches every mask, and a run with some words
 replaced still matches a mask whose zeros fall on them, so passages with substitutions are found too.
 
-The test items are the stated query set. They are taken in blocks of at most `block_words` words, so
-what is sent to the executors has a fixed bound whatever their number; the corpus is read once per
-block, never shuffled, and nothing of it reaches the driver.
+Both sides are tables and meet in shuffle joins, so neither their number nor their size is bounded by
+the driver. What is sent to the executors is a bitmap of fixed size, 2 to the power of BITS bits, of the
+items' hash prefixes: it keeps nearly all windows of the corpus from the shuffle while the items are few,
+and as they grow it lets more of them pass, which the join then drops. The corpus is read once. Joins on
+hashes and items are salted, so a passage that a third of all documents holds is spread over tasks.
 
 Defined results: words are maximal runs of letters and digits without letter case; what stands
 between them does not count. NULL, blank and shorter texts match nothing; texts of any length are
-read whole; repeated items and documents each give their own pairs; an empty table gives no rows.
+read whole; rows that stand twice count once; documents of one id each give their own rows; an empty
+table gives no rows. Other columns are not read.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,9 +29,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tesselite.operators.references import looked_up
+from tesselite.session import materialize
+
 WORD = re.compile(r"[^\W_]+")
 #: Masks of 13 words: the first compares nine, the others let single words and a pair differ.
 SEEDS = ("1110110101011", "1101011011101", "1011101100111")
+#: The bitmap of hash prefixes has 2 ** BITS bits: 2 MB.
+BITS = 24
+#: Words that are hashed at once.
+BLOCK = 400_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -64,44 +73,77 @@ def seed_hashes(ids: np.ndarray, mask: str) -> np.ndarray:
     return h
 
 
-class Index:
-    """The hashes of a block of items, sorted, with where each stands."""
+def _windows(words: list[np.ndarray], masks: tuple[str, ...], seen: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text, position and hash of the windows of all masks, in order of text; where `seen` is given, only of those whose prefix is in it."""
+    sizes = np.array([len(w) for w in words])
+    flat = np.concatenate(words)
+    text = np.repeat(np.arange(len(words)), sizes)
+    at = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    rows, places, hashes = [], [], []
+    for m, mask in enumerate(masks):
+        h = seed_hashes(flat, mask) + np.uint64(m)
+        n = len(h)
+        keep = at[:n] + len(mask) <= sizes[text[:n]]  # within one text
+        if seen is not None:
+            keep &= seen[h >> np.uint64(64 - BITS)]
+        k = np.flatnonzero(keep)
+        rows.append(text[k]), places.append(at[k]), hashes.append(h[k])
+    row, place, h = np.concatenate(rows), np.concatenate(places), np.concatenate(hashes)
+    order = np.argsort(row, kind="stable")
+    return row[order], place[order], h[order]
+
+
+def _hashed(masks: tuple[str, ...], bitmap):
+    """Of every text its words and windows; where a bitmap is given, only texts with a window in it."""
+
+    def blocks(batch: pa.RecordBatch, known: dict[str, int]) -> Iterator[tuple[list, list, list]]:
+        keys, ids, words, n = [], [], [], 0
+        for key, i, text in zip(*(c.to_pylist() for c in batch.columns)):
+            if len(known) > 500_000:
+                known.clear()
+            w = word_ids(words_of(text), known)
+            keys.append(key), ids.append(i), words.append(w)
+            n += len(w)
+            if n >= BLOCK:
+                yield keys, ids, words
+                keys, ids, words, n = [], [], [], 0
+        if keys:
+            yield keys, ids, words
 
-    def __init__(self, items: list[tuple[int, str]], masks: tuple[str, ...]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, int] = {}
-        self.ids = [i for i, _ in items]
-        self.words = [word_ids(words_of(t), known) for _, t in items]
-        h, at, pos = [], [], []
-        for k, w in enumerate(self.words):
-            for m, mask in enumerate(masks):
-                x = seed_hashes(w, mask)
-                h.append(x + np.uint64(m)), at.append(np.full(len(x), k)), pos.append(np.arange(len(x)))
-        h, at, pos = (np.concatenate(v) if v else np.zeros(0, t) for v, t in ((h, "u8"), (at, "i8"), (pos, "i8")))
-        order = np.argsort(h, kind="stable")
-        self.hash, self.at, self.pos, self.masks = h[order], at[order].astype("i4"), pos[order].astype("i4"), masks
-        # a small table of hash prefixes rejects nearly every window of the corpus in one look
-        self.bits = max(12, int(len(h)).bit_length() + 4)
-        self.seen = np.zeros(1 << self.bits, bool)
-        self.seen[h >> np.uint64(64 - self.bits)] = True
-
-    def hits(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Item and diagonal (position in the document less that in the item) of every seed hit, each once."""
-        pairs = []
-        for m, mask in enumerate(self.masks):
-            h = seed_hashes(w, mask) + np.uint64(m)
-            at = np.flatnonzero(self.seen[h >> np.uint64(64 - self.bits)])
-            if not len(at):
-                continue
-            lo, hi = np.searchsorted(self.hash, h[at], "left"), np.searchsorted(self.hash, h[at], "right")
-            n = hi - lo
-            if not n.sum():
-                continue
-            rows = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            pairs.append(np.stack([self.at[rows], np.repeat(at, n) - self.pos[rows]], 1))
-        if not pairs:
-            return np.zeros(0, "i8"), np.zeros(0, "i8")
-        found = np.unique(np.concatenate(pairs), axis=0)
-        return found[:, 0], found[:, 1]
+        seen = None if bitmap is None else np.unpackbits(np.frombuffer(bitmap.value, "u1"), bitorder="little").astype(bool)
+        for batch in batches:
+            for keys, ids, words in blocks(batch, known):
+                row, place, h = _windows(words, masks, seen)
+                kept = np.unique(row) if seen is not None else np.arange(len(keys))
+                ends = np.searchsorted(row, kept, "right")
+                offsets = pa.array(np.r_[0, ends].astype("i4"))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([keys[i] for i in kept], pa.int64()), pa.array([ids[i] for i in kept], pa.int64()), pa.array([words[i].tobytes() for i in kept], pa.binary()),
+                     pa.ListArray.from_arrays(offsets, pa.array(h.view("i8"))), pa.ListArray.from_arrays(offsets, pa.array(place.astype("i4")))],
+                    names=["key", "id", "words", "hashes", "places"],
+                )
+
+    return run
+
+
+HASHED = "key long, id long, words binary, hashes array<long>, places array<int>"
+
+
+def _seeds(hashed: DataFrame) -> DataFrame:
+    """hash, key, place of every window."""
+    return hashed.select("key", F.explode(F.arrays_zip("hashes", "places")).alias("s")).select(F.col("s.hashes").alias("hash"), "key", F.col("s.places").alias("place"))
+
+
+def prefix_bitmap(seeds: DataFrame) -> bytes:
+    """2 ** BITS bits, of which those of the seeds' hash prefixes are set; gathered in parts of 32,768 bits."""
+    prefix = F.shiftrightunsigned("hash", 64 - BITS)
+    parts = seeds.groupBy(F.shiftright(prefix, 15).cast("int").alias("part")).agg(F.bitmap_construct_agg(prefix.bitwiseAND(F.lit(32767))).alias("bits"))
+    out = bytearray(2 ** (BITS - 3))
+    for r in parts.collect():
+        out[r["part"] * 4096 : (r["part"] + 1) * 4096] = r["bits"]
+    return bytes(out)
 
 
 def longest_run(equal: np.ndarray) -> int:
@@ -124,24 +166,21 @@ def best_stretch(equal: np.ndarray, tolerance: float) -> tuple[int, int]:
     return end - begin, int(equal[begin:end].sum())
 
 
-def _match(index, run_words: int, tolerance: float):
+def _verified(run_words: int, tolerance: float):
+    """The overlap of a document and an item on the diagonals (place in the document less that in the item) that seeds hit."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ix, known = index.value, {}
         for batch in batches:
             out = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if len(known) > 500_000:
-                    known.clear()
-                w = word_ids(words_of(text), known)
-                best: dict[int, tuple[int, tuple[int, int]]] = {}
-                for k, diagonal in zip(*ix.hits(w)):
-                    item = ix.words[k]
-                    a, b = max(0, diagonal), min(len(w), len(item) + diagonal)
-                    equal = w[a:b] == item[a - diagonal : b - diagonal]
-                    run_here, stretch = longest_run(equal), best_stretch(equal, tolerance)
-                    most = best.get(k, (run_here, stretch))
-                    best[k] = max(most[0], run_here), max(most[1], stretch)  # each over all diagonals
-                out += [(doc, ix.ids[k], len(ix.words[k]), longest, *stretch) for k, (longest, stretch) in best.items() if longest >= run_words or stretch[0] >= run_words]
+            for doc, item, a, b, diagonals in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "item_id", "words", "item", "diagonals"))):
+                w, v = np.frombuffer(a, "u8"), np.frombuffer(b, "u8")
+                longest, stretch = 0, (0, 0)
+                for d in diagonals:
+                    begin, end = max(0, d), min(len(w), len(v) + d)
+                    equal = w[begin:end] == v[begin - d : end - d]
+                    longest, stretch = max(longest, longest_run(equal)), max(stretch, best_stretch(equal, tolerance))  # each over all diagonals
+                if longest >= run_words or stretch[0] >= run_words:
+                    out.append((doc, item, len(v), longest, *stretch))
             cols = list(zip(*out)) if out else [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "item_id", "item_words", "run", "stretch", "stretch_equal"])
 
@@ -158,7 +197,7 @@ def overlaps(
     run_words: int = 13,
     tolerance: float = 0.2,
     masks: tuple[str, ...] = SEEDS,
-    block_words: int = 200_000,
+    salts: int = 8,
 ) -> DataFrame:
     """doc_id, item_id, item_words, run, stretch, stretch_equal: pairs with an overlap of at least run_words words.
 
@@ -166,20 +205,22 @@ def overlaps(
     the words were replaced; it may lie on another diagonal than the run. Every pair with a run of len(mask) equal words is found.
     """
     spark = documents.sparkSession
-    docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where(F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    rows = items.select(F.col(item_id).cast("long"), F.col(text)).where(F.col(text).isNotNull() & F.col(item_id).isNotNull())
-    blocks, block, size = [], [], 0
-    for i, t in rows.toLocalIterator():
-        block.append((i, t))
-        size += len(words_of(t))
-        if size >= block_words:
-            blocks.append(block)
-            block, size = [], 0
-    if block or not blocks:
-        blocks.append(block)
+
+    def hashed(rows: DataFrame, name: str, bitmap=None) -> DataFrame:
+        texts = rows.select(F.col(name).cast("long").alias("id"), F.col(text).alias("text")).where(F.col("text").isNotNull() & F.col("id").isNotNull())
+        out = texts.select(F.xxhash64("id", "text").alias("key"), "id", "text").mapInArrow(_hashed(masks, bitmap), HASHED)
+        return materialize(out, name)
+
+    asked = hashed(items, item_id).dropDuplicates(["key"])
+    wanted = _seeds(asked)
+    found = hashed(documents, doc_id, spark.sparkContext.broadcast(prefix_bitmap(wanted))).dropDuplicates(["key"])
+    copies = wanted.select("hash", F.col("key").alias("item_key"), F.col("place").alias("item_place"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"))
+    hits = _seeds(found).withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(salts))).join(copies, ["hash", "salt"])
+    pairs = hits.groupBy("key", "item_key").agg(F.collect_set(F.col("place") - F.col("item_place")).alias("diagonals"))
+    both = looked_up(pairs, asked.select(F.col("key").alias("item_key"), F.col("id").alias("item_id"), F.col("words").alias("item")), "item_key", salts)
+    whole = both.join(found.select("key", F.col("id").alias("doc_id"), "words"), "key")
     schema = "doc_id long, item_id long, item_words long, run long, stretch long, stretch_equal long"
-    found = [docs.mapInArrow(_match(spark.sparkContext.broadcast(Index(b, masks)), run_words, tolerance), schema) for b in blocks]
-    return reduce(DataFrame.unionAll, found)
+    return whole.select("doc_id", "item_id", "words", "item", "diagonals").mapInArrow(_verified(run_words, tolerance), schema).distinct()
 
 
 def leaked_items(pairs: DataFrame) -> DataFrame:

@@ -43,6 +43,11 @@ REDACTED = "[REDACTED]"
 # fixed values: formats of issued tokens
 TOKEN = r"(?:hrb_pat_[A-Za-z0-9]{16,}|qlm_live_[A-Za-z0-9]{12,}|vtx-[A-Za-z0-9]{16,}|orb1_[A-Za-z0-9]{12,}|zk\.[A-Za-z0-9_-]{20,}|TMK[A-Z0-9]{12,})"
 TOKEN_PIECE = r"(?:hrb_pat_[A-Za-z0-9]{6,}|qlm_live_[A-Za-z0-9]{6,}|vtx-[A-Za-z0-9]{8,}|orb1_[A-Za-z0-9]{6,}|zk\.[A-Za-z0-9_-]{10,}|TMK[A-Z0-9]{5,})"
+# fixed values: published formats of tokens
+PUBLISHED = (
+    r"(?:(?:AKIA|ASIA)[0-9A-Z]{16}|ghp_[A-Za-z0-9]{30,}|gho_[A-Za-z0-9]{30,}|ghu_[A-Za-z0-9]{30,}|ghs_[A-Za-z0-9]{30,}|ghr_[A-Za-z0-9]{30,}|github_pat_[A-Za-z0-9_]{30,}|glpat-[A-Za-z0-9_-]{20,}"
+    r"|sk_live_[A-Za-z0-9]{16,}|rk_live_[A-Za-z0-9]{16,}|xox(?:b|a|p|r|s)-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35}|SG\.[A-Za-z0-9_-]{16,}\.[A-Za-z0-9_-]{16,}|npm_[A-Za-z0-9]{36}|pypi-[A-Za-z0-9_-]{32,}|hf_[A-Za-z]{30,})"
+)
 TOKEN_HEADS = ("hrb_pat_", "qlm_live_", "vtx-", "orb1_", "zk.", "TMK")
 # fixed values: words in the names of settings that hold a secret
 NAME = r"(?:pass(?:wor[dt]|wd|phrase)?|pwd|_pw|secret|token|api_?key|apikey|signing_?key|storage_?key|access_?key|private_?key|auth|credential|login)"
@@ -66,6 +71,23 @@ def plausible(value: str) -> bool:
     return bool(re.search(r"\d", bare) or re.search(r"[^\w.\-/:]", bare) or (re.search(r"[a-z]", bare) and re.search(r"[A-Z]", bare[1:]) and len(bare) >= 10))
 
 
+def random_looking(value: str) -> bool:
+    """Whether a value without quotes is no word, name or number: letters and digits alternate, or it is long and of many kinds of characters."""
+    if not plausible(value) or not re.search(r"[A-Za-z]", value):
+        return False
+    turns = len(re.findall(r"(?<=[A-Za-z])(?=\d)|(?<=\d)(?=[A-Za-z])", value))
+    kinds = sum(bool(re.search(k, value)) for k in (r"[a-z]", r"[A-Z]", r"\d", r"[^A-Za-z0-9_.:-]"))
+    return turns >= 3 or (len(value) >= 20 and kinds >= 3) or (kinds == 4 and len(value) >= 10)
+
+
+def _bare_setting(m: re.Match) -> bool:
+    return random_looking(m["v"]) and not HARMLESS_NAME.search(m["n"])
+
+
+def _password_word(m: re.Match) -> bool:
+    return not PLACEHOLDER.match(m["v"]) and not HARMLESS_NAME.search(m["n"])
+
+
 def _setting(m: re.Match) -> bool:
     return plausible(m["v"]) and not HARMLESS_NAME.search(m["n"])
 
@@ -125,6 +147,10 @@ DETECTORS = (
     Detector("setting", rf"(?i)(?P<n>[A-Za-z0-9_.-]*{NAME}[A-Za-z0-9_]*)[\"']?\]?\s*(?::=|=>|=|:)\s*[\"'](?P<v>{_joined(r'[^\"\'\s]{6,}')})[\"']", _setting),
     Detector("fallback", rf"(?i)(?:env\w*|fetch)[\[(.]\s*[\"']?(?P<n>\w*(?:{NAME}|key)\w*)[\"']?\]?\)?\s*(?:,|\?\?|\|\|)\s*[\"'](?P<v>[^\"'\s]{{6,}})[\"']", _setting),
     Detector("shell_setting", rf"(?i)(?:^|[\s;])(?P<n>[A-Z0-9_]*(?:{NAME}|_key)[A-Z0-9_]*)=(?P<v>[^\s\"'`;,()<>{{}}\[\]]{{8,}})", _setting),
+    Detector("published_token", rf"(?<![A-Za-z0-9_.+/=-])(?P<v>{PUBLISHED})"),
+    Detector("bare_setting", rf"(?i)^[ \t]*(?:export |set |- )?[ \t]*[\"']?(?P<n>[A-Za-z0-9_.-]*{NAME}[A-Za-z0-9_]*)[\"']?[ \t]*[:=][ \t]*(?P<v>[^\s\"'`,;()<>{{}}\[\]$]{{8,}})[ \t]*(?:#.*)?$", _bare_setting),
+    Detector("element", rf"(?i)<(?P<n>[A-Za-z0-9_.:-]*{NAME}[A-Za-z0-9_]*)(?: [^<>]*)?>\s*(?P<v>[^<>\s]{{6,}})\s*</", _setting),
+    Detector("password_word", r"(?i)(?P<n>\b[A-Za-z0-9_.]*(?:password|passwd|passphrase))[\"']?\]?\s*(?::=|=>|=|:)\s*[\"'](?P<v>[a-z]{10,})[\"']", _password_word),
     Detector("remark", r"(?i)(?:^|\s)(?:#|//|--|\*|;)[^\n]*?(?P<n>token|login|password|works with|todo remove|secret|credentials?|api key)\s*[:=]\s*(?P<v>[A-Za-z0-9+/_.=-]{16,})", _value),
     Detector("basic_auth", r"(?i)\bBasic\s+(?P<v>[A-Za-z0-9+/]{8,}={0,2})", _basic),
     Detector("bearer", r"(?i)\bBearer\s+(?P<v>[A-Za-z0-9_.~+/-]{20,}=*)", _value),
@@ -313,10 +339,10 @@ def _blank_key(key: str) -> str:
     return key[:begin] + body + key[end:]
 
 
-def redact(text: str, detectors: tuple[Detector, ...] = DETECTORS) -> str:
-    """The text with the value of each credential replaced; quotes, line ends and comment signs stay."""
+def redact(text: str, found: list[Found] | None = None) -> str:
+    """The text with the value of each credential found (or to be found) replaced; quotes, line ends and comment signs stay."""
     out, at = [], 0
-    for f in search(text, detectors):
+    for f in search(text) if found is None else found:
         out.append(text[at : f.start])
         secret = text[f.start : f.end]
         if f.detector == "private_key":
@@ -337,7 +363,7 @@ def _verify(redacted: bool):
             for i, text, names in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 found = search(text, tuple(d for d in DETECTORS if d.name in names))
                 if redacted and found:
-                    ids.append(i), texts.append(redact(text))
+                    ids.append(i), texts.append(redact(text, found))
                 for f in () if redacted else found:
                     ids.append(i), lines.append(f.line), kinds.append(f.detector)
             if redacted:

@@ -336,12 +336,27 @@ def test_overlaps_against_brute_force(spark, rows):
     items += [(50, None), (51, " ")]
     d, it = spark.createDataFrame([(*x, 1) for x in docs], "doc_id long, text string, item_id int"), spark.createDataFrame(items, "item_id long, text string")
     want = {(i, j) for i, t in docs for j, u in items if t and u and _longest_common_run(leakage.words_of(t), leakage.words_of(u)) >= 13}
-    for block in (200_000, 100):
-        got = leakage.overlaps(d, it, block_words=block)
+    for salts in (8, 1):
+        got = leakage.overlaps(d, it, salts=salts)
         assert rows(got.where("run >= 13").select("doc_id", "item_id")) == want
     assert leakage.overlaps(d.limit(0), it).count() == 0 and leakage.overlaps(d, it.limit(0)).count() == 0
 
 
+def test_bitmap_lets_nothing_be_lost(spark):
+    hashes = [0, 1, -1, 2**62, -(2**63), 12345678901234567, 2**40]
+    bits = np.unpackbits(np.frombuffer(leakage.prefix_bitmap(spark.createDataFrame([(h,) for h in hashes], "hash long")), "u1"), bitorder="little")
+    prefixes = {int(np.int64(h).view("u8")) >> (64 - leakage.BITS) for h in hashes}
+    assert len(bits) == 2**leakage.BITS and set(np.flatnonzero(bits)) == prefixes
+
+
+def test_blocks_of_words_are_hashed_alike():
+    rng = np.random.default_rng(3)
+    words = [rng.integers(0, 9, n).astype("u8") for n in (0, 5, 13, 40, 12, 100)]
+    row, place, h = leakage._windows(words, leakage.SEEDS, None)
+    want = {(t, p, int(x)) for t, w in enumerate(words) for m, mask in enumerate(leakage.SEEDS) for p, x in enumerate(leakage.seed_hashes(w, mask) + np.uint64(m))}
+    assert {(int(a), int(b), int(c)) for a, b, c in zip(row, place, h)} == want and (np.diff(row) >= 0).all()
+
+
 def test_substitutions_are_tolerated(spark):
     item = [f"t{i}" for i in range(40)]
     doc = [w if i % 9 else "changed" for i, w in enumerate(item)]
