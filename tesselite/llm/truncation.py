@@ -69,9 +69,9 @@ FROM (SELECT doc, kind, code, last_turn, marked_cut, NOT marked_cut AND right(cu
     FROM (SELECT *, IF(marked_cut, regexp_replace(raw, :tail, ''), raw) AS cut
       FROM (SELECT *, raw RLIKE :marker AS marked_cut
         FROM (SELECT doc, kind, code, turn = n_turns - 1 AS last_turn, rtrim({_SPACE}, raw) AS raw
-          FROM (SELECT doc, kind, code, size(turns) AS n_turns, posexplode(turns) AS (turn, raw)
+          FROM (SELECT doc, kind, code, size(turns) AS n_turns, posexplode_outer(turns) AS (turn, raw)
             FROM (SELECT doc, kind, code, IF(code, array(text), split(text, :turns)) AS turns
-              FROM (SELECT doc, kind, code, translate(text, '¶↵{W}{D}{X}', '     ') AS text FROM {{texts}})))))))) WHERE marked <> ''
+              FROM (SELECT doc, kind, code, translate(text, '¶↵{W}{D}{X}', '     ') AS text FROM {{texts}}))))))))
 """
 
 #: Words with how often they stand in texts and how often something ends after them.
@@ -97,25 +97,20 @@ _NAMED = f"CASE b0 WHEN '{X}' THEN concat('x', length(a0)) WHEN '{D}' THEN '0' E
 def _grams_sql() -> str:
     """n, ends of the n-grams that end at each position of each turn, in one aggregation.
 
-    Trigrams of words and folded five-grams have their hash k; the last word after two folded ones has
-    b2, b1, word and its fold. Shifted copies of a turn's arrays stand beside each other, so each position
-    becomes a row of plain columns.
+    Trigrams of words and folded five-grams have their hash k alone; the last word after two folded ones has
+    the hash of these as k, beside the word and its fold. The arrays stay in the row that is exploded into
+    positions, so a position reads them and copies nothing.
     """
-
-    def shifted(array: str, k: int) -> str:
-        return array if k == 0 else f"concat(array_repeat(CAST(NULL AS STRING), {k}), {array})"
-
-    arrays = {f"a{k}": shifted("w", k) for k in range(3)} | {f"b{k}": shifted("c", k) for k in range(LONG)} | {"following": "concat(slice(w, 2, size(w)), array('¶'))"}
     none = "CAST(NULL AS STRING)"
-    rows = f"""stack(3, {_EXACT}, {none}, {none}, {none}, {none}, IF(b{LONG - 1} IS NULL, NULL, {_LONG}), {none}, {none}, {none}, {none},
-      CAST(NULL AS BIGINT), b2, b1, {_NAMED}, b0) AS (k, b2, b1, word, fold)"""
+    a, b = [f"get(w, i - {k})" for k in range(3)], [f"get(c, i - {k})" for k in range(LONG)]
+    exact, long = (x.replace("a2, a1, a0", ", ".join(a[::-1])).replace(", ".join(f"b{k}" for k in range(LONG)), ", ".join(b)) for x in (_EXACT, _LONG))
+    rows = f"""stack(3, {exact}, {none}, {none}, IF(i < {LONG - 1}, NULL, {long}), {none}, {none}, xxhash64(kind, {b[2]}, {b[1]}), {_NAMED.replace("a0", a[0]).replace("b0", b[0])}, {b[0]}) AS (k, word, fold)"""
     return f"""
-SELECT kind, k, b2, b1, word, fold, count(*) AS n, count_if(ends) AS ends
-FROM (SELECT kind, following = '¶' AS ends, {rows}
-  FROM (SELECT kind, p.* FROM (SELECT kind, explode(arrays_zip({", ".join(arrays)})) AS p
-    FROM (SELECT kind, {", ".join(f"{v} AS {n}" for n, v in arrays.items())}
-      FROM (SELECT kind, split(concat('¶ ', t), ' ') AS w, split(concat('¶ ', {_FOLDED}), ' ') AS c FROM {{segments}} WHERE t <> '')))) WHERE a0 <> '¶' AND a2 IS NOT NULL)
-WHERE k IS NOT NULL OR word IS NOT NULL GROUP BY 1, 2, 3, 4, 5, 6
+SELECT k, word, fold, count(*) AS n, count_if(ends) AS ends
+FROM (SELECT coalesce(get(w, i + 1), '¶') = '¶' AS ends, {rows}
+  FROM (SELECT kind, w, c, explode(sequence(2, size(w) - 1)) AS i
+    FROM (SELECT kind, split(concat('¶ ', t), ' ') AS w, split(concat('¶ ', {_FOLDED}), ' ') AS c FROM {{segments}} WHERE t LIKE '% %')) WHERE {a[0]} <> '¶')
+WHERE k IS NOT NULL GROUP BY 1, 2, 3
 """
 
 
@@ -127,7 +122,7 @@ def _finals_sql() -> str:
     names = ", ".join(f"get(w, size(w) - {k + 1}) AS a{k}" for k in range(3))
     folds = ", ".join(f"get(c, size(c) - {k + 1}) AS b{k}" for k in range(LONG))
     return f"""
-SELECT *, xxhash64(kind, a2, a1, a0, b4, b3) AS ending, IF(a2 IS NULL, NULL, {_EXACT}) AS k_exact, IF(b{LONG - 1} IS NULL, NULL, {_LONG}) AS k_long, {_NAMED} AS word
+SELECT *, xxhash64(kind, a2, a1, a0, b4, b3) AS ending, IF(a2 IS NULL, NULL, {_EXACT}) AS k_exact, IF(b{LONG - 1} IS NULL, NULL, {_LONG}) AS k_long, IF(a2 IS NULL, NULL, xxhash64(kind, b2, b1)) AS before, {_NAMED} AS word
 FROM (SELECT doc, kind, code, last_turn, marked_cut, stopped, open, ended, {names}, {folds}
   FROM (SELECT *, split(t, ' ') AS w, split({_FOLDED}, ' ') AS c FROM (SELECT * EXCEPT (t), substring_index(concat('¶ ', t), ' ', -{LONG}) AS t FROM {{segments}} WHERE t <> '')))
 """
@@ -143,15 +138,15 @@ def _decides(names: list[str]) -> str:
 
 
 VERDICTS = f"""
-WITH endings AS (SELECT DISTINCT ending, kind, code, k_exact, k_long, b2, b1, b0, a0, word FROM {{finals}}),
+WITH endings AS (SELECT DISTINCT ending, kind, code, k_exact, k_long, before, b0, a0, word FROM {{finals}}),
 rates AS (SELECT kind, sum(ends) / sum(n) AS rate FROM {{words}} GROUP BY kind),
-folds AS (SELECT kind, b2, b1, fold, sum(n) AS n, sum(ends) AS ends FROM {{last_words}} GROUP BY 1, 2, 3, 4),
-asked AS (SELECT DISTINCT kind, b2, b1, word FROM endings WHERE word RLIKE :letters),
+folds AS (SELECT k, fold, sum(n) AS n, sum(ends) AS ends FROM {{last_words}} GROUP BY 1, 2),
+asked AS (SELECT DISTINCT before, word FROM endings WHERE word RLIKE :letters),
 begun AS (
-  SELECT p.kind, p.b2, p.b1, p.prefix, sum(p.n) AS n
-  FROM (SELECT kind, b2, b1, n - ends AS n, explode(transform(sequence(1, length(word) - 1), l -> substring(word, 1, l))) AS prefix
+  SELECT p.k, p.prefix, sum(p.n) AS n
+  FROM (SELECT k, n - ends AS n, explode(transform(sequence(1, length(word) - 1), l -> substring(word, 1, l))) AS prefix
     FROM {{last_words}} WHERE n > ends AND length(word) > 1 AND word RLIKE :letters) p
-  LEFT SEMI JOIN asked a ON a.kind = p.kind AND a.b2 = p.b2 AND a.b1 = p.b1 AND a.word = p.prefix GROUP BY 1, 2, 3, 4),
+  LEFT SEMI JOIN asked a ON a.before = p.k AND a.word = p.prefix GROUP BY 1, 2),
 parts AS (
   SELECT kind, prefix, max(n) AS n
   FROM (SELECT kind, n - ends AS n, explode(transform(sequence(1, length(word) - 1), l -> substring(word, 1, l))) AS prefix
@@ -163,11 +158,11 @@ facts AS (
     e.b0 = '{X}' AND (coalesce(f.n, 0) - 1) * r.rate >= :expected AND coalesce(t.n, 0) - 1 <= 0.01D * f.n AS odd_length
   FROM endings e JOIN rates r ON r.kind = e.kind
   LEFT JOIN {{grams}} g ON g.k = e.k_exact
-  LEFT JOIN {{last_words}} t ON t.kind = e.kind AND t.b2 = e.b2 AND t.b1 = e.b1 AND t.word = e.word AND t.fold = e.b0
-  LEFT JOIN folds f ON f.kind = e.kind AND f.b2 = e.b2 AND f.b1 = e.b1 AND f.fold = e.b0
+  LEFT JOIN {{last_words}} t ON t.k = e.before AND t.word = e.word AND t.fold = e.b0
+  LEFT JOIN folds f ON f.k = e.before AND f.fold = e.b0
   LEFT JOIN {{grams}} l ON l.k = e.k_long
   LEFT JOIN {{words}} s ON s.kind = e.kind AND s.word = e.a0
-  LEFT JOIN begun b ON b.kind = e.kind AND b.b2 = e.b2 AND b.b1 = e.b1 AND b.prefix = e.word
+  LEFT JOIN begun b ON b.k = e.before AND b.prefix = e.word
   LEFT JOIN parts p ON p.kind = e.kind AND p.prefix = e.a0)
 SELECT ending, CASE
   WHEN n_begun >= :seen AND (n_word - e_word) * 100 <= greatest(n_part, n_begun) OR odd_length THEN 'trigram within a word'
@@ -240,8 +235,7 @@ def truncated(
         folds[f"fold_{name}"] = _folding([r["word"] for r in frequent.collect()])
     finals = materialize(run(FINALS, segments=segments), "finals")
     all_grams = materialize(run(GRAMS, segments=segments), "all_grams")
-    last_words = all_grams.where(F.col("k").isNull()).drop("k")
-    grams = all_grams.where(F.col("k").isNotNull()).select("k", "n", "ends")
+    last_words, grams = all_grams.where(F.col("word").isNotNull()), all_grams.where(F.col("word").isNull()).select("k", "n", "ends")
     verdicts = run(VERDICTS, finals=finals, words=words, last_words=last_words, grams=grams)
     return run(JUDGED, verdicts=verdicts, finals=finals, owners=owners)
 
