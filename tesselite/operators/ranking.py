@@ -15,12 +15,14 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tesselite.functions.text import document_text, tokens
+from tesselite.functions.text import TOKEN, document_text, tokens
 from tesselite.functions.vectors import codes, cosine, decoded
+from tesselite.operators.ordering import range_ranked
 from tesselite.session import materialize
 
 # fixed values: the constants of the formula
@@ -50,10 +52,8 @@ def term_stats(docs: DataFrame) -> DataFrame:
 
 
 def query_tokens(query: str) -> list[str]:
-    """Tokens of a query on the driver, as tokens() makes them."""
-    import re
-
-    return re.findall(r"[a-zA-Z_]\w*", query.lower())
+    """Tokens of a query on the driver, as tokens() makes them; the pattern is a fixed value."""
+    return regex.findall(TOKEN, query.lower())
 
 
 def _equals(word: str):
@@ -92,9 +92,10 @@ def bm25(docs: DataFrame, query: str, k: int | None = None) -> DataFrame:
 
 
 def ranked(scored: DataFrame, k: int | None, order: list) -> DataFrame:
-    """With a rank by `order`. The best k are taken before the window, which then sees k rows only."""
-    cut = scored.orderBy(*order).limit(k) if k is not None else scored
-    return cut.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+    """With a rank by `order`. The best k are taken before the window, which then sees k rows only; all are ranked by ranges."""
+    if k is None:
+        return range_ranked(scored, order)
+    return scored.orderBy(*order).limit(k).withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 
 
 def bm25_batch(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:

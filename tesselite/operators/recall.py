@@ -10,10 +10,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tesselite.functions import tags as tag_codec
 from tesselite.functions.keys import project_key, project_key_of
+from tesselite.operators.ordering import range_ranked
 
 DEFAULT_LIMIT = 8
 
@@ -68,8 +68,8 @@ def when(c: Column) -> Column:
 def project_catalog(projects: DataFrame) -> DataFrame:
     """project_id, root_path, indexed_at, indexed, position: each project's newest row, the latest first."""
     rows = projects.groupBy("project_id").agg(F.max("indexed_at").alias("indexed_at"), F.max_by("root_path", F.struct(F.col("indexed_at").isNotNull(), "indexed_at", "root_path")).alias("root_path"))
-    order = Window.orderBy(F.desc_nulls_last("indexed_at"), "project_id")
-    return rows.select("project_id", "root_path", "indexed_at", when(F.col("indexed_at")).alias("indexed"), F.row_number().over(order).alias("position"))
+    named = rows.select("project_id", "root_path", "indexed_at", when(F.col("indexed_at")).alias("indexed"))
+    return range_ranked(named, [F.desc_nulls_last("indexed_at"), F.col("project_id")], rank="position")
 
 
 def is_indexed(projects: DataFrame, project_id: str) -> bool:

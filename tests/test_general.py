@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from tesselite.functions.keys import path_key, project_key
 from tesselite.operators import changes
+from tesselite.operators.ordering import range_ranked
 from tesselite.operators.references import Reference, looked_up, orphan_report, orphans
 
 
@@ -104,3 +105,18 @@ def test_looked_up(spark, rows):
     left = spark.createDataFrame([(i, "hot" if i % 3 else None) for i in range(30)] + [(99, "none")], "id long, k string")
     got = looked_up(left, spark.createDataFrame([("hot", 7), (None, 8)], "k string, v int"), "k")
     assert {(r.id, r.v) for r in got.collect()} == {(i, 7 if i % 3 else None) for i in range(30)} | {(99, None)} and got.count() == 31
+
+
+def test_range_ranked(spark):
+    data = [(i % 3 if i % 7 else None, (i * 37) % 50, i) for i in range(200)]
+    df = spark.createDataFrame(data, "g int, v int, id long")
+    order = [F.desc("v"), F.col("id")]
+    whole = [r.id for r in range_ranked(df, order).orderBy("rank").collect()]
+    assert whole == [r[2] for r in sorted(data, key=lambda r: (-r[1], r[2]))]
+    got = {}
+    for r in range_ranked(df, order, ["g"]).orderBy("rank").collect():
+        got.setdefault(r.g, []).append((r["rank"], r.id))
+    for g in (None, 0, 1, 2):
+        want = [r[2] for r in sorted((r for r in data if r[0] == g), key=lambda r: (-r[1], r[2]))]
+        assert got[g] == list(enumerate(want, 1))
+    assert range_ranked(df.limit(0), order).count() == 0
