@@ -1,16 +1,17 @@
 """One ranking from several differently-scaled scores: closeness to an ideal point.
 
-Within each group the scores are winsorised at two quantiles, vector-normalised, and weighted so that
-the span of each score is as long as its weight; then the distances of a candidate to the ideal point
-(the best of each score) and to the anti-ideal point (the worst of each) give its relative closeness
-d- / (d- + d+), by which the group is ranked. So no score gains by its range, its unit or a few
-extreme values.
+Within each group the scores are winsorised at two quantiles and vector-normalised: each is taken from its
+mean and divided by the length of the vector of these deviations, so a score's zero, unit and range fall
+away, and a few extreme values have been cut before. Then the weighted distances of a candidate to the
+ideal point (the best of each score) and to the anti-ideal point (the worst of each) give its relative
+closeness d- / (d- + d+), by which the group is ranked.
 
 Defined results: a NULL or NaN score stands at the anti-ideal, so it gives no support; a score that is
 constant within the group, or NULL throughout, has no span and decides nothing, and if no score has one
 every candidate has closeness 0; candidates delivered twice count once (the greatest of each score);
 ties go to the smaller item id; an empty table gives no rows. Quantiles are approximate aggregates of
-bounded size and rank limits are taken before the shuffle, so no group is gathered in one task.
+bounded size, rank limits are taken before the shuffle, and a whole ranking is made by ranges, so no group
+is gathered in one task.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tesselite.operators.ordering import range_ranked
+
 
 def _sum(columns: Sequence[Column]) -> Column:
     return reduce(lambda a, b: a + b, columns, F.lit(0.0))
@@ -46,16 +49,17 @@ def closeness(
     limits = rows.groupBy("_g").agg(*quantiles)
     # greatest and least skip NULL, so a missing score would become a limit
     cut = rows.join(limits, "_g").select("_g", "_i", *[F.when(F.col(f"_s{i}").isNotNull(), F.greatest(F.least(f"_s{i}", F.col(f"_q{i}")[1]), F.col(f"_q{i}")[0])).alias(f"_s{i}") for i in range(len(names))])
-    norms = cut.groupBy("_g").agg(*[x for i in range(len(names)) for x in (F.sqrt(F.sum(F.col(f"_s{i}") ** 2)).alias(f"_n{i}"), F.min(f"_s{i}").alias(f"_lo{i}"), F.max(f"_s{i}").alias(f"_hi{i}"))])
+    # stddev_pop times the root of the count is the length of the deviations, without the loss of a difference of squares
+    length = "sqrt(count({0})) * stddev_pop({0})"
+    norms = cut.groupBy("_g").agg(*[x for i in range(len(names)) for x in (F.expr(length.format(f"_s{i}")).alias(f"_n{i}"), F.min(f"_s{i}").alias(f"_lo{i}"), F.max(f"_s{i}").alias(f"_hi{i}"))])
     whole = cut.join(norms, "_g")
     up, down = [], []
     for i, n in enumerate(names):
-        norm = F.col(f"_n{i}")
-        value, best, worst = (F.coalesce(F.col(f"_s{i}"), F.col(f"_lo{i}")) / norm, F.col(f"_hi{i}") / norm, F.col(f"_lo{i}") / norm)
-        weight = F.lit(float((weights or {}).get(n, 1.0))) / (best - worst)
-        real = F.col(f"_hi{i}") > F.col(f"_lo{i}")
-        up.append(F.when(real, (weight * (best - value)) ** 2).otherwise(0.0))
-        down.append(F.when(real, (weight * (value - worst)) ** 2).otherwise(0.0))
+        # the mean is the same for all and falls out of every distance
+        weight = F.lit(float((weights or {}).get(n, 1.0))) / F.col(f"_n{i}")
+        value, real = F.coalesce(f"_s{i}", f"_lo{i}"), F.col(f"_hi{i}") > F.col(f"_lo{i}")
+        up.append(F.when(real, (weight * (F.col(f"_hi{i}") - value)) ** 2).otherwise(0.0))
+        down.append(F.when(real, (weight * (value - F.col(f"_lo{i}"))) ** 2).otherwise(0.0))
     plus, minus = F.sqrt(_sum(up)), F.sqrt(_sum(down))
     value = F.when(plus + minus > 0, minus / (plus + minus)).otherwise(0.0)
     return whole.select(F.col("_g").alias(group), F.col("_i").alias(item), F.round(value, 9).alias("closeness"))
@@ -63,6 +67,7 @@ def closeness(
 
 def ranked(closed: DataFrame, *, group: str, item: str, top: int | None = None) -> DataFrame:
     """group, item, closeness, rank; the first `top` of each group, or all."""
-    order = Window.partitionBy(group).orderBy(F.desc("closeness"), item)
-    out = closed.withColumn("rank", F.row_number().over(order))
-    return out.where(F.col("rank") <= top) if top else out
+    order = [F.desc("closeness"), F.col(item)]
+    if top is None:
+        return range_ranked(closed, order, [group])
+    return closed.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("rank") <= top)

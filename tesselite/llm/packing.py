@@ -7,11 +7,10 @@ only by chance, so at most one poorly filled window per group is lost, a share t
 
 In a group the items become partial partitions into k windows, and the two partitions with the largest
 difference between their fullest and emptiest window are merged again and again, the fullest windows
-of one with the emptiest of the other (Karmarkar-Karp differencing for many ways). k begins at the
-least that the sum allows and rises while a window is over its capacity. Items of at most `filler` of
-the capacity are left out of the differencing and fitted into the gaps of its near-equal windows, the
-tightest gap first; k also rises while one of them finds no gap. In the end the emptiest window is given
-up as long as its items fit into the gaps of the others.
+of one with the emptiest of the other (Karmarkar-Karp differencing for many ways). k is the least that the
+sum allows, so the windows come out near-equal and nearly full. Those that hold at most the capacity, and
+lack at most `slack` of it, are done; the items of the others are differenced anew. Where no window is
+done and some exceed the capacity, k rises. Every item gets its place by differencing.
 
 Defined results: NULL, blank and token-less texts fill nothing and get no row; rows of one id
 are one document, the longest of them; a NULL id gets no row; a capacity that is
@@ -23,7 +22,7 @@ from __future__ import annotations
 import base64
 import heapq
 import math
-from bisect import bisect_left, insort
+from bisect import insort
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -119,51 +118,24 @@ def difference(sizes: list[int], k: int) -> list[list[int]]:
     return windows
 
 
-def consolidate(sizes: list[int], windows: list[list[int]], capacity: int) -> list[list[int]]:
-    """Give up the emptiest windows while their items fit into the gaps of the others."""
-    windows = [list(w) for w in windows]
-    gaps = sorted((capacity - sum(sizes[i] for i in w), n) for n, w in enumerate(windows))
-    while len(gaps) > 1:
-        gap, n = gaps[-1]
-        trial, moved = gaps[:-1], []
-        for i in sorted(windows[n], key=lambda i: -sizes[i]):
-            at = bisect_left(trial, (sizes[i], -1))
-            if at == len(trial):
-                break
-            g, to = trial.pop(at)
-            insort(trial, (g - sizes[i], to))
-            moved.append((i, to))
-        else:
-            for i, to in moved:
-                windows[to].append(i)
-            windows[n], gaps = [], trial
-            continue
-        break
-    return [w for w in windows if w]
-
-
-def fill(sizes: list[int], capacity: int, filler: float = 1 / 3) -> list[list[int]]:
+def fill(sizes: list[int], capacity: int, slack: float = 0.05) -> list[list[int]]:
     """Windows of at most `capacity`; every item is in one, and none is larger than that. sizes: largest first."""
-    if not sizes:
-        return []
-    large = sum(s > filler * capacity for s in sizes)
-    k = math.ceil(sum(sizes) / capacity)
-    while True:
-        windows = difference(sizes[:large], k)
-        windows += [[] for _ in range(k - len(windows))]
-        gaps = sorted((capacity - sum(sizes[i] for i in w), n) for n, w in enumerate(windows))
-        fits = gaps[0][0] >= 0
-        for i in range(large, len(sizes)) if fits else ():
-            at = bisect_left(gaps, (sizes[i], -1))
-            if at == len(gaps):
-                fits = False
-                break
-            gap, n = gaps.pop(at)
-            windows[n].append(i)
-            insort(gaps, (gap - sizes[i], n))
-        if fits:
-            return consolidate(sizes, [w for w in windows if w], capacity)
-        k += max(1, k // 200)
+    out, left, more = [], list(range(len(sizes))), 0
+    while left:
+        own = [sizes[i] for i in left]
+        k = math.ceil(sum(own) / capacity) + more
+        windows = [w for w in difference(own, k) if w]
+        sums = [sum(own[i] for i in w) for w in windows]
+        if max(sums) <= capacity:
+            return out + [[left[i] for i in w] for w in windows]
+        done = [w for w, s in zip(windows, sums) if (1 - slack) * capacity <= s <= capacity]
+        if done:
+            placed = {i for w in done for i in w}
+            out += [[left[i] for i in w] for w in done]
+            left, more = [j for i, j in enumerate(left) if i not in placed], 0
+        else:
+            more += max(1, k // 200)
+    return out
 
 
 def _pack(group: pa.Table) -> pa.Table:
@@ -187,7 +159,7 @@ def fillings(
     window_id: str = "window_id",
     capacity: str = "capacity_tokens",
     vocabulary: str | None = None,
-    group_items: int = 2000,
+    group_items: int = 8000,
 ) -> DataFrame:
     """window_id, filling, doc_id, piece, n_tokens: for each window, which document (or piece of an oversized one) goes into which filling."""
     spark = documents.sparkSession

@@ -61,9 +61,10 @@ def _p3_sql() -> str:
 WITH r AS (SELECT query_id, entry_id, {each("max(CAST({n} AS DOUBLE) * {s}) {n}")} FROM hit_scores WHERE query_id IS NOT NULL AND entry_id IS NOT NULL GROUP BY 1, 2),
 l AS (SELECT query_id, {each("quantile_disc({n}, 0.2) lo_{n}, quantile_disc({n}, 0.8) hi_{n}")} FROM r GROUP BY 1),
 c AS (SELECT query_id, entry_id, {each("CASE WHEN {n} IS NOT NULL THEN greatest(least({n}, hi_{n}), lo_{n}) END {n}")} FROM r JOIN l USING (query_id)),
-m AS (SELECT query_id, {each("sqrt(sum({n} * {n})) n_{n}, min({n}) w_{n}, max({n}) b_{n}")} FROM c GROUP BY 1),
-v AS (SELECT query_id, entry_id, {each("CASE WHEN b_{n} > w_{n} THEN (coalesce({n}, w_{n}) / n_{n} - w_{n} / n_{n}) / (b_{n} / n_{n} - w_{n} / n_{n}) END {n}")} FROM c JOIN m USING (query_id)),
-d AS (SELECT query_id, entry_id, sqrt({each("coalesce((1 - {n}) ** 2, 0)", " + ")}) p, sqrt({each("coalesce({n} ** 2, 0)", " + ")}) q FROM v),
+a AS (SELECT query_id, {each("avg({n}) a_{n}, min({n}) w_{n}, max({n}) b_{n}")} FROM c GROUP BY 1),
+m AS (SELECT query_id, {each("sqrt(sum(({n} - a_{n}) ** 2)) n_{n}")} FROM c JOIN a USING (query_id) GROUP BY 1),
+d AS (SELECT query_id, entry_id, sqrt({each("CASE WHEN b_{n} > w_{n} THEN ((b_{n} - coalesce({n}, w_{n})) / n_{n}) ** 2 ELSE 0 END", " + ")}) p,
+  sqrt({each("CASE WHEN b_{n} > w_{n} THEN ((coalesce({n}, w_{n}) - w_{n}) / n_{n}) ** 2 ELSE 0 END", " + ")}) q FROM c JOIN a USING (query_id) JOIN m USING (query_id)),
 k AS (SELECT query_id, entry_id, round(CASE WHEN p + q > 0 THEN q / (p + q) ELSE 0 END, 9) closeness FROM d),
 f AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY closeness DESC, entry_id) AS rank FROM k)
 """

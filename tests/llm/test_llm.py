@@ -284,6 +284,11 @@ def test_windows():
         assert all(sum(sizes[i] for i in w) <= cap for w in filled)
     small = sorted((min(500, max(1, int(rng.lognormvariate(5, 0.8)))) for _ in range(1000)), reverse=True)
     assert sum(small) / (512 * len(packing.fill(small, 512))) > 0.95
+    mixed = sorted((rng.choice((300, 260, 200, 150, 90, 20, 3)) for _ in range(3000)), reverse=True)
+    filled = packing.fill(mixed, 512)
+    assert sum(mixed) / (512 * len(filled)) > 0.95 and max(sum(mixed[i] for i in w) for w in filled) <= 512
+    assert packing.fill([512] * 7, 512) == [[i] for i in range(7)] or len(packing.fill([512] * 7, 512)) == 7
+    assert len(packing.fill([300] * 40, 512)) == 40  # no two fit, so k rises to one window each
     parts = packing.difference([8, 7, 6, 5, 4], 2)
     assert sorted(sum([8, 7, 6, 5, 4][i] for i in p) for p in parts) == [14, 16]
 
