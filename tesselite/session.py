@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -35,13 +36,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, from spark.checkpoint.dir.
 
-    Only where that setting is empty (tests, a laptop) is a folder of this machine made and used.
+    Only where that setting is empty and all runs on this machine (tests, a laptop) is a folder of it made and used;
+    on a cluster the executors could not share it, so an empty setting is an error there.
     """
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not at:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         if current.isDefined():
             at = current.get()
+        elif not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         else:
             at = "file://" + tempfile.mkdtemp(prefix="tesselite-")
             spark.sparkContext.setCheckpointDir(at)

@@ -8,6 +8,7 @@ ROOT = str(Path(__file__).resolve().parents[1])
 sys.path.insert(0, ROOT)
 os.environ["PYTHONPATH"] = ROOT + os.pathsep + os.environ.get("PYTHONPATH", "")
 DATA = "/root/testdata/sf0.001"
+LARGER = "/root/testdata/sf0.1"
 
 
 @pytest.fixture(scope="session")
