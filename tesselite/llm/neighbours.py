@@ -4,15 +4,17 @@ Fit: a bounded sample of the vectors (`sample_rows`) goes to the driver, where e
 again and again at the median of the projection on the difference of two random members. Every
 vector is then indexed. Search: all trees of a vector share one priority queue; the entry of a node
 is how far the vector would have to move to fall into it, and the first leaves of the queue are
-visited: `visits` of them, and `more` for each level below LEVEL, since every further split parts
-some pairs. The queue is run for a whole batch at once: on each level only as many of the best nodes
+visited. How many is measured on the sample: as many as bring `target` of the k nearest of some of its
+vectors, which an exhaustive search within the sample tells. Whoever seeks near copies only (a high
+min_cosine) can do with fewer and gives `visits`, and `more` for each level below LEVEL, since every
+further split parts some pairs. The queue is run for a whole batch at once: on each level only as many of the best nodes
 can lead to these leaves, since a child is never nearer than its parent. In a leaf the cosines are
 exact, and so is the ranking of what the leaves gave.
 
 Exact copies are one row from the start: they share a key, hashed from the vector, meet in the leaves
 once per batch, and are expanded at the end, each row to at most k partners. So a vector that a third
-of all rows share costs a leaf a few rows. Splits at medians keep leaves even; a leaf holds about
-`leaf_rows` vectors at any size of input up to `sample_rows / 8` leaves.
+of all rows share costs a leaf a few rows. Splits at medians keep leaves even; trees have at least
+LEAST levels, and a leaf holds about `leaf_rows` vectors at any larger input up to `sample_rows / 8` leaves.
 
 Defined results: NULL, zero, NaN or infinite vectors and those of another length have no neighbours
 and are nobody's; rows delivered twice count once; ties go to the smaller id; an empty table gives no
@@ -33,6 +35,8 @@ from pyspark.sql.window import Window
 BLOCK = 1024
 #: The depth up to which `visits` leaves are enough.
 LEVEL = 6
+#: Levels of the trees at least, where the sample can be split so often.
+LEAST = 3
 
 
 class Forest:
@@ -90,6 +94,31 @@ class Forest:
         return node + tree * 2**self.depth
 
 
+def visits_for(forest: Forest, x: np.ndarray, k: int, target: float, queries: int = 512, rows: int = 16_384, seed: int = 7) -> int:
+    """The leaves a vector must visit to meet `target` of its k nearest, measured on at most `queries` of at most `rows` vectors of a sample.
+
+    A pair meets if either visits the other's leaf. In a sample neighbours lie farther off than in the whole, so the whole is met at least as well.
+    """
+    most = forest.trees * 2**forest.depth
+    x = x[:rows]
+    if len(x) <= k or forest.depth == 0:
+        return most
+    at = np.random.default_rng(seed).permutation(len(x))[:queries]
+    sims = x[at] @ x.T
+    sims[np.arange(len(at)), at] = -2
+    near = np.argpartition(-sims, k - 1, axis=1)[:, :k]
+    own = forest.own(x)
+    a, b = np.repeat(at, k), near.ravel()
+    visits = min(most, max(4, forest.trees))
+    while visits < most:
+        ends = [(forest.visited(x[p], visits)[:, :, None] == own[q][:, None, :]).any((1, 2)) for p, q in ((a, b), (b, a))]
+        same = (own[a] == own[b]).any(1)
+        if (ends[0] | ends[1] | same).mean() >= target:
+            return visits
+        visits = min(most, visits + max(2, visits // 4))
+    return most
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     x = x.astype("f4")
     return x / np.linalg.norm(x.astype("f8"), axis=1, keepdims=True).astype("f4")
@@ -195,8 +224,9 @@ def nearest(
     k: int = 10,
     min_cosine: float = -1.0,
     trees: int = 2,
-    visits: int = 4,
+    visits: int | None = None,
     more: int = 2,
+    target: float = 0.97,
     leaf_rows: int = 3000,
     sample_rows: int = 131_072,
     seed: int = 7,
@@ -204,7 +234,7 @@ def nearest(
     """id, neighbour, cosine, rank: of every id its k most similar other ids with cosine >= min_cosine.
 
     visits, more: leaves that a vector visits over all trees, and how many more for each level of the
-    trees below LEVEL; more give better recall and move more vectors.
+    trees below LEVEL; more give better recall and move more vectors. None: as many as `target` needs.
     """
     rows = _valid(vectors, id_col, vector_col, dim)
     n = vectors.count()  # from the files' footers
@@ -212,12 +242,13 @@ def nearest(
     if n > need:
         picked = rows.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1_000_000)) < max(1, int(1_000_000 * need / n)))
     sample = picked.select("v").toArrow()
-    depth = max(0, math.ceil(math.log2(max(n, 1) / leaf_rows)))
+    depth = max(LEAST, math.ceil(math.log2(max(n, 1) / leaf_rows)))
     depth = min(depth, max(0, int(math.log2(max(sample.num_rows, 1) / 8)))) if sample.num_rows else 0
     x = _unit(_fixed(sample.column("v"), dim)) if sample.num_rows else np.zeros((0, dim), "f4")
     forest = Forest.fit(x, trees if depth else 1, depth, seed)
 
-    routed = rows.select("key", "v").mapInArrow(_route(forest, dim, visits + more * max(0, depth - LEVEL)), "leaf long, n_own long, keys binary, x binary")
+    visited = visits_for(forest, x, k, target, seed=seed) if visits is None else visits + more * max(0, depth - LEVEL)
+    routed = rows.select("key", "v").mapInArrow(_route(forest, dim, visited), "leaf long, n_own long, keys binary, x binary")
     found = routed.groupBy("leaf").applyInArrow(_leaf(dim, k, min_cosine), "ka long, kb long, cosine double")
     pairs = found.groupBy("ka", "kb").agg(F.max("cosine").alias("cosine"))
 

@@ -109,7 +109,7 @@ def p5_redacted(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    near = neighbours.nearest(table(spark, d, "vectors"), min_cosine=0.9)
+    near = neighbours.nearest(table(spark, d, "vectors"), min_cosine=0.9, visits=4)
     return near.select(F.least("id", "neighbour").alias("id_a"), F.greatest("id", "neighbour").alias("id_b")).distinct()
 
 
