@@ -1,34 +1,46 @@
 """New batches against all history: shards of navigable small-world graphs.
 
-A batch is a day of entries in order of time, then id. Exact repeats (of one kind, the same words of a
-fact or the same code but for white space) are one class, named by a digest; only the first entry of
-each class is looked at further. Facts become vectors, sums of a fixed random sign vector for each
-distinct word, whose cosine approximates the share of common words.
-
-History is cut into shards: by content (the nearest of a few pivots, fitted on a bounded sample), and
-within that by time, days being compacted until a shard holds `shard_rows` vectors, and a larger day
-split. Every shard has its own graph, built by inserting batches of vectors: each is linked to the
-nearest ones that a beam search from fixed entry points finds. The beam of a shard is doubled until it
-finds `target` of what an exhaustive search finds for a sample of the shard. An entry is searched for in
-the shards of its `probes` nearest pivots; the beam of a query is doubled as long as everything in it is
-near, so no number of near copies is cut off. What the beam brings is reranked exactly on the words.
-
-An entry is a repeat if an accepted earlier one is its repeat partner, and repeats are not accepted.
-That is decided for all entries at once in rounds over the candidate pairs: whoever has no undecided
-earlier partner is decided, and the rounds are as many as the longest chain of partners.
-
-HistoryIndex keeps the shards on disk: a new batch is checked against them without reading the history's
-texts, adds a shard of its own, and compact() merges small shards.
+A batch is a day of entries in order of time, then id; a run takes the batches that came since the last
+one. Exact repeats (of one kind, the same words of a fact or the same code but for white space) are one
+class, named by a digest; only the first entry of each class is looked at further. Facts become vectors,
+sums of a fixed random sign vector for each distinct word, whose cosine approximates the share of common
+words.
+
+HistoryIndex keeps the accepted entries in shards: by content (the nearest of a few pivots, fitted on a
+bounded sample) and within that by run. Every shard has its own graph, built by inserting batches of
+vectors: each is linked to the nearest ones that a beam search from fixed entry points finds. The beam of
+a shard is doubled until it finds `target` of what an exhaustive search finds for a sample of the shard.
+An entry is searched for in the shards of its `probes` nearest pivots; the beam of a query is doubled as
+long as everything in it is near, so no number of near copies is cut off. What the beam brings is
+reranked exactly on the words.
+
+A run goes in three steps, and writes nothing but what is new:
+
+* classes that history holds are repeats; the others' first entries are searched for in history's shards,
+  all of whose entries are accepted and earlier, so the earliest partner found there decides;
+* what is left is searched for in shards of its own. An entry is a repeat if an accepted earlier one is its
+  partner, and repeats are not accepted; that is decided for all at once in rounds over pairs: whoever has
+  an accepted earlier partner is rejected, and whoever has none but rejected ones is accepted. Of a shard's
+  partners an entry gets at most the `listed` earliest, so a family of near copies gives a number of pairs in
+  proportion to its size; where these don't decide, it is searched for again, without the rejected ones;
+* the accepted entries become a shard for each cell, beside the others. A manifest, written last, names the
+  folders that hold; a run that breaks off leaves the manifest before it in force.
+
+compact() merges shards that are not full, and when the index has outgrown its pivots, fits new ones and
+builds all shards anew; it is called on a schedule (`every` runs), not by each batch.
 
 Defined results: NULL and blank texts, and facts without a letter or digit, repeat nothing and are
-repeated by nothing; a row delivered twice is one entry; NULL times come first; ties go to the smaller
-id; an empty table gives no rows. Other columns are not read. Texts of any length are read whole.
+repeated by nothing; a row delivered twice is one entry; NULL times come first within a run; ties go to the
+smaller id; an empty table gives no rows. Other columns are not read. Texts of any length are read whole.
 """
 
 from __future__ import annotations
 
+import datetime as dt
 import math
+import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -36,11 +48,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tesselite.session import materialize
+from tesselite.session import materialize, shared_path
 
 DIM = 128
 FIRST = -(2**62)  # the time of entries without one
 SPREAD = 4  # nodes that a search expands at once
+ENTRIES = 1024  # nodes of a shard that a search begins with, of which the nearest stay in the beam
 
 
 # --- vectors ---------------------------------------------------------------------------------------
@@ -82,37 +95,48 @@ class Graph:
         if links is None:
             self._build()
 
-    def _connect(self, a: int, b: int, own: bool) -> None:
-        """A link of a to b. Those made when a came stay, so what was reachable stays so; later ones give way to nearer ones."""
-        if b in self.links[a]:
-            return
-        row = self.links[a, : self.degree] if own else self.links[a, self.degree :]
-        free = np.flatnonzero(row < 0)
-        if len(free):
-            row[free[0]] = b
-            return
-        near = self.v[row] @ self.v[a]
-        worst = int(near.argmin())
-        if self.v[b] @ self.v[a] > near[worst]:
-            row[worst] = b
+    def _build(self, batch: int = 256) -> None:
+        """Insert in order: each batch is linked to what a search among the earlier ones finds, and among itself.
 
-    def _build(self, batch: int = 64) -> None:
-        """Insert in order: each batch is linked to what a search among the earlier ones finds, and among itself."""
+        The links a node made when it came stay, so what was reachable stays so; of those that others made to
+        it the nearest are kept.
+        """
         for s in range(0, len(self.v), batch):
             new = np.arange(s, min(s + batch, len(self.v)))
-            near = self.v[new] @ self.v[new].T
-            found, sims = self.search(self.v[new], 2 * self.beam, s) if s else (np.zeros((len(new), 0), "i8"), np.zeros((len(new), 0), "f4"))
-            for r, a in enumerate(new):
-                ids, sim = np.concatenate([found[r], new[:r]]), np.concatenate([sims[r], near[r, :r]])
-                for b in ids[np.argsort(-sim, kind="stable")[: self.degree]]:
-                    if b >= 0:
-                        self._connect(a, b, True), self._connect(b, a, False)
+            sims = np.tril(self.v[new] @ self.v[new].T + 4, -1) - 4  # of the batch only those before
+            ids = np.tile(new, (len(new), 1))
+            if s:
+                found, near = self.search(self.v[new], 2 * self.beam, s)
+                ids, sims = np.concatenate([found, ids], 1), np.concatenate([near, sims], 1)
+            keep = min(self.degree, ids.shape[1])
+            best = np.argpartition(-sims, keep - 1, axis=1)[:, :keep]
+            ids, sims = np.take_along_axis(ids, best, 1), np.take_along_axis(sims, best, 1)
+            ids = np.where(sims > -2, ids, -1)
+            self.links[new, :keep] = ids
+            a, c = np.nonzero(ids >= 0)
+            self._link_back(ids[a, c], new[a], sims[a, c])
+
+    def _link_back(self, to: np.ndarray, node: np.ndarray, sim: np.ndarray) -> None:
+        """Links of `to` back to `node`: of old and new ones the nearest stay."""
+        if not len(to):
+            return
+        own = np.unique(to)
+        old = self.links[own, self.degree :]
+        r, c = np.nonzero(old >= 0)
+        before = np.einsum("nd,nd->n", self.v[own[r]], self.v[old[r, c]])
+        to, node, sim = np.concatenate([own[r], to]), np.concatenate([old[r, c], node]), np.concatenate([before, sim])
+        order = np.lexsort((-sim, to))
+        to, node = to[order], node[order]
+        place = np.arange(len(to)) - np.searchsorted(to, to, "left")
+        kept = place < self.degree
+        self.links[own, self.degree :] = -1
+        self.links[to[kept], self.degree + place[kept]] = node[kept]
 
     def search(self, q: np.ndarray, beam: int, size: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Ids (-1: none) and cosines of the best nodes found for each query among the first `size`; all queries walk in step."""
         n = len(self.v) if size is None else size
         beam = min(max(beam, SPREAD), max(n, SPREAD))
-        entry = np.unique(np.linspace(0, n - 1, min(n, 32)).astype("i8"))
+        entry = np.unique(np.linspace(0, n - 1, min(n, ENTRIES)).astype("i8"))
         rows = np.arange(len(q))[:, None]
         seen = np.zeros((len(q), n + 1), bool)
         seen[:, entry], seen[:, n] = True, True
@@ -148,21 +172,25 @@ class Graph:
             sim = np.concatenate([sim, np.where(new, value, np.float32(-9))], 1)
             done = np.concatenate([done, ~new], 1)
 
-    def tune(self, floor: float, target: float, sample: int = 1024, most: int = 256, seed: int = 7) -> int:
-        """The least doubled beam that finds `target` of the nodes with cosine >= floor that an exhaustive search finds for a sample.
+    def tune(self, floor: float, target: float, like: float = 0.9, sample: int = 1024, most: int = 256, seed: int = 7) -> int:
+        """The least doubled beam that finds `target` of the nodes with cosine >= floor that an exhaustive search finds for a sample of queries.
 
-        A graph that needs a beam of more than `most` is searched exhaustively, which is faster then.
+        A query is a node moved in a random direction until its cosine with the node is `like`: a shard of
+        accepted entries holds no near copies that could serve. A graph that needs a beam of more than `most` is
+        searched exhaustively, which is faster then.
         """
-        at = np.random.default_rng(seed).permutation(len(self.v))[:sample]
-        exact = self.v[at] @ self.v.T
-        exact[np.arange(len(at)), at] = -1
-        rows, wanted = np.nonzero(exact >= floor)
+        rng = np.random.default_rng(seed)
+        at = rng.permutation(len(self.v))[:sample]
+        off = rng.standard_normal((len(at), self.v.shape[1])).astype("f4")
+        off -= np.einsum("nd,nd->n", off, self.v[at])[:, None] * self.v[at]
+        asked = like * self.v[at] + math.sqrt(1 - like**2) * off / np.linalg.norm(off, axis=1, keepdims=True)
+        rows, wanted = np.nonzero(asked @ self.v.T >= floor)
         while len(rows):
             crowd = np.bincount(rows, minlength=len(at))[rows]
-            found, _ = self.search(self.v[at], self.beam)
+            found, _ = self.search(asked, self.beam)
             hit = (found[rows] == wanted[:, None]).any(1)
             # of a crowd larger than the beam only as much as the beam holds can be found; near() widens it for such
-            if (hit / np.minimum(1.0, (self.beam - 1) / crowd)).sum() >= target * len(rows):
+            if (hit / np.minimum(1.0, self.beam / crowd)).sum() >= target * len(rows):
                 break
             self.beam *= 2
             if self.beam > most:
@@ -251,6 +279,25 @@ def pivots_of(v: np.ndarray, k: int, seed: int = 7) -> np.ndarray:
     return centre.astype("f4")
 
 
+def _pruned(floor: float, target: float):
+    """A shard without its rejected nodes: their links fall away and the beam is tuned anew; where more than a quarter goes, the graph is built anew."""
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by("pos").combine_chunks()
+        kept = ~np.array(group.column("rejected").to_pylist(), bool)
+        v, links, n = np.stack(_read(group.column("v"), "f4")), np.stack(_read(group.column("links"), "i4")), int(kept.sum())
+        place = np.append(np.where(kept, np.cumsum(kept) - 1, -1), -1).astype("i4")
+        graph = Graph(v[kept], np.ascontiguousarray(place[links[kept]]), group.column("beam")[0].as_py()) if 4 * n >= 3 * len(kept) else Graph(v[kept])
+        if n < len(kept) and n:
+            graph.tune(floor, target)
+        rows = group.filter(pa.array(kept))
+        columns = [rows.column(c) for c in ("shard", "cell")] + [pa.array(range(n), pa.int32())] + [rows.column(c) for c in ("key", "at", "id", "words", "v")]
+        columns += [pa.array([x.tobytes() for x in graph.links], pa.binary()), pa.array([graph.beam] * n, pa.int32())]
+        return pa.table(columns, names=[c.split()[0] for c in INDEX.split(", ")])
+
+    return run
+
+
 def _cells(pivots: np.ndarray):
     """The nearest pivot of nodes that have their vector."""
 
@@ -281,8 +328,22 @@ def _build(floor: float, target: float):
     return run
 
 
-def _search(floor: float, share: float):
-    """Candidates of the shard's graph, reranked exactly: pairs of which each has at least `share` of its words in common."""
+def _common(mine: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """How many of the hashes of each of the others are among mine; all are sorted and distinct."""
+    flat = np.concatenate(others)
+    at = np.minimum(np.searchsorted(mine, flat), len(mine) - 1)
+    starts = np.cumsum([0, *map(len, others[:-1])])
+    return np.add.reduceat((mine[at] == flat).astype("i8"), starts)
+
+
+FOUND = "key string, at long, id long, a_key string, a_at long, a_id long, more boolean"
+
+
+def _search(floor: float, share: float, listed: int, history: bool):
+    """Candidates of the shard's graph, reranked exactly: of each query the `listed` earliest partners that are not rejected, and whether there are more.
+
+    history: everything in the shard comes before every query.
+    """
 
     def run(shard: pa.Table, queries: pa.Table) -> pa.Table:
         out: list[tuple] = []
@@ -291,26 +352,28 @@ def _search(floor: float, share: float):
             graph = Graph(np.stack(_read(shard.column("v"), "f4")), np.stack(_read(shard.column("links"), "i4")), shard.column("beam")[0].as_py())
             words, keys, ats, ids = _read(shard.column("words"), "i8"), *(shard.column(c).to_pylist() for c in ("key", "at", "id"))
             q_words, q_keys, q_ats, q_ids = _read(queries.column("words"), "i8"), *(queries.column(c).to_pylist() for c in ("key", "at", "id"))
-            sizes = np.array([len(w) for w in words])
+            sizes, open_ = np.array([len(w) for w in words]), ~np.array(shard.column("rejected").to_pylist(), bool)
+            # the shard in order of time, id and key
+            place = np.empty(len(keys), "i8")
+            place[sorted(range(len(keys)), key=lambda j: (ats[j], ids[j], keys[j]))] = np.arange(len(keys))
             for i, near in graph.near(np.stack(_read(queries.column("v"), "f4")), floor):
-                mine = q_words[i]
-                near = near[(np.minimum(sizes[near], len(mine)) >= share * np.maximum(sizes[near], len(mine)))]
-                for j in near:
-                    if keys[j] == q_keys[i]:
-                        continue
-                    both = len(np.intersect1d(mine, words[j], assume_unique=True))
-                    if both >= share * max(len(mine), len(words[j])) - 1e-9:
-                        a, b = (ats[j], ids[j], keys[j]), (q_ats[i], q_ids[i], q_keys[i])
-                        first, later = min(a, b), max(a, b)
-                        out.append((*first, *later, both))
+                mine, me = q_words[i], (q_ats[i], q_ids[i], q_keys[i])
+                near = near[open_[near] & (np.minimum(sizes[near], len(mine)) >= share * np.maximum(sizes[near], len(mine)))]
+                if len(near):
+                    near = near[_common(mine, [words[j] for j in near]) >= share * np.maximum(sizes[near], len(mine)) - 1e-9]
+                    near = near[np.argsort(place[near])]
+                before = [j for j in near if history or (ats[j], ids[j], keys[j]) < me]
+                out += [(me[2], me[0], me[1], keys[j], ats[j], ids[j], len(before) > listed) for j in before[:listed]]
+                if not history:  # the other way round, should the later one's own search miss it
+                    after = [j for j in near if (ats[j], ids[j], keys[j]) > me]
+                    out += [(keys[j], ats[j], ids[j], me[2], me[0], me[1], False) for j in after[:listed]]
         cols = list(zip(*out)) if out else [[]] * 7
-        kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64())
-        return pa.table([pa.array(c, t) for c, t in zip(cols, kinds)], names=["a_at", "a_id", "a_key", "b_at", "b_id", "b_key", "common"])
+        kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.bool_())
+        return pa.table([pa.array(c, t) for c, t in zip(cols, kinds)], names=[c.split()[0] for c in FOUND.split(", ")])
 
     return run
 
 
-PAIRS = "a_at long, a_id long, a_key string, b_at long, b_id long, b_key string, common long"
 DAY = 86_400_000_000
 
 
@@ -331,178 +394,215 @@ def build_shards(rows: DataFrame, *, shard_rows: int, floor: float, target: floa
     return named.select("shard", "cell", "key", "at", "id", "words", "v").groupBy("shard").applyInArrow(_build(floor, target), INDEX)
 
 
-def candidate_pairs(index: DataFrame, queries: DataFrame, *, floor: float, share: float, block_rows: int = 32_768) -> DataFrame:
-    """Pairs of class keys, the earlier first: every query in the shards of its cells that begin before it, in blocks of queries."""
+def partners(index: DataFrame, queries: DataFrame, *, floor: float, share: float, listed: int, history: bool, rejected: DataFrame | None = None, block_rows: int = 32_768) -> DataFrame:
+    """FOUND rows: every query in the shards of its cells that begin before it, in blocks of queries. Only shards that some query asks are read."""
     shards = index.groupBy("shard", "cell").agg(F.min("at").alias("begin"))
     asked = queries.withColumn("cell", F.explode("cells")).drop("cells")
     blocks = asked.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("int").alias("blocks"))
     plan = materialize(shards.join(blocks, "cell"), "plan")
-    routed = asked.join(plan, "cell").where(F.col("at") >= F.col("begin")).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks").cast("long")))
-    copies = index.join(plan.select("shard", "blocks"), "shard").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)))
-    left = copies.select("shard", "block", "pos", "key", "at", "id", "words", "v", "links", "beam").groupBy("shard", "block")
+    routed = asked.join(plan, "cell").where(F.lit(history) | (F.col("at") >= F.col("begin"))).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks").cast("long")))
+    if rejected is None:
+        marked = index.withColumn("rejected", F.lit(False))
+    else:
+        marked = index.join(rejected.select("key", F.lit(True).alias("_out")), "key", "left").withColumn("rejected", F.col("_out").isNotNull()).drop("_out")
+    copies = marked.join(plan.select("shard", "blocks"), "shard").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)))
+    left = copies.select("shard", "block", "pos", "key", "at", "id", "words", "v", "links", "beam", "rejected").groupBy("shard", "block")
     right = routed.select("shard", "block", "key", "at", "id", "words", "v").groupBy("shard", "block")
-    return left.cogroup(right).applyInArrow(_search(floor, share), PAIRS).distinct()
+    return left.cogroup(right).applyInArrow(_search(floor, share, listed, history), FOUND)
+
 
+def decided(found: DataFrame) -> tuple[DataFrame | None, DataFrame]:
+    """key of those that are rejected (None: nobody), and of those that remain open: their listed partners are all rejected though there are more, or they wait for such a one.
 
-def rejected_keys(pairs: DataFrame, rejected: DataFrame | None = None) -> DataFrame:
-    """key of every class whose first entry repeats an accepted one; decided in rounds over the pairs."""
-    left = pairs.select("a_key", "b_key").distinct()
-    out = rejected
+    Rounds over the pairs: whoever is in no pair as the later one is accepted, and its partners are rejected.
+    """
+    # an open end stands for the partners that are not listed: it is neither accepted nor rejected
+    left = found.select("key", "a_key").unionByName(found.where("more").select("key", F.lit(None).cast("string").alias("a_key"))).distinct()
+    out: list[DataFrame] = []
     while True:
-        left = materialize(left, "undecided")
-        if left.isEmpty():
-            break
-        undecided = left.select(F.col("b_key").alias("a_key")).distinct()
-        now = materialize(left.join(undecided, "a_key", "left_anti").select(F.col("b_key").alias("key")).distinct(), "rejected")
-        left = left.join(now.withColumnRenamed("key", "b_key"), "b_key", "left_anti").join(now.withColumnRenamed("key", "a_key"), "a_key", "left_anti")
-        out = now if out is None else out.unionByName(now)
-    return out if out is not None else pairs.sparkSession.createDataFrame([], "key string")
-
-
-def _targets(pairs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """key, target: of each rejected class the earliest accepted partner."""
-    accepted = pairs.join(rejected.withColumnRenamed("key", "a_key"), "a_key", "left_anti")
-    return accepted.groupBy(F.col("b_key").alias("key")).agg(F.min(F.struct("a_at", "a_id")).alias("t")).select("key", F.col("t.a_id").alias("target"))
-
-
-def _assign(members: DataFrame, firsts: DataFrame, targets: DataFrame, salts: int = 8) -> DataFrame:
-    """id, repeat_of: every entry of a class but an accepted first one."""
-    many = firsts.join(targets, "key", "left").where((F.col("n") > 1) | F.col("target").isNotNull())
-    many = many.select("key", F.col("id").alias("first_id"), "target", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"))
+        later = left.select(F.col("key").alias("a_key")).distinct()
+        now = materialize(left.where(F.col("a_key").isNotNull()).join(later, "a_key", "left_anti").select("key").distinct(), "rejected")
+        if now.isEmpty():
+            return reduce(DataFrame.unionByName, out) if out else None, left.select("key").distinct()
+        out.append(now)
+        left = materialize(left.join(now, "key", "left_anti").join(now.withColumnRenamed("key", "a_key"), "a_key", "left_anti"), "undecided")
+
+
+def _assign(members: DataFrame, firsts: DataFrame, target: Column, salts: int = 8) -> DataFrame:
+    """id, repeat_of: every entry of a class but an accepted first one. firsts: key, id, n, and a target where the class repeats another."""
+    many = firsts.where((F.col("n") > 1) | target.isNotNull())
+    many = many.select("key", F.col("id").alias("first_id"), target.alias("target"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"))
     # the salt spreads a class that holds a large part of all entries
     rows = members.select("key", "id", F.pmod(F.xxhash64("id"), F.lit(salts)).alias("salt")).join(many, ["key", "salt"])
     out = rows.select("id", F.coalesce("target", "first_id").alias("repeat_of"))
     return out.where(F.col("id") != F.col("repeat_of")).distinct()
 
 
-def repeats(
-    entries: DataFrame,
-    *,
-    share: float = 0.8,
-    floor: float = 0.67,
-    shard_rows: int = 8192,
-    probes: int = 3,
-    target: float = 0.98,
-    **columns: str,
-) -> DataFrame:
-    """id, repeat_of: every entry that repeats an accepted earlier one, and the earliest such.
-
-    share: of the distinct words of each that two facts have in common. floor: cosine below which a
-    candidate can't reach that; the vectors' cosine is the words' up to a deviation of about 0.03.
-    """
-    members = classes(entries, **columns)
-    firsts = members.groupBy("key").agg(F.min(F.struct("at", "id")).alias("f"), F.count(F.lit(1)).alias("n"), F.first("words").alias("words"))
-    firsts = materialize(firsts.select("key", F.col("f.at").alias("at"), F.col("f.id").alias("id"), "n", "words"), "classes")
-    facts = firsts.where(F.col("words").isNotNull()).select("key", "at", "id", "words")
-    pivots = fit_pivots(facts, facts.count(), shard_rows)
-    rows = materialize(nodes(facts, pivots, probes), "nodes")
-    index = materialize(build_shards(rows, shard_rows=shard_rows, floor=(floor + share) / 2, target=target), "graphs")
-    pairs = materialize(candidate_pairs(index, rows, floor=floor, share=share), "pairs")
-    targets = _targets(pairs, rejected_keys(pairs))
-    return _assign(members, firsts.select("key", "id", "n"), targets)
-
-
-def _before_all(at: str) -> Column:
-    """Times moved before every time of a batch, FIRST included, in the same order and within 64 bits."""
-    return F.when(F.col(at) == FIRST, F.col(at) - F.lit(2**60)).otherwise(F.col(at) - F.lit(2**62 + 2**58))
-
-
 class HistoryIndex:
-    """Shards of accepted entries in a folder that all executors share; one more per batch, merged by compact().
+    """Shards of accepted entries in a folder that all executors share; one more for each run and cell, merged by compact()."""
 
-    The folder holds a version per change; the current one is the highest whose success mark is there,
-    so a run that breaks off leaves the last version in force.
-    """
+    def __init__(self, spark: SparkSession, path: str, *, share: float = 0.8, floor: float = 0.67, shard_rows: int = 8192, probes: int = 3, target: float = 0.98, listed: int = 16):
+        """share: of the distinct words of each that two facts have in common. floor: cosine below which a
+        candidate can't reach that; the vectors' cosine is the words' up to a deviation of about 0.03."""
+        self.spark, self.path, self.share, self.floor, self.shard_rows, self.probes, self.target, self.listed = spark, path.rstrip("/"), share, floor, shard_rows, probes, target, listed
 
-    def __init__(self, spark: SparkSession, path: str, *, share: float = 0.8, floor: float = 0.67, shard_rows: int = 8192, probes: int = 3, target: float = 0.98):
-        self.spark, self.path, self.share, self.floor, self.shard_rows, self.probes, self.target = spark, path.rstrip("/"), share, floor, shard_rows, probes, target
+    # --- the manifest
 
-    def _fs(self):
-        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+    def _fs(self, path: str):
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         return at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), at
 
     def version(self) -> int:
-        fs, at = self._fs()
+        """The highest manifest whose success mark is there."""
+        fs, at = self._fs(f"{self.path}/manifest")
         if not fs.exists(at):
             return 0
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
         names = [s.getPath().getName() for s in fs.listStatus(at)]
-        return max([0, *(int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit() and fs.exists(path(f"{self.path}/{n}/seen/_SUCCESS")))])
+        return max([0, *(int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit() and fs.exists(self._fs(f"{self.path}/manifest/{n}/_SUCCESS")[1]))])
 
-    def pivots(self) -> np.ndarray:
-        """The pivots of the current version; one for everything before the first compaction."""
+    def _folders(self) -> dict[str, list[str]]:
+        """Folders of the current manifest by kind: index, seen, pivots. One row for each run since the last compaction."""
         v = self.version()
-        if not v:
-            return np.ones((1, DIM), "f4")
-        rows = self.spark.read.schema("cell int, v binary").parquet(f"{self.path}/v{v}/pivots").orderBy("cell").collect()
-        return np.stack([np.frombuffer(bytes(r["v"]), "f4") for r in rows])
+        rows = self.spark.read.schema("kind string, folder string").parquet(f"{self.path}/manifest/v{v}").collect() if v else []
+        return {k: sorted(r["folder"] for r in rows if r["kind"] == k) for k in ("index", "seen", "pivots")}
 
-    def _tables(self) -> tuple[DataFrame, DataFrame] | None:
-        v = self.version()
-        return (self.spark.read.schema(INDEX).parquet(f"{self.path}/v{v}/index"), self.spark.read.schema("key string, first_id long, accepted boolean").parquet(f"{self.path}/v{v}/seen")) if v else None
+    def _commit(self, folders: dict[str, list[str]]) -> None:
+        rows = [(k, f) for k, names in folders.items() for f in names]
+        self.spark.createDataFrame(rows, "kind string, folder string").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/manifest/v{self.version() + 1}")
+
+    def _read(self, names: list[str], schema: str) -> DataFrame | None:
+        return self.spark.read.schema(schema).parquet(*[f"{self.path}/{n}" for n in names]) if names else None
+
+    def _write(self, df: DataFrame, kind: str) -> str:
+        name = f"{kind}/{uuid.uuid4().hex}"
+        df.write.parquet(f"{self.path}/{name}")
+        return name
+
+    def pivots(self) -> np.ndarray:
+        """The pivots of the current manifest; one for everything before the first run."""
+        names = self._folders()["pivots"]
+        return self._pivots(names) if names else np.ones((1, DIM), "f4")
 
-    def _write(self, index: DataFrame, seen: DataFrame, pivots: np.ndarray) -> None:
-        v = self.version() + 1
+    def _pivots(self, names: list[str]) -> np.ndarray:
+        rows = self._read(names, "cell int, v binary").orderBy("cell").collect()
+        return np.stack([np.frombuffer(bytes(r["v"]), "f4") for r in rows])
+
+    def _keep_pivots(self, pivots: np.ndarray) -> str:
         rows = [(i, bytearray(p.tobytes())) for i, p in enumerate(pivots)]
-        self.spark.createDataFrame(rows, "cell int, v binary").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/v{v}/pivots")
-        index.write.mode("overwrite").parquet(f"{self.path}/v{v}/index")
-        seen.write.mode("overwrite").parquet(f"{self.path}/v{v}/seen")
+        return self._write(self.spark.createDataFrame(rows, "cell int, v binary").coalesce(1), "pivots")
+
+    def index(self) -> DataFrame | None:
+        """The accepted facts with their graphs."""
+        return self._read(self._folders()["index"], INDEX)
+
+    # --- runs
+
+    def _graphs(self, rows: DataFrame, tag: str) -> DataFrame:
+        return build_shards(rows, shard_rows=self.shard_rows, floor=(self.floor + self.share) / 2, target=self.target, tag=tag)
 
     def add(self, batch: DataFrame, **columns: str) -> DataFrame:
-        """id, repeat_of of the batch's repeats, and the index grows by a shard of its accepted entries."""
+        """id, repeat_of of the batch's repeats, and the index grows by a shard of its accepted entries for each cell."""
+        held, tag = self._folders(), f"b{self.version() + 1}"
         members = materialize(classes(batch, **columns), "batch")
         firsts = members.groupBy("key").agg(F.min(F.struct("at", "id")).alias("f"), F.count(F.lit(1)).alias("n"), F.first("words").alias("words"))
         firsts = firsts.select("key", F.col("f.at").alias("at"), F.col("f.id").alias("id"), "n", "words")
-        old = self._tables()
-        pivots = self.pivots()
-        if old:
-            index, seen = old
-            known = materialize(firsts.join(seen, "key").select("key", F.col("first_id").alias("target"), "n", "id"), "known")
-            firsts = materialize(firsts.join(seen, "key", "left_anti"), "new")
+        seen = self._read(held["seen"], "key string, first_id long")
+        if seen is not None:
+            firsts = firsts.join(seen.withColumnRenamed("first_id", "known"), "key", "left")
         else:
-            known, firsts = None, materialize(firsts, "new")
-        rows = materialize(nodes(firsts.where(F.col("words").isNotNull()).select("key", "at", "id", "words"), pivots, self.probes), "nodes")
-        tag = f"b{self.version() + 1}"
-        own = materialize(build_shards(rows, shard_rows=self.shard_rows, floor=(self.floor + self.share) / 2, target=self.target, tag=tag), "shard")
-        # accepted history comes before the batch, even where its time is later
-        everything = own.unionByName(index.withColumn("at", _before_all("at"))) if old else own
-        pairs = materialize(candidate_pairs(everything, rows, floor=self.floor, share=self.share), "pairs")
-        rejected = materialize(rejected_keys(pairs), "rejected")
-        targets = materialize(_targets(pairs, rejected), "targets")
-        found = _assign(members, firsts.select("key", "id", "n"), targets)
-        if known is not None:
-            again = members.join(known.select("key", "target"), "key").select("id", F.col("target").alias("repeat_of"))
-            found = found.unionByName(again.where(F.col("id") != F.col("repeat_of")).distinct())
-        found = materialize(found, "found")
-        # a shard keeps the accepted entries only; its graph is built of them
-        kept = rows.join(rejected, "key", "left_anti")
-        grown = build_shards(kept, shard_rows=self.shard_rows, floor=(self.floor + self.share) / 2, target=self.target, tag=tag)
-        now = firsts.join(targets, "key", "left").select("key", F.coalesce("target", "id").alias("first_id"), F.col("target").isNull().alias("accepted"))
-        self._write(grown.unionByName(index) if old else grown, now.unionByName(seen) if old else now, pivots)
-        return found
+            firsts = firsts.withColumn("known", F.lit(None).cast("long"))
+        firsts = materialize(firsts, "firsts")
+        new = firsts.where(F.col("known").isNull())
+        facts = new.where(F.col("words").isNotNull()).select("key", "at", "id", "words")
+        pivots = self._pivots(held["pivots"]) if held["pivots"] else fit_pivots(facts, facts.count(), self.shard_rows)
+        rows = materialize(nodes(facts, pivots, self.probes), "nodes")
+        search = {"floor": self.floor, "share": self.share}
+        targets = []
+        if held["index"]:
+            met = partners(self._read(held["index"], INDEX), rows, listed=1, history=True, **search)
+            targets.append(materialize(met.groupBy("key").agg(F.min(F.struct("a_at", "a_id")).alias("t")).select("key", F.col("t.a_id").alias("target")), "met"))
+        own = rows.join(targets[0].select("key"), "key", "left_anti") if targets else rows
+        graphs = materialize(self._graphs(own, tag), "graphs")
+        asked, rejected, pairs, more = own, None, [], []
+        while True:
+            found = materialize(partners(graphs, asked, listed=self.listed, history=False, rejected=rejected, **search), "partners")
+            pairs.append(found.select("key", "a_key", "a_at", "a_id")), more.append(found.where("more").select("key"))
+            out, waiting = decided(found)
+            if out is not None:
+                rejected = out if rejected is None else rejected.unionByName(out)
+            if waiting.isEmpty():
+                break
+            # those whose listed partners did not decide are searched for again, without the rejected ones
+            asked = own.join(waiting, "key", "left_semi")
+        if rejected is not None:
+            # of all that is known now the earliest accepted partner; whoever has partners that were not listed is asked once more
+            unlisted = reduce(DataFrame.unionByName, more).distinct().join(rejected, "key", "left_semi")
+            good = reduce(DataFrame.unionByName, pairs).join(unlisted, "key", "left_anti")
+            if not unlisted.isEmpty():
+                last = partners(graphs, own.join(unlisted, "key", "left_semi"), listed=1, history=False, rejected=rejected, **search)
+                good = good.unionByName(last.select("key", "a_key", "a_at", "a_id"))
+            good = good.join(rejected, "key", "left_semi").join(rejected.select(F.col("key").alias("a_key")), "a_key", "left_anti")
+            targets.append(good.groupBy("key").agg(F.min(F.struct("a_at", "a_id")).alias("t")).select("key", F.col("t.a_id").alias("target")))
+        none = self.spark.createDataFrame([], "key string, target long")
+        targets = materialize(reduce(DataFrame.unionByName, targets, none), "targets")
+        marked = graphs.join(targets.select("key", F.lit(True).alias("_out")), "key", "left").withColumn("rejected", F.col("_out").isNotNull()).drop("_out")
+        grown = self._write(marked.groupBy("shard").applyInArrow(_pruned((self.floor + self.share) / 2, self.target), INDEX), "index")
+        known = firsts.join(targets, "key", "left").select("key", "id", "n", F.coalesce("known", "target").alias("target"))
+        here = self._write(firsts.where(F.col("known").isNull()).select("key", "id").join(targets, "key", "left").select("key", F.coalesce("target", "id").alias("first_id")), "seen")
+        repeats = materialize(_assign(members, known, F.col("target")), "repeats")
+        self._commit({"index": [*held["index"], grown], "seen": [*held["seen"], here], "pivots": held["pivots"] or [self._keep_pivots(pivots)]})
+        return repeats
 
     def compact(self, sample_rows: int = 4096) -> None:
-        """Merge the shards of a cell that are not full, oldest first, and rebuild their graphs.
+        """Merge the shards of a cell that are not full, oldest first, and rebuild their graphs; the folders of `seen` become one.
 
         Once the index has twice the rows that its pivots were made for, new pivots are fitted on a bounded
         sample of it and every shard is built anew; then a batch meets the shards of its nearest pivots only.
         """
-        old = self._tables()
-        if not old:
+        held = self._folders()
+        index = self._read(held["index"], INDEX)
+        if index is None:
             return
-        index, seen = old
-        pivots, n = self.pivots(), index.count()
-        tag = f"c{self.version() + 1}"
-        floor = (self.floor + self.share) / 2
-        node = ["key", "at", "id", "words", "v"]
+        pivots, n = self._pivots(held["pivots"]), index.count()
+        node, names = ["key", "at", "id", "words", "v"], held["pivots"]
         if math.ceil(n / self.shard_rows) >= 2 * len(pivots):
             bucket = F.pmod(F.xxhash64("key"), F.lit(1_000_000))
             rows = index.where(bucket < max(1, int(1_000_000 * sample_rows / n))).select("v").limit(sample_rows).collect()
-            pivots = pivots_of(np.stack([np.frombuffer(bytes(r["v"]), "f4") for r in rows]), math.ceil(n / self.shard_rows)) if rows else pivots
+            if rows:
+                pivots = pivots_of(np.stack([np.frombuffer(bytes(r["v"]), "f4") for r in rows]), math.ceil(n / self.shard_rows))
+                names = [self._keep_pivots(pivots)]
             small, kept = index.select(*node).mapInArrow(_cells(pivots), f"{NODE}, cells array<int>"), None
         else:
             sized = index.join(index.groupBy("shard").agg(F.count(F.lit(1)).alias("size")), "shard")
             small = sized.where(F.col("size") < self.shard_rows).select(*node, F.array("cell").alias("cells"))
             kept = sized.where(F.col("size") >= self.shard_rows).select(*index.columns)
-        merged = build_shards(small, shard_rows=self.shard_rows, floor=floor, target=self.target, tag=tag)
-        self._write(merged if kept is None else merged.unionByName(kept), seen, pivots)
+        merged = self._graphs(small, f"c{self.version() + 1}")
+        folders = {"index": [self._write(merged if kept is None else merged.unionByName(kept), "index")], "seen": [self._write(self._read(held["seen"], "key string, first_id long"), "seen")], "pivots": names}
+        self._commit(folders)
+
+
+def repeats(entries: DataFrame, *, days: int = 90, every: int = 2, time_col: str = "created_at", path: str | None = None, **options) -> DataFrame:
+    """id, repeat_of: every entry that repeats an accepted earlier one, and the earliest such, found run by run.
+
+    days: batches (days) that a run takes; the first run takes what has no time too. every: runs between two
+    compactions. The result is that of single days, as a run keeps their order; only entries' times and ids count.
+    """
+    spark = entries.sparkSession
+    names = {k: options.pop(k) for k in ("id_col", "text_col", "kind_col") if k in options}
+    index = HistoryIndex(spark, path or shared_path(spark, "history"), **options)
+    number = F.floor(F.datediff(F.col(time_col), F.lit("1970-01-01")) / F.lit(days))
+    runs = [r[0] for r in entries.select(number.alias("r")).distinct().orderBy(F.col("r").asc_nulls_first()).collect()]
+    kind = entries.schema[time_col].dataType
+
+    def from_to(r: int | None) -> Column:
+        if r is None:
+            return F.col(time_col).isNull()
+        first, end = (F.lit(str(dt.date(1970, 1, 1) + dt.timedelta(days=x * days))).cast(kind) for x in (r, r + 1))
+        return (F.col(time_col) >= first) & (F.col(time_col) < end)
+
+    out = []
+    for i, r in enumerate(runs, 1):
+        out.append(index.add(entries.where(from_to(r)), time_col=time_col, **names))
+        if i % every == 0 and i < len(runs):
+            index.compact()
+    return reduce(DataFrame.unionByName, out) if out else spark.createDataFrame([], "id long, repeat_of long")

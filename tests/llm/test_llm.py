@@ -61,7 +61,7 @@ def test_repeats_against_brute_force(spark, rows):
     data += data[:5]
     want = _brute_repeats(data)
     for shard_rows in (8192, 64):  # one shard, and many by content and time
-        got = rows(history_dedup.repeats(_entries(spark, data), shard_rows=shard_rows, probes=3))
+        got = rows(history_dedup.repeats(_entries(spark, data), shard_rows=shard_rows, probes=3, days=6))
         assert not got - want
         assert len(got & want) >= 0.95 * len(want)
     assert history_dedup.repeats(_entries(spark, [])).count() == 0
@@ -81,6 +81,36 @@ def test_history_index_by_batches(spark, rows, tmp_path, shard_rows):
     assert index.version() == 4 and (len(index.pivots()) > 1) == (shard_rows == 16)
 
 
+@pytest.mark.parametrize("listed", [1, 2])
+def test_partners_that_are_not_listed(spark, rows, listed):
+    """A family whose early members are rejected, so that whoever is near to those alone must look further."""
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(50)]
+    data = []
+    for i in range(60):
+        t = list(base)
+        for at in rng.sample(range(50), rng.randrange(0, 9)):
+            t[at] = f"x{at}_{i}"
+        data.append((i, "experience", " ".join(t), i // 20, None))
+    got = history_dedup.repeats(_entries(spark, data), listed=listed, days=1000)
+    assert rows(got) == _brute_repeats(data)
+
+
+def test_a_run_writes_what_is_new(spark, tmp_path):
+    def size(kind):
+        return {f.parent.name: f.stat().st_size for f in (tmp_path / "index" / kind).rglob("*.parquet")}
+
+    index = history_dedup.HistoryIndex(spark, f"file://{tmp_path}/index")
+    data = [(i, "experience", " ".join(f"w{i}x{j}" for j in range(20)), i, None) for i in range(400)]
+    index.add(_entries(spark, data[:390]))
+    first = {k: size(k) for k in ("index", "seen")}
+    index.add(_entries(spark, data[390:]))
+    for kind, before in first.items():
+        new = {k: v for k, v in size(kind).items() if k not in before}
+        assert all(size(kind)[k] == v for k, v in before.items()) and 0 < sum(new.values()) < sum(before.values()) / 4
+    assert index.index().count() == 400 and index.version() == 2
+
+
 def test_history_comes_before_entries_without_time(spark, rows, tmp_path):
     index = history_dedup.HistoryIndex(spark, f"file://{tmp_path}/index")
     words = [f"w{i}" for i in range(30)]
