@@ -159,7 +159,7 @@ def fillings(
     window_id: str = "window_id",
     capacity: str = "capacity_tokens",
     vocabulary: str | None = None,
-    group_items: int = 8000,
+    group_items: int = 4000,
 ) -> DataFrame:
     """window_id, filling, doc_id, piece, n_tokens: for each window, which document (or piece of an oversized one) goes into which filling."""
     spark = documents.sparkSession
