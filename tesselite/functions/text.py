@@ -18,10 +18,10 @@ def tokens(text: Column | str) -> Column:
     return F.regexp_extract_all(F.lower(col(text)), F.lit(TOKEN), F.lit(0))
 
 
-def document_text(symbol: Column | str, text: Column | str) -> Column:
-    """A symbol, where there is one, before the text; both count for length."""
+def document_text(symbol: Column | str, text: Column | str, sep: str = " ") -> Column:
+    """A symbol, where there is one, before the text; both count for length. Embedded texts have a line feed between them."""
     symbol = col(symbol)
-    return F.when(F.coalesce(symbol, F.lit("")) != "", F.concat(symbol, F.lit(" "), F.coalesce(col(text), F.lit("")))).otherwise(col(text))
+    return F.when(F.coalesce(symbol, F.lit("")) != "", F.concat(symbol, F.lit(sep), F.coalesce(col(text), F.lit("")))).otherwise(col(text))
 
 
 def stripped(text: Column | str) -> Column:

@@ -66,6 +66,17 @@ def decoded(code: Column | str, bits: int = 4) -> Column:
     return F.transform(col(code), lambda c: c.cast("double") / float(2**bits - 1) * 2.0 - 1.0)
 
 
+def packed(code: Column | str, bits: int = 4) -> Column:
+    """Codes as bytes, two to a byte up to four bits, for storage; an odd last one is filled up with a zero."""
+    digits = F.array_join(F.transform(col(code), lambda c: F.lpad(F.hex(c.cast("long")), 1 if bits <= 4 else 2, "0")), "")
+    return F.unhex(F.when(F.length(digits) % 2 == 1, F.concat(digits, F.lit("0"))).otherwise(digits))
+
+
+def unpacked(code: Column | str, bits: int = 4) -> Column:
+    """The codes of packed bytes."""
+    return F.transform(F.regexp_extract_all(F.hex(col(code)), F.lit("." if bits <= 4 else ".."), F.lit(0)), lambda h: F.conv(h, 16, 10).cast("int"))
+
+
 def batch_embedder(encode: Callable[[list[str]], object]) -> Callable[[Column], Column]:
     """A column function of a model that embeds a list of texts at once, in Arrow batches; vectors come out with length one.
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tesselite.functions.tags import encode
+from tesselite.functions.tags import decode, encode
 
 # fixed values: lengths, and the mark of a cut
 TURN_CHARS, MESSAGE_CHARS, LAST_MESSAGES = 1200, 500, 10
@@ -42,25 +42,36 @@ def retained_turns(messages: DataFrame, every: int = 1, chars: int = TURN_CHARS)
     return turns.where(F.col("turn_no") % every == 0).select("conv_id", "turn_no", text.alias("text"), F.lit("conversation").alias("category"), session_tags("conversation").alias("tags"))
 
 
-def _summary(messages: DataFrame) -> DataFrame:
+def _summary(messages: DataFrame, most: int) -> DataFrame:
+    """The usable messages of each conversation in order, as far as `most` characters reach and the message that passes them.
+
+    Running lengths cut a conversation before it is gathered, so one of any length costs a bounded row.
+    """
     usable = messages.where(F.col("role").isin("user", "assistant") & (F.trim(F.coalesce("content", F.lit(""))) != ""))
     line = F.concat(F.when(F.col("role") == "user", "User: ").otherwise("Assistant: "), F.substring("content", 1, MESSAGE_CHARS))
-    ordered = F.sort_array(F.collect_list(F.struct("turn", line.alias("line"))))
-    return usable.groupBy("conv_id").agg(F.array_join(F.transform(ordered, lambda x: x["line"]), "\n").alias("text"))
+    before = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    lines = usable.select("conv_id", "turn", line.alias("line")).withColumn("_before", F.coalesce(F.sum(F.length("line") + 1).over(before), F.lit(0)))
+    ordered = F.sort_array(F.collect_list(F.struct("turn", "line")))
+    return lines.where(F.col("_before") <= most).groupBy("conv_id").agg(F.array_join(F.transform(ordered, lambda x: x["line"]), "\n").alias("text"))
 
 
 def compression_summaries(messages: DataFrame) -> DataFrame:
     """conv_id, text, category, tags: the last messages of any role, of which the usable ones are kept."""
     newest = Window.partitionBy("conv_id").orderBy(F.desc("turn"))
     last = messages.withColumn("_n", F.row_number().over(newest)).where(F.col("_n") <= LAST_MESSAGES)
-    return _summary(last).select("conv_id", "text", F.lit("compression").alias("category"), session_tags("compression").alias("tags"))
+    return _summary(last, LAST_MESSAGES * (MESSAGE_CHARS + 20)).select("conv_id", "text", F.lit("compression").alias("category"), session_tags("compression").alias("tags"))
 
 
 def session_summaries(messages: DataFrame, chars: int = TURN_CHARS) -> DataFrame:
     """conv_id, text, category, tags: all usable messages, cut at four turns' length, with a mark where cut."""
     most = max(4 * chars, 4000)
     text = F.when(F.length("text") > most, F.concat(F.substring("text", 1, most), F.lit(CUT))).otherwise(F.col("text"))
-    return _summary(messages).select("conv_id", text.alias("text"), F.lit("conversation").alias("category"), session_tags("session-end", "conversation").alias("tags"))
+    return _summary(messages, most + 1).select("conv_id", text.alias("text"), F.lit("conversation").alias("category"), session_tags("session-end", "conversation").alias("tags"))
+
+
+def to_remember(facts: DataFrame) -> DataFrame:
+    """text, category, tags as arrays, of facts with encoded tags."""
+    return facts.select("text", "category", decode("tags").alias("tags"))
 
 
 def mirrored_writes(writes: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from tesselite.functions.text import tokens
 from tesselite.functions.vectors import hash_embed, hash_embedding
 from tesselite.operators import conversation, identity, maintenance, ranking, recall, source_code
 from tesselite.session import table
+from tesselite.sources.words import word_index
 
 QUERY = "retention schedule for the main storage queue queue"
 BUSY_PROJECT = "git:forge.tidewater.example/harborworks/anchor-memory"
@@ -43,12 +44,18 @@ def _query_vector(vectors: DataFrame, i: int = 0) -> list[float]:
 
 # --- ranking
 
+def _code_words(spark, d):
+    """The stored words of code, as an engine keeps them."""
+    return word_index(spark, "code", f"{d}/entries.parquet", _code(spark, d))
+
+
 def bm25_topk(spark, d):
-    return ranking.bm25(_docs(spark, d), QUERY, 10)
+    texts = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.lit(None).cast("string").alias("project_id"), F.lit(None).cast("string").alias("symbol"), "text")
+    return ranking.bm25_stored(*word_index(spark, "documents", f"{d}/documents.parquet", texts), QUERY, 10)
 
 
 def bm25_topk_project(spark, d):
-    return ranking.bm25(ranking.tokenized(recall.selected(_code(spark, d), project_id=BUSY_PROJECT)), "poll main queue", 10)
+    return ranking.bm25_stored(*_code_words(spark, d), "poll main queue", 10, project_key_of(BUSY_PROJECT))
 
 
 def bm25_all(spark, d):
@@ -56,7 +63,7 @@ def bm25_all(spark, d):
 
 
 def bm25_batch(spark, d):
-    return ranking.bm25_batch(ranking.tokenized(_code(spark, d)), table(spark, d, "recall_queries"), 10)
+    return ranking.bm25_batch_stored(*_code_words(spark, d), table(spark, d, "recall_queries"), 10)
 
 
 def bm25_corpus_stats(spark, d):
@@ -97,13 +104,14 @@ def hash_embed_search(spark, d):
 
 def rrf_fusion(spark, d):
     e = _code(spark, d)
-    near, words = ranking.vector_topk(_embedded(e), hash_embed(QUERY), 24), ranking.bm25(ranking.tokenized(e), QUERY, 24)
+    near, words = ranking.vector_topk(_embedded(e), hash_embed(QUERY), 24), ranking.bm25_stored(*_code_words(spark, d), QUERY, 24)
     return ranking.rrf(near, words)
 
 
 def _hybrid(spark, d):
     e = _code(spark, d)
-    return ranking.hybrid(ranking.tokenized(e), _embedded(e), QUERY, hash_embed(QUERY), 8), e
+    near, words = ranking.vector_topk(_embedded(e), hash_embed(QUERY), 24), ranking.bm25_stored(*_code_words(spark, d), QUERY, 24)
+    return ranking.fused(near, words, 8), e
 
 
 def hybrid_search(spark, d):

@@ -52,7 +52,8 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-def _forget(spark: SparkSession, path: str) -> None:
+def forget(spark: SparkSession, path: str) -> None:
+    """Remove a path; of no account if the session is over."""
     try:
         hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
@@ -63,7 +64,7 @@ def _forget(spark: SparkSession, path: str) -> None:
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder; it is removed when the driver ends."""
     path = f"{shared_dir(spark)}/tesselite/{name}-{uuid.uuid4().hex}"
-    atexit.register(_forget, spark, path)
+    atexit.register(forget, spark, path)
     return path
 
 

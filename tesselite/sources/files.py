@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import os
 import subprocess
+from collections.abc import Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesselite.operators.source_code import MAX_BYTES, in_scope
+from tesselite.operators.source_code import DENIED_PARTS, MAX_BYTES, in_scope
+from tesselite.session import materialize
 
 IGNORE_FILES = (".gitignore", ".tesseliteignore")
 
@@ -35,40 +38,61 @@ def ignore_lines(root: str) -> list[str]:
     return lines
 
 
+def _content(root: str):
+    """The bytes of files below a root that all executors see."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, n_bytes, language in zip(*(c.to_pylist() for c in batch.columns)):
+                try:
+                    content = (Path(root) / path).read_bytes()
+                except OSError:
+                    content = None
+                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([n_bytes], pa.int64()), pa.array([language]), pa.array([content], pa.binary())], names=["path", "n_bytes", "language", "content"])
+
+    return run
+
+
+def _below(root: str, prune: frozenset[str]) -> Iterator[tuple[str, int]]:
+    """Path and size of the files below a root, without what lies in pruned directories."""
+    for folder, names, files in os.walk(root):
+        names[:] = [n for n in names if n not in prune]
+        for name in files:
+            full = os.path.join(folder, name)
+            try:
+                yield os.path.relpath(full, root).replace(os.sep, "/"), os.path.getsize(full)
+            except OSError:
+                continue
+
+
 def scan(spark: SparkSession, root: str, max_bytes: int = MAX_BYTES) -> DataFrame:
     """The files in scope. Where git tracks a root its list counts, else the ignore files do.
 
-    A file that is not valid UTF-8 has NULL text and hash.
+    Files are listed first, without denied directories, then filtered by path and size, and only those in
+    scope are read. A file that is not valid UTF-8 has NULL text and hash.
     """
     root = os.path.abspath(os.path.expanduser(root))
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"file://{root}")
-    # paths come with a scheme; what follows the root is the file's path
-    rel = F.regexp_replace(F.col("path"), "^file:/*", "/")
-    files = raw.where(F.col("length") <= max_bytes).select(F.substring(rel, len(root) + 2, 1 << 20).alias("path"), F.col("length").alias("n_bytes"), "content")
     listed = tracked(root)
-    if listed is not None:
-        files = files.join(spark.createDataFrame([(p,) for p in listed], "path string"), "path", "left_semi")
-        rows = in_scope(files, (), max_bytes)
-    else:
-        rows = in_scope(files, ignore_lines(root), max_bytes)
-    text = F.regexp_replace(F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string")), "\r\n?", "\n")
-    read = rows.select("path", "language", "n_bytes", text.alias("text"))
-    return read.withColumn("content_hash", F.sha2(F.col("text").cast("binary"), 256))
+    wanted = None if listed is None else set(listed)
+    files = [(p, n) for p, n in _below(root, frozenset(DENIED_PARTS)) if wanted is None or p in wanted]
+    rows = in_scope(spark.createDataFrame(files, "path string, n_bytes long"), () if listed is not None else ignore_lines(root), max_bytes)
+    read = rows.select("path", "n_bytes", "language").repartition(spark.sparkContext.defaultParallelism).mapInArrow(_content(root), "path string, n_bytes long, language string, content binary")
+    whole = F.col("content").cast("string")
+    text = F.regexp_replace(F.when(F.is_valid_utf8(whole), whole), "\r\n?", "\n")
+    return read.select("path", "language", "n_bytes", text.alias("text")).withColumn("content_hash", F.sha2(F.col("text").cast("binary"), 256))
 
 
-def live(spark: SparkSession, projects: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The files (project_id, path) and projects (project_id) that exist on this machine, for a health check.
+def _live(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for project, root in zip(*(c.to_pylist() for c in batch.columns)):
+            if root and os.path.isdir(root):
+                # a row without a path tells that the root is there
+                paths = [None, *(p for p, _ in _below(root, frozenset()))]
+                yield pa.RecordBatch.from_arrays([pa.array([project] * len(paths), pa.string()), pa.array(paths, pa.string())], names=["project_id", "path"])
 
-    Roots are asked for on the driver, one per project; their files are listed by Spark, without being read.
-    """
-    present, found = [], None
-    for project, root in projects.select("project_id", "root_path").distinct().toLocalIterator():
-        if not root or not os.path.isdir(root):
-            continue
-        present.append((project,))
-        top = os.path.abspath(root)
-        paths = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"file://{top}").select(F.regexp_replace("path", "^file:/*", "/").alias("full"))
-        own = paths.select(F.lit(project).alias("project_id"), F.substring("full", len(top) + 2, 1 << 20).alias("path"))
-        found = own if found is None else found.unionByName(own)
-    none = spark.createDataFrame([], "project_id string, path string")
-    return (none if found is None else found), spark.createDataFrame(present, "project_id string")
+
+def live(spark: SparkSession, projects: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The files (project_id, path) and projects (project_id) that exist, for a health check: roots are listed in tasks, files aren't read."""
+    roots = projects.select("project_id", "root_path").distinct().repartition(spark.sparkContext.defaultParallelism)
+    found = materialize(roots.mapInArrow(_live, "project_id string, path string"), "live")
+    return found.where(F.col("path").isNotNull()), found.where(F.col("path").isNull()).select("project_id")
