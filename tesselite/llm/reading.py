@@ -5,7 +5,7 @@ Features of a document: log words per sentence, mean word length, share of long
 its length, as Guiraud's index), connectives per word, commas per sentence as a proxy of clause depth,
 and log length. Standardised on the graded passages; a proportional-odds model with a ridge penalty
 is fitted to them by BFGS on the driver: the graded table is small by definition, and at most
-`fit_rows` of its rows are used. Cut points are fitted with the weights.
+`fit_rows` of its rows are used, those whose texts have the smallest hashes. Cut points are fitted with the weights.
 
 Word shares are counted over all documents. Only words with a share of at least 1 / `vocabulary` are
 sent to the executors, which are at most `vocabulary` words whatever the corpus; rarer words all
@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tesselite.session import materialize
+
 WORD = re.compile(r"[^\W_]+")
 SENTENCE_END = re.compile(r"[.!?]+(?=\s|$)|\n\s*\n|\n(?=[-*#])")
 # fixed values: common function words of the languages
@@ -76,7 +78,7 @@ def features(text: str, words: list[str], rarity: dict[str, float], rarest: floa
 def word_rarity(documents: DataFrame, text: str, vocabulary: int) -> tuple[dict[str, float], float]:
     """Negative log share of every word with a share of at least 1 / vocabulary, and that of all others."""
     words = documents.select(F.explode(F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))).alias("w"))
-    counts = words.groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    counts = materialize(words.groupBy("w").agg(F.count(F.lit(1)).alias("n")), "words")  # read twice, counted once
     total = counts.agg(F.sum("n")).first()[0] or 0
     rarest = math.log(vocabulary)
     if not total:
@@ -163,7 +165,7 @@ def _descend(loss, theta: np.ndarray, steps: int) -> np.ndarray:
 
 def fit(graded: DataFrame, rarity: dict[str, float], rarest: float, *, text: str = "text", band: str = "band", fit_rows: int = 20_000, ridge: float = 1.0) -> OrdinalRegression | None:
     """The model of the graded passages that have a band and a text; None if there is none."""
-    rows = graded.select(text, band).where(F.col(text).isNotNull() & F.col(band).isNotNull()).limit(fit_rows).collect()
+    rows = graded.select(text, band).where(F.col(text).isNotNull() & F.col(band).isNotNull()).orderBy(F.xxhash64(text), text, band).limit(fit_rows).collect()
     x, y = [], []
     for t, b in rows:
         t = clean(t)
