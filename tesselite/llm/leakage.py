@@ -155,11 +155,13 @@ def longest_run(equal: np.ndarray) -> int:
 def best_stretch(equal: np.ndarray, tolerance: float) -> tuple[int, int]:
     """Length and equal words of the longest stretch around hits in which at most `tolerance` of the words differ.
 
-    Equal words count `tolerance`, others `tolerance - 1`; the stretch of greatest sum is the one extended as far as it pays.
+    Equal words count `tolerance`, others `tolerance - 1`, in thousandths, so that sums are exact; the stretch
+    of greatest sum is the one extended as far as it pays, of equal ones the first.
     """
     if not len(equal):
         return 0, 0
-    total = np.r_[0.0, np.cumsum(np.where(equal, tolerance, tolerance - 1.0))]
+    gain = round(1000 * tolerance)
+    total = np.r_[0, np.cumsum(np.where(equal, gain, gain - 1000))]
     low = np.minimum.accumulate(total)
     end = int(np.argmax(total - low))
     begin = int(np.argmin(total[: end + 1]))

@@ -160,9 +160,36 @@ SELECT item_id, count(DISTINCT doc_id) AS n_documents, max(run) AS longest_run,
 )
 
 
+def _p9_overlaps_sql() -> str:
+    """Overlaps of documents and items on every diagonal that some mask hits, word by word."""
+
+    def masked(words: str, at: str) -> str:
+        return " UNION ALL ".join(f"SELECT k, {m} AS m, {at}, " + " || ' ' || ".join(f"w[{at} + {i}]" for i, bit in enumerate(mask) if bit == "1") + f" AS g FROM (SELECT k, w, unnest(range(1, len(w) - 11)) AS {at} FROM {words})" for m, mask in enumerate(leakage.SEEDS))
+
+    return f"""
+WITH dw AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS w FROM (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL)),
+iw AS (SELECT row_number() OVER () AS k, item_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS w FROM (SELECT DISTINCT item_id, text FROM eval_items WHERE text IS NOT NULL)),
+dg AS ({masked("dw", "p")}), ig AS ({masked("iw", "q")}),
+h AS (SELECT row_number() OVER () AS n, * FROM (SELECT DISTINCT dg.k AS dk, ig.k AS ik, p - q AS d FROM dg JOIN ig USING (m, g))),
+e AS (SELECT n, j, dw.w[j + 1] = iw.w[j - d + 1] AS same FROM (SELECT h.*, unnest(range(greatest(0, d), least(len(dw.w), len(iw.w) + d))) AS j FROM h JOIN dw ON dw.k = dk JOIN iw ON iw.k = ik) x JOIN dw ON dw.k = dk JOIN iw ON iw.k = ik),
+t AS (SELECT *, sum(CASE WHEN same THEN 200 ELSE -800 END) OVER w AS total, j - row_number() OVER (PARTITION BY n, same ORDER BY j) AS isle FROM e WINDOW w AS (PARTITION BY n ORDER BY j)),
+r AS (SELECT n, max(c) AS run FROM (SELECT n, count(*) AS c FROM t WHERE same GROUP BY n, isle) GROUP BY n),
+g AS (SELECT *, total - least(0, min(total) OVER (PARTITION BY n ORDER BY j)) AS gain FROM t),
+z AS (SELECT n, min(j) AS last FROM g JOIN (SELECT n, max(gain) AS gain FROM g GROUP BY n) USING (n, gain) WHERE gain > 0 GROUP BY n),
+b AS (SELECT n, last, least(0, min(total)) AS low FROM t JOIN z USING (n) WHERE j <= last GROUP BY n, last),
+f AS (SELECT n, last, coalesce(min(j) FILTER (low < 0 AND total = low) + 1, min(j)) AS first FROM t JOIN b USING (n) WHERE j <= last GROUP BY n, last),
+s AS (SELECT n, last - first + 1 AS stretch, count(*) FILTER (same) AS stretch_equal FROM t JOIN f USING (n) WHERE j BETWEEN first AND last GROUP BY n, last, first),
+o AS (SELECT dk, ik, max(coalesce(run, 0)) AS run, max((coalesce(stretch, 0), coalesce(stretch_equal, 0))) AS best FROM h LEFT JOIN r USING (n) LEFT JOIN s USING (n) GROUP BY dk, ik)
+SELECT DISTINCT doc_id, item_id, len(iw.w) AS item_words, run, best[1] AS stretch, best[2] AS stretch_equal FROM o JOIN dw ON dw.k = dk JOIN iw ON iw.k = ik WHERE run >= 13 OR best[1] >= 13
+"""
+
+
+P9_OVERLAPS_SQL = _p9_overlaps_sql()
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return reading.reading_bands(table(spark, d, "documents"), table(spark, d, "graded_passages"))
 
 
 QUERIES = {"p2_found": p2_found, "p2_repeats": p2_repeats, "p3_found": p3_found, "p3_ranking": p3_ranking, "p4_found": p4_found, "p4_shares": p4_shares, "p4_reasons": p4_reasons, "p5_found": p5_found, "p5_redacted": p5_redacted, "p7_found": p7_found, "p8_fillings": p8_fillings, "p8_usage": p8_usage, "p9_found": p9_found, "p9_overlaps": p9_overlaps, "p9_leaked": p9_leaked, "p10_found": p10_found}
-SQL = {**P2_SQL, **P4_SQL, "p5_found": secrets_sql.build(), "p3_found": P3_SQL + "SELECT query_id, entry_id FROM f WHERE rank <= 5", "p3_ranking": P3_SQL + "SELECT query_id, entry_id, closeness, rank FROM f", "p7_found": P7_SQL, "p9_found": P9_SQL, "p9_leaked": P9_LEAKED_SQL}
+SQL = {**P2_SQL, **P4_SQL, "p5_found": secrets_sql.build(), "p3_found": P3_SQL + "SELECT query_id, entry_id FROM f WHERE rank <= 5", "p3_ranking": P3_SQL + "SELECT query_id, entry_id, closeness, rank FROM f", "p7_found": P7_SQL, "p9_found": P9_SQL, "p9_overlaps": P9_OVERLAPS_SQL, "p9_leaked": P9_LEAKED_SQL}
