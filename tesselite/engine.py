@@ -30,9 +30,16 @@ NO_HIT = " Try index_status to check the index, index_health_check to clean stal
 
 
 class Engine:
-    """embed_text, embed_column: an embedder for one query text and for a text column; the default hashes."""
+    """embed_text, embed_column: an embedder for one query text and for a text column; the default hashes.
 
-    def __init__(self, spark: SparkSession, config: Config | None = None, path: str | None = None, embed_text: Callable[[str], list[float]] = hash_embed, embed_column=hash_embedding):
+    chunks, call_edges: what cuts files and finds calls; by lines, or by trees with those of operators.syntax.
+    """
+
+    def __init__(
+        self, spark: SparkSession, config: Config | None = None, path: str | None = None, embed_text: Callable[[str], list[float]] = hash_embed, embed_column=hash_embedding,
+        chunks=source_code.chunks, call_edges=source_code.call_edges,
+    ):
+        self.chunks, self.call_edges = chunks, call_edges
         self.spark, self.config = spark, config or Config()
         self.store = Store(spark, path or self.config.data_dir)
         self.embed_text, self.embed_column, self.loaded = embed_text, embed_column, False
@@ -118,7 +125,7 @@ class Engine:
         redo = ["added", "changed", "unchanged"] if force else ["added", "changed"]
         todo = scanned.join(changes.where(F.col("change").isin(*redo)).select("project_id", "path"), ["project_id", "path"], "left_semi")
         keys = keyed(todo, *maintenance.FILE).select(*maintenance.KEYS).distinct()
-        chunks = source_code.chunks(todo, "project_id", "path").drop("content_hash")
+        chunks = self.chunks(todo.select("project_id", "path", "text"), "project_id", "path").drop("content_hash")
         code = recall.selected(self.store.read("entries"), types=["code"], project_id=project)
         replaced = materialize(maintenance.within(code, keys, maintenance.FILE), "replaced")
         now = self._now()
@@ -130,21 +137,24 @@ class Engine:
             self._remove(change, replaced)
             self._add(change, added, document_text("symbol", "text", "\n"))
             change.drop("call_edges", todo.select(*maintenance.FILE))
-            change.add("call_edges", source_code.call_edges(todo, "project_id", "path"))
+            change.add("call_edges", self.call_edges(todo.select("project_id", "path", "text"), "project_id", "path"))
             change.upsert("file_hashes", todo.select("project_id", "path", "content_hash"))
             row = self.spark.createDataFrame([(project, top, remote, now)], SCHEMAS["projects"])
             others = maintenance.without(self.store.read("projects"), keyed(row, "project_id").select("_k_project_id"), ["project_id"]).isEmpty()
             change.upsert("projects", row)
             # the settings hold for the whole store: they change only once nothing in it was made with others
             if self.store.read("index_metadata").isEmpty() or (force and others and recall.selected(self.store.read("entries"), types=["experience"]).isEmpty()):
-                meta = [("embedding_model", self.config.embedding_model), ("bit_width", str(self.config.bit_width))]
-                change.replace("index_metadata", self.spark.createDataFrame(meta, SCHEMAS["index_metadata"]))
+                change.replace("index_metadata", self.spark.createDataFrame(self._settings(), SCHEMAS["index_metadata"]))
             self._log(change, "index", f"{project}: {counts[0][2]} added, {counts[0][3]} skipped, {counts[0][4]} removed")
         return self.spark.createDataFrame(counts, "project_id string, root_path string, added long, skipped long, removed long")
 
+    def _settings(self) -> list[tuple[str, str]]:
+        """What an index is made with: a store holds vectors of one model, one length and one width of codes."""
+        return [("embedding_model", self.config.embedding_model), ("dimension", str(len(self.embed_text("dimension")))), ("bit_width", str(self.config.bit_width))]
+
     def config_mismatch(self) -> DataFrame:
         """key, value, configured of settings that differ from those the index was built with."""
-        own = self.spark.createDataFrame([("embedding_model", self.config.embedding_model), ("bit_width", str(self.config.bit_width))], "key string, configured string")
+        own = self.spark.createDataFrame(self._settings(), "key string, configured string")
         return self.store.read("index_metadata").join(own, "key").where(F.col("value") != F.col("configured"))
 
     def code_recall(self, query: str, limit: int | None = None, project_id: str | None = None, peek: bool = False) -> DataFrame:

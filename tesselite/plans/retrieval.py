@@ -9,7 +9,7 @@ from tesselite.functions import tags as tag_codec
 from tesselite.functions.keys import PATH_KEY_SQL, PROJECT_KEY_SQL, project_key_of
 from tesselite.functions.text import tokens
 from tesselite.functions.vectors import hash_embed, hash_embedding
-from tesselite.operators import conversation, identity, maintenance, ranking, recall, source_code
+from tesselite.operators import conversation, identity, maintenance, ranking, recall, source_code, syntax
 from tesselite.session import table
 from tesselite.sources.words import word_index
 
@@ -208,6 +208,15 @@ def call_edges(spark, d):
     return source_code.call_edges(_code(spark, d).select("id", "path", "text"), "id")
 
 
+def chunk_syntax(spark, d):
+    out = syntax.chunks(_code(spark, d).select("id", "path", "text"), "id")
+    return out.select("id", "chunk_no", "symbol", "start_line", "end_line", F.length("text").alias("n_chars"), "content_hash")
+
+
+def call_edges_syntax(spark, d):
+    return syntax.call_edges(_code(spark, d).select("id", "path", "text"), "id")
+
+
 def _hot(spark, d, column: str) -> str:
     """The most frequent name of a column, the first of equals."""
     return table(spark, d, "call_edges").groupBy(column).count().orderBy(F.desc("count"), column).first()[0]
@@ -306,7 +315,7 @@ QUERIES = {
         bm25_topk, bm25_topk_project, bm25_all, bm25_batch, bm25_corpus_stats, bm25_term_idf, token_counts, vector_topk, vector_topk_filtered,
         vector_topk_batch, quantized_topk, hash_embed_search, rrf_fusion, hybrid_search, code_recall, hybrid_peek, recall_filtered, format_hits, prefetch,
         tag_overlap, list_experiences, list_experiences_tagged, project_catalog, index_status, indexed_projects, entry_lookup, project_identity, file_scope,
-        content_hash, chunk_source, call_edges, callers, callees, language_gate, incremental_diff, index_counters, apply_increment, replace_changed,
+        content_hash, chunk_source, chunk_syntax, call_edges, call_edges_syntax, callers, callees, language_gate, incremental_diff, index_counters, apply_increment, replace_changed,
         health_check, health_message, health_entries, health_edges, turn_retention, turn_retention_every_2, compression_summary, session_summary,
         memory_write_mirror,
     )

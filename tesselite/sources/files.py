@@ -19,7 +19,8 @@ IGNORE_FILES = (".gitignore", ".tesseliteignore")
 
 def tracked(root: str) -> list[str] | None:
     """Paths that git tracks below a root, or None where there is no repository; asked on the driver."""
-    if not any((p / ".git").exists() for p in (Path(root), *Path(root).parents)):
+    # a worktree's `.git` file counts at the root itself, further up only a directory does
+    if not ((Path(root) / ".git").exists() or any((p / ".git").is_dir() for p in Path(root).parents)):
         return None
     try:
         said = subprocess.run(["git", "-C", root, "ls-files", "-z"], capture_output=True, text=True, timeout=10, check=True)

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tesselite.functions import tags, text, vectors
-from tesselite.operators import conversation, identity, maintenance, ranking, recall, source_code
+from tesselite.operators import conversation, identity, maintenance, ranking, recall, source_code, syntax
 
 MATH = '''def add(a: int, b: int) -> int:
     """Add two numbers together."""
@@ -124,6 +124,19 @@ def test_call_edges(spark):
         source_code.edges_of(edges, "x", "sideways")
 
 
+def test_syntax(spark):
+    text = "@wrap\ndef outer(x):\n    def inner():\n        return outer(deep(1))\n    return a.b.inner()\n\n\nclass C:\n    async def m(self):\n        (lambda: 1)()\n        self.m()\nC()\n"
+    files = spark.createDataFrame([("m.py", text), ("bad.py", "def f(:\n  g()\ndef h():\n  k()\n"), ("c.js", "function run() {\n  return helper(1)\n}\n"), ("e.py", "x = 1\n"), ("n.py", None), (None, "def z():\n")], "path string, text string").withColumn("_text", F.lit("clash"))
+    got = {(r.path, r.symbol, r.start_line, r.end_line) for r in syntax.chunks(files, "path").collect()}
+    assert got == {("m.py", "outer", 2, 5), ("m.py", "inner", 3, 4), ("m.py", "C", 8, 11), ("m.py", "m", 9, 11), ("bad.py", "f", 1, 3), ("bad.py", "h", 3, 5), ("c.js", None, 1, 3), ("e.py", None, 1, 1), (None, "z", 1, 2)}
+    assert [r.symbol for r in syntax.chunks(files.where("path = 'm.py'"), "path").orderBy("chunk_no").collect()] == ["outer", "inner", "C", "m"]
+    edges = {(r.path, r.caller_symbol, r.callee, r.caller_start_line, r.caller_end_line, r.callee_line) for r in syntax.call_edges(files, "path").collect()}
+    assert edges == {("m.py", "inner", "outer", 3, 4, 4), ("m.py", "outer", "inner", 2, 5, 5), ("m.py", "m", "m", 9, 11, 11), ("bad.py", "f", "g", 1, 2, 2), ("bad.py", "h", "k", 3, 4, 4), ("c.js", "run", "helper", 1, 2, 2)}
+    assert syntax.chunks(files.limit(0), "path").count() == 0
+    chosen = {"javascript": lambda t: ([("whole", 1, 1)], [])}  # another language's parser
+    assert {r.symbol for r in syntax.chunks(files.where("path = 'c.js'"), "path", parsers=chosen).collect()} == {"whole"}
+
+
 def test_scope(spark):
     files = spark.createDataFrame([("a/B.PY", 512000), ("a/c.py", 512001), ("node_modules/x.js", 1), ("x.min.js", 1), ("tmp/x.go", 1), ("tmp/keep.go", 1), ("deep/a_skip.py", 1), ("README", 1), (".env.py", 1), ("s/.env.py", 1)], "path string, n_bytes long")
     got = {r.path for r in source_code.in_scope(files, ["tmp/*", "!tmp/keep.go", "*_skip.py", "# x", ""]).collect()}
