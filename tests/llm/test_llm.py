@@ -61,7 +61,7 @@ def test_repeats_against_brute_force(spark, rows):
     data += data[:5]
     want = _brute_repeats(data)
     for shard_rows in (8192, 64):  # one shard, and many by content and time
-        got = rows(history_dedup.repeats(_entries(spark, data), shard_rows=shard_rows, probes=3, days=6))
+        got = rows(history_dedup.repeats(_entries(spark, data), shard_rows=shard_rows, days=6))
         assert not got - want
         assert len(got & want) >= 0.95 * len(want)
     assert history_dedup.repeats(_entries(spark, [])).count() == 0
