@@ -24,6 +24,7 @@ from tesselite.operators.ordering import range_ranked
 from tesselite.session import materialize
 from tesselite.sources import files
 from tesselite.sources.store import KEYS, SCHEMAS, Change, Store
+from tesselite.sources.words import Words
 from tesselite.tools import TOOL_NAMES
 
 NO_HIT = " Try index_status to check the index, index_health_check to clean stale entries, or index_codebase to rebuild it."
@@ -42,6 +43,7 @@ class Engine:
         self.chunks, self.call_edges = chunks, call_edges
         self.spark, self.config = spark, config or Config()
         self.store = Store(spark, path or self.config.data_dir)
+        self.words = Words(self.store)
         self.embed_text, self.embed_column, self.loaded = embed_text, embed_column, False
 
     # --- facts
@@ -72,18 +74,14 @@ class Engine:
         change.add("entries", entries)
         vectors = entries.select("id", self.embed_column(source).cast("array<float>").alias("embedding"))
         change.add("vectors", vectors.withColumn("codes", packed(codes("embedding", self.config.bit_width), self.config.bit_width)))
-        code = entries.where(F.col("entry_type") == "code")
-        change.add("postings", ranking.indexed(code))
-        change.add("corpus", ranking.corpus_counts(code))
+        self.words.add(entries.where(F.col("entry_type") == "code"), change)
         change.top = max(change.top, entries.agg(F.max("id")).first()[0] or 0)
 
     def _remove(self, change: Change, entries: DataFrame) -> None:
         """Entries of the store leave every table that has their ids; what they added to the corpus is taken back."""
-        ids = entries.select("id")
-        for name in ("entries", "vectors", "postings"):
-            change.drop(name, ids)
-        gone = ranking.corpus_counts(entries.where(F.col("entry_type") == "code"))
-        change.add("corpus", gone.select("project_key", (-F.col("n")).alias("n"), (-F.col("n_tokens")).alias("n_tokens")))
+        for name in ("entries", "vectors"):
+            change.drop(name, entries.select("id"))
+        self.words.remove(entries.where(F.col("entry_type") == "code"), change)
 
     def _log(self, change: Change, category: str, message: str, level: str = "INFO") -> None:
         change.add("logs", self.spark.createDataFrame([(self._now(), level, category, message)], SCHEMAS["logs"]))
@@ -165,8 +163,7 @@ class Engine:
             return self._no_hits()
         vectors = self.store.read("vectors").join(code.select("id"), "id", "left_semi")
         near = ranking.vector_topk(vectors.select("id", "embedding"), self.embed_text(query.strip()), 3 * k)
-        key = project_key_of(project_id) if project_id else None
-        words = ranking.bm25_stored(self.store.read("postings"), self.store.read("corpus"), query, 3 * k, key)
+        words = self.words.search(query, 3 * k, project_key_of(project_id) if project_id else None)
         return recall.rendered(ranking.fused(near, words, k, self.config.low_confidence), code, peek)
 
     def _no_hits(self) -> DataFrame:

@@ -83,6 +83,9 @@ def scan(spark: SparkSession, root: str, max_bytes: int = MAX_BYTES) -> DataFram
     return read.select("path", "language", "n_bytes", text.alias("text")).withColumn("content_hash", F.sha2(F.col("text").cast("binary"), 256))
 
 
+source_files = scan  # another name of the same
+
+
 def _live(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for project, root in zip(*(c.to_pylist() for c in batch.columns)):

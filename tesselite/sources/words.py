@@ -1,7 +1,11 @@
-"""Inverted indexes of tables in files, stored in the shared folder and kept as long as the files stay the same.
+"""Inverted indexes: of a store's code, which grow and shrink with it, and of tables in files.
 
-An index is named by the paths, lengths and times of the files it was built from: files that change have
-another name, and so another index. It goes when the driver ends.
+The index of a table is named by the paths, lengths and times of the files it was built from: files that
+change have another name, and so another index. It is stored in the shared folder and goes when the driver
+ends.
+
+Defined results: entries without a text count as documents without tokens; an entry that is added twice
+counts twice until it is removed; an empty index has no hits.
 """
 
 from __future__ import annotations
@@ -10,10 +14,47 @@ import atexit
 import hashlib
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tesselite.operators import ranking
 from tesselite.session import forget, shared_dir
-from tesselite.sources.store import SCHEMAS
+from tesselite.sources.store import SCHEMAS, Change, Store
+
+
+class Words:
+    """The corpus of a store. Entries are id, project_id, symbol, text; without a change of the caller each call is one."""
+
+    def __init__(self, store: Store):
+        self.store = store
+
+    def add(self, entries: DataFrame, change: Change | None = None) -> None:
+        """Add one or many entries; only their terms are written."""
+        if change is None:
+            with self.store.change() as change:
+                return self.add(entries, change)
+        change.add("postings", ranking.indexed(entries))
+        change.add("corpus", ranking.corpus_counts(entries))
+
+    def remove(self, entries: DataFrame, change: Change | None = None) -> None:
+        """Take entries back as they were added."""
+        if change is None:
+            with self.store.change() as change:
+                return self.remove(entries, change)
+        change.drop("postings", entries.select("id"))
+        gone = ranking.corpus_counts(entries)
+        change.add("corpus", gone.select("project_key", (-F.col("n")).alias("n"), (-F.col("n_tokens")).alias("n_tokens")))
+
+    def clear(self) -> None:
+        with self.store.change() as change:
+            for name in ("postings", "corpus"):
+                change.replace(name, self.store.spark.createDataFrame([], SCHEMAS[name]))
+
+    def n_docs(self) -> int:
+        return self.store.read("corpus").agg(F.sum("n")).first()[0] or 0
+
+    def search(self, query: str, k: int | None = None, project: str | None = None) -> DataFrame:
+        """id, score, rank; project: a canonical id whose entries are the corpus."""
+        return ranking.bm25_stored(self.store.read("postings"), self.store.read("corpus"), query, k, project)
 
 
 def _state(spark: SparkSession, path: str) -> list[str]:

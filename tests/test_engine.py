@@ -12,6 +12,7 @@ from tesselite.functions.vectors import codes, packed, unpacked
 from tesselite.operators import ranking
 from tesselite.sources import files
 from tesselite.sources.store import Store
+from tesselite.sources.words import Words
 
 
 @pytest.fixture
@@ -85,6 +86,20 @@ def test_stored_words_rank_as_texts_do(spark, indexed):
     assert "PartitionFilters: [isnotnull(bucket" in plan
 
 
+def test_words_grow_and_shrink(spark, tmp_path):
+    words = Words(Store(spark, str(tmp_path / "w")))
+    assert words.n_docs() == 0 and words.search("alpha").count() == 0
+    rows = spark.createDataFrame([(1, "p", "alpha", "beta beta"), (2, "P.git", None, "alpha gamma"), (3, None, "", None)], "id long, project_id string, symbol string, text string")
+    words.add(rows.where("id = 1"))
+    words.add(rows.where("id > 1"))
+    assert words.n_docs() == 3 and [r.id for r in words.search("alpha").orderBy("rank").collect()] == [2, 1]
+    assert words.search("alpha", project="p").count() == 2
+    words.remove(rows.where("id = 2"))
+    assert words.n_docs() == 2 and [r.id for r in words.search("alpha gamma").collect()] == [1]
+    words.clear()
+    assert words.n_docs() == 0 and words.search("alpha").count() == 0
+
+
 def test_tool_code_recall_and_peek(indexed):
     e, base = indexed
     said = e.tool("code_recall", {"query": "other"})
