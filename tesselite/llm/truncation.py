@@ -95,18 +95,18 @@ _NAMED = f"CASE b0 WHEN '{X}' THEN concat('x', length(a0)) WHEN '{D}' THEN '0' E
 
 
 def _grams_sql() -> str:
-    """n, ends of the n-grams that end at each position of each turn, in one aggregation.
+    """n, ends of the n-grams that end at each position of each turn, in one aggregation over numbers.
 
     Trigrams of words and folded five-grams have their hash k alone; the last word after two folded ones has
-    the hash of these as k, beside the word and its fold. The arrays stay in the row that is exploded into
-    positions, so a position reads them and copies nothing.
+    the hash of these as k, and the hashes h of the word and f of its fold beside it. The arrays stay in the row
+    that is exploded into positions, so a position reads them and copies nothing.
     """
-    none = "CAST(NULL AS STRING)"
+    none = "CAST(NULL AS BIGINT)"
     a, b = [f"get(w, i - {k})" for k in range(3)], [f"get(c, i - {k})" for k in range(LONG)]
     exact, long = (x.replace("a2, a1, a0", ", ".join(a[::-1])).replace(", ".join(f"b{k}" for k in range(LONG)), ", ".join(b)) for x in (_EXACT, _LONG))
-    rows = f"""stack(3, {exact}, {none}, {none}, IF(i < {LONG - 1}, NULL, {long}), {none}, {none}, xxhash64(kind, {b[2]}, {b[1]}), {_NAMED.replace("a0", a[0]).replace("b0", b[0])}, {b[0]}) AS (k, word, fold)"""
+    rows = f"""stack(3, {exact}, {none}, {none}, IF(i < {LONG - 1}, NULL, {long}), {none}, {none}, xxhash64(kind, {b[2]}, {b[1]}), xxhash64({_NAMED.replace("a0", a[0]).replace("b0", b[0])}), xxhash64({b[0]})) AS (k, h, f)"""
     return f"""
-SELECT k, word, fold, count(*) AS n, count_if(ends) AS ends
+SELECT k, h, f, count(*) AS n, count_if(ends) AS ends
 FROM (SELECT coalesce(get(w, i + 1), '¶') = '¶' AS ends, {rows}
   FROM (SELECT kind, w, c, explode(sequence(2, size(w) - 1)) AS i
     FROM (SELECT kind, split(concat('¶ ', t), ' ') AS w, split(concat('¶ ', {_FOLDED}), ' ') AS c FROM {{segments}} WHERE t LIKE '% %')) WHERE {a[0]} <> '¶')
@@ -138,14 +138,15 @@ def _decides(names: list[str]) -> str:
 
 
 VERDICTS = f"""
-WITH endings AS (SELECT DISTINCT ending, kind, code, k_exact, k_long, before, b0, a0, word FROM {{finals}}),
+WITH endings AS (SELECT DISTINCT ending, kind, code, k_exact, k_long, before, b0, a0, word, xxhash64(word) AS h, xxhash64(b0) AS f FROM {{finals}}),
 rates AS (SELECT kind, sum(ends) / sum(n) AS rate FROM {{words}} GROUP BY kind),
-folds AS (SELECT k, fold, sum(n) AS n, sum(ends) AS ends FROM {{last_words}} GROUP BY 1, 2),
+folds AS (SELECT k, f, sum(n) AS n, sum(ends) AS ends FROM {{last_words}} GROUP BY 1, 2),
+spelled AS (SELECT DISTINCT xxhash64(word) AS h, word FROM {{words}} WHERE length(word) > 1 AND word RLIKE :letters),
 asked AS (SELECT DISTINCT before, word FROM endings WHERE word RLIKE :letters),
 begun AS (
   SELECT p.k, p.prefix, sum(p.n) AS n
   FROM (SELECT k, n - ends AS n, explode(transform(sequence(1, length(word) - 1), l -> substring(word, 1, l))) AS prefix
-    FROM {{last_words}} WHERE n > ends AND length(word) > 1 AND word RLIKE :letters) p
+    FROM {{last_words}} t JOIN spelled s ON s.h = t.h WHERE n > ends) p
   LEFT SEMI JOIN asked a ON a.before = p.k AND a.word = p.prefix GROUP BY 1, 2),
 parts AS (
   SELECT kind, prefix, max(n) AS n
@@ -158,8 +159,8 @@ facts AS (
     e.b0 = '{X}' AND (coalesce(f.n, 0) - 1) * r.rate >= :expected AND coalesce(t.n, 0) - 1 <= 0.01D * f.n AS odd_length
   FROM endings e JOIN rates r ON r.kind = e.kind
   LEFT JOIN {{grams}} g ON g.k = e.k_exact
-  LEFT JOIN {{last_words}} t ON t.k = e.before AND t.word = e.word AND t.fold = e.b0
-  LEFT JOIN folds f ON f.k = e.before AND f.fold = e.b0
+  LEFT JOIN {{last_words}} t ON t.k = e.before AND t.h = e.h AND t.f = e.f
+  LEFT JOIN folds f ON f.k = e.before AND f.f = e.f
   LEFT JOIN {{grams}} l ON l.k = e.k_long
   LEFT JOIN {{words}} s ON s.kind = e.kind AND s.word = e.a0
   LEFT JOIN begun b ON b.k = e.before AND b.prefix = e.word
@@ -235,7 +236,7 @@ def truncated(
         folds[f"fold_{name}"] = _folding([r["word"] for r in frequent.collect()])
     finals = materialize(run(FINALS, segments=segments), "finals")
     all_grams = materialize(run(GRAMS, segments=segments), "all_grams")
-    last_words, grams = all_grams.where(F.col("word").isNotNull()), all_grams.where(F.col("word").isNull()).select("k", "n", "ends")
+    last_words, grams = all_grams.where(F.col("h").isNotNull()), all_grams.where(F.col("h").isNull()).select("k", "n", "ends")
     verdicts = run(VERDICTS, finals=finals, words=words, last_words=last_words, grams=grams)
     return run(JUDGED, verdicts=verdicts, finals=finals, owners=owners)
 
