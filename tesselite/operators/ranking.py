@@ -91,7 +91,8 @@ def bm25_stored(postings: DataFrame, corpus: DataFrame, query: str, k: int | Non
     n, total = corpus.agg(F.sum("n"), F.sum("n_tokens")).first()
     if not terms or not n or not total:
         return empty
-    buckets = [r[0] for r in spark.range(1).select(F.explode(F.array(*[bucket_of(F.lit(t)) for t in terms]))).distinct().collect()]
+    # over an inline table, which the optimizer computes without a job
+    buckets = sorted(set(spark.sql("SELECT 0 FROM VALUES (0)").select(F.array(*[bucket_of(F.lit(t)) for t in terms])).first()[0]))
     rows = postings.where(F.col("bucket").isin(*buckets) & F.col("term").isin(*terms))
     docs = rows.groupBy("id").agg(F.first("dl").alias("dl"), *[F.coalesce(F.max(F.when(F.col("term") == w, F.col("tf"))), F.lit(0)).alias(f"tf{i}") for i, w in enumerate(terms)])
     docs = materialize(docs, "hits")
