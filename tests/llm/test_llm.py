@@ -184,6 +184,15 @@ def test_truncated(spark, rows):
     assert truncation.truncated(_entries(spark, [])).count() == 0
 
 
+def test_code_is_judged_by_trigrams(spark, rows):
+    rng = random.Random(2)
+    names = [f"n{c}{d}" for c in "abcdefgh" for d in "klmnopq"]
+    body = lambda: f"int {rng.choice(names)}() {{\n  {rng.choice(names)} = {rng.choice(names)}({rng.randrange(99)});\n  return {rng.choice(names)};\n}}"
+    data = [(i, "code", body(), 1, None) for i in range(400)]
+    data += [(1000, "code", "int nak() {\n  nbk = nck(7);", 1, None), (1001, "code", "int nak() {\n  nbk = nck(7);\n  retu", 1, None), (1002, "code", "int nak() {\n  return nbl;\n}", 1, None)]
+    assert rows(truncation.truncated(_entries(spark, data))) == {(1000, "trigram"), (1001, "trigram within a word")}
+
+
 def test_copies_are_one_text(spark, rows):
     rng = random.Random(5)
     data = [(i, "experience", _sentences(rng, 4), i, "general") for i in range(400)]
