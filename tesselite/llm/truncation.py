@@ -236,7 +236,10 @@ def truncated(
         folds[f"fold_{name}"] = _folding([r["word"] for r in frequent.collect()])
     finals = materialize(run(FINALS, segments=segments), "finals")
     all_grams = materialize(run(GRAMS, segments=segments), "all_grams")
-    last_words, grams = all_grams.where(F.col("h").isNotNull()), all_grams.where(F.col("h").isNull()).select("k", "n", "ends")
+    # of the n-grams only those that end a turn are judged
+    wanted = finals.select(F.explode(F.array("k_exact", "k_long")).alias("k")).where(F.col("k").isNotNull()).distinct()
+    grams = materialize(all_grams.where(F.col("h").isNull()).select("k", "n", "ends").join(wanted, "k", "left_semi"), "grams")
+    last_words = all_grams.where(F.col("h").isNotNull())
     verdicts = run(VERDICTS, finals=finals, words=words, last_words=last_words, grams=grams)
     return run(JUDGED, verdicts=verdicts, finals=finals, owners=owners)
 
