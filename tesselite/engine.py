@@ -249,7 +249,7 @@ class Engine:
         try:
             return run(args)
         except KeyError as e:
-            return json.dumps({"error": f"{name} requires {e.args[0]}"})
+            return json.dumps({"error": f"{name} needs {e.args[0]}"})
         except (TypeError, ValueError) as e:
             return json.dumps({"error": str(e)})
 
@@ -258,14 +258,14 @@ class Engine:
         if action == "retain":
             text = str(args.get("text") or "").strip()
             if not text:
-                return json.dumps({"error": "retain requires text"})
+                return json.dumps({"error": "retain needs a text"})
             self.auto_index(path)
             project = self._project(None, path)
             rows = self.spark.createDataFrame([(text, args.get("category") or "general", project, args.get("tags"))], "text string, category string, project_id string, tags array<string>")
             return f"Remembered #{self.remember(rows).first()['id']}" + (f" for project {project}." if project else ".")
         if action == "recall":
             if not str(args.get("query") or "").strip():
-                return json.dumps({"error": "recall requires query"})
+                return json.dumps({"error": "recall needs a query"})
             self.auto_index(path)
             hits = self.recall(args["query"], args.get("limit"), types=["experience"], project_id=self._project(None, path), tags=args.get("tags"))
             return self._said(hits, "hit", "Nothing in memory matches." + NO_HIT)
